@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 
 import numpy as np
 import regex
@@ -31,15 +32,22 @@ def _byte_letters() -> dict[int, int]:
 
 
 class _Pieces(dict):
-    """Token ids of text pieces as bytes; a missing piece is encoded when first asked for."""
+    """Token ids of text pieces as bytes; a missing piece is encoded when first asked for.
+
+    Holds at most ``most`` pieces in two generations: when the young one is full it
+    becomes the old one, and pieces still in use are taken over from there.
+    """
 
     def __init__(self, make, most: int):
         super().__init__()
-        self.make, self.most = make, most
+        self.make, self.most, self.old = make, most // 2, {}
 
     def __missing__(self, piece: str) -> bytes:
-        ids = self.make(piece)
+        ids = self.old.get(piece)
+        if ids is None:
+            ids = self.make(piece)
         if len(self) >= self.most:
+            self.old = dict(self)
             self.clear()
         self[piece] = ids
         return ids
@@ -55,7 +63,7 @@ class Encoder:
     the library whole.  ``tests/llm/test_tokens.py`` holds the two ways equal.
     """
 
-    def __init__(self, path: str, cache: int = 600_000):
+    def __init__(self, path: str, cache: int = 700_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -70,6 +78,8 @@ class Encoder:
         self.split = self._pattern(spec)
         self.pieces = _Pieces(self._piece, cache)
         self.heads = _Pieces(self._head, 50_000)
+        self.tokens = _Pieces(self._token, 200_000)
+        self.stops = {x: self._token(x) for x in ".,"} if self.split else {}
 
     def _pattern(self, spec: dict):
         """The pre-tokenizer's pattern if the cut at spaces is known to be right, or None."""
@@ -91,22 +101,40 @@ class Encoder:
         return None
 
     def _pack(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.dtype).tobytes()
+        return array("H" if self.dtype.itemsize == 2 else "I", ids).tobytes()
+
+    def _token(self, token: str) -> bytes:
+        """Ids of one pre-token."""
+        plain = token if token.isalpha() and token.isascii() else token.encode().decode("latin-1").translate(self.letters)
+        return self._pack([t.id for t in self.model.tokenize(plain)])
+
+    def _word(self, word: str, space: str) -> bytes:
+        """Ids of letters only: one pre-token, after its space."""
+        if self.lower:
+            word = word.lower()
+        if word.isascii():
+            return self._pack([t.id for t in self.model.tokenize("Ġ" + word if space else word)])
+        return self._token(space + word)
 
     def _ids(self, text: str) -> bytes:
         if not _PLAIN(text.removeprefix(" ") if self.spaced else text):
             return self.whole([text])[0]
-        ids: list[int] = []
-        for token in self.split.findall(text.lower() if self.lower else text):
-            ids += [t.id for t in self.model.tokenize(token.encode().decode("latin-1").translate(self.letters))]
-        return self._pack(ids)
+        return b"".join(map(self.tokens.__getitem__, self.split.findall(text.lower() if self.lower else text)))
 
     def _piece(self, piece: str) -> bytes:
-        if not self.spaced:
-            return self._ids(piece)
-        if not piece or piece[0].isspace() or piece[-1].isspace():
+        """Ids of what follows a single space.
+
+        Letters before a full stop or comma are looked up by themselves.
+        """
+        space = " " if self.spaced else ""
+        if self.spaced and (not piece or piece[0].isspace() or piece[-1].isspace()):
             raise _Unsafe
-        return self._ids(" " + piece)
+        if _PLAIN(piece):
+            if piece.isalpha():
+                return self._word(piece, space)
+            if piece[-1:] in (".", ",") and piece[:-1].isalpha():
+                return self.pieces[piece[:-1]] + self.stops[piece[-1]]
+        return self._ids(space + piece)
 
     def _head(self, piece: str) -> bytes:
         if piece and piece[-1].isspace() or not piece and self.spaced:
