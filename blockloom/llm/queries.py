@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blockloom.llm import lengths, line_dedup, minhash, packing, token_files
+from blockloom.llm import decontaminate, lengths, line_dedup, minhash, packing, quality, token_files, vectors, warc
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -23,6 +23,10 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_documents(manifest)
 
 
+def op3_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(_table(spark, sf_dir, "embeddings")).select("vec_id", "n_links", "component_id", "kept")
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = line_dedup.line_dedup(_table(spark, sf_dir, "documents"), host_col="source", counts=("n_lines", "n_dropped"))
     return cut.select("doc_id", "n_lines", "n_dropped", F.md5("text").alias("kept_md5"))
@@ -48,6 +52,17 @@ FROM k
 """
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = warc.derive_pages(_table(spark, sf_dir, "pages"))
+    return made.select("page_id", "response_id", "metadata_id", "conversion_id", "target_uri", "payload_digest", "http_status",
+                       *(F.length(c).cast("long").alias(f"{c}_bytes") for c in ("metadata", "conversion")), *(F.sha2(c, 256).alias(f"{c}_sha256") for c in ("metadata", "conversion")),
+                       F.length("text").cast("long").alias("text_chars"))
+
+
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(_table(spark, sf_dir, "documents"), WORD_BPE, end_id=2)
     return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
@@ -62,12 +77,22 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lengths.suffix_sums(lengths.histogram(_table(spark, sf_dir, "documents"), BYTE_BPE))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    scored = quality.score(docs.select("doc_id", "text"), quality.train(docs, _table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", quality.held_out().alias("held_out"), "score", F.when(F.col("score") >= quality.KEEP, 1).otherwise(0).alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
+    "op3_multi_index": op3_multi_index,
     "op4_line_dedup": op4_line_dedup,
+    "op5_warc": op5_warc,
+    "op6_decontaminate": op6_decontaminate,
     "op7_packing": op7_packing,
     "op8_minhash": op8_minhash,
     "op9_token_counts": op9_token_counts,
+    "op10_quality": op10_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {"op4_line_dedup": OP4_SQL}
