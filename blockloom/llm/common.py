@@ -40,14 +40,22 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/blockloom/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def few(rows: int) -> int:
+    """Tasks for a table of so many narrow rows: enough for small clusters, in proportion beyond."""
+    return 6 + rows // 200_000
+
+
+def written(df: DataFrame, name: str, tasks: int | None = None) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back.
 
+    ``tasks`` bounds the files of a small table, which would else be one for each
+    shuffle partition.
+
     Cuts lineage so that a lost executor costs a re-read, not a re-run of all
     that came before.  ``drop`` removes the files.
     """
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    (df.coalesce(tasks) if tasks else df).write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._blockloom_path = path
     return out

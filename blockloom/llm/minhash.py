@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockloom.llm.common import by_id, drop, written
+from blockloom.llm.common import by_id, drop, few, written
 from blockloom.llm.components import components
 from blockloom.llm.tokens import rows
 
@@ -38,7 +38,7 @@ class _Words(dict):
     """64-bit hashes of words, forgotten when there are too many."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 200_000:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word)
         return h
@@ -252,7 +252,7 @@ def _dealt(tasks: DataFrame, percent: int) -> DataFrame:
     return ready.mapInArrow(_compare(percent), "a long, b long").distinct()
 
 
-def confirmed_edges(groups: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, list[DataFrame]]:
+def confirmed_edges(groups: DataFrame, sets: DataFrame, percent: int, n: int) -> tuple[DataFrame, list[DataFrame]]:
     """Edges whose components are those of all links within ``groups(rep, grp)``.
 
     First the block of pivots of each group (its GROUP_BLOCK least hashes or so)
@@ -262,14 +262,14 @@ def confirmed_edges(groups: DataFrame, sets: DataFrame, percent: int) -> tuple[D
     already connected.  Tasks hold two blocks at most.
     """
     sized = groups.join(groups.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / GROUP_BLOCK).cast("int").alias("nb")), "grp")
-    placed = written(sized.withColumn("blk", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int")).join(sets, "rep"), "placed")
+    placed = written(sized.withColumn("blk", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int")).join(sets, "rep"), "placed", few(5 * n))
     is_pivot = F.col("blk") == 0
     to = F.when(is_pivot, F.sequence(F.lit(0), F.col("nb") - 1)).otherwise(F.array("blk"))
-    first = written(_dealt(placed.select("grp", "rep", is_pivot.alias("is_left"), F.explode(to).alias("task"), "shingles"), percent), "links")
+    first = written(_dealt(placed.select("grp", "rep", is_pivot.alias("is_left"), F.explode(to).alias("task"), "shingles"), percent), "links", few(n))
     large = placed.where("nb > 1")
     if large.limit(1).count() == 0:
         return first, [placed]
-    known = components(first)
+    known = components(first, n)
     named = large.join(known.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     sizes = named.groupBy("grp", "component").agg(F.count(F.lit(1)).alias("n"))
     main = sizes.groupBy("grp").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("n_all"))
@@ -283,7 +283,7 @@ def confirmed_edges(groups: DataFrame, sets: DataFrame, percent: int) -> tuple[D
     as_other = F.transform(F.sequence(F.lit(0), F.least(mine - 1, nr - 1)), lambda t: F.struct((t * 65_536 + mine).alias("task"), F.lit(False).alias("is_left")))
     no_task = F.expr("cast(array() as array<struct<task:int,is_left:boolean>>)")
     tasks = F.concat(F.when(F.col("is_rest"), as_left).otherwise(no_task), F.when(mine > 0, as_other).otherwise(no_task))
-    second = written(_dealt(rest.select("grp", "rep", "shingles", F.explode(tasks).alias("t")).select("grp", "rep", "t.task", "t.is_left", "shingles"), percent), "links")
+    second = written(_dealt(rest.select("grp", "rep", "shingles", F.explode(tasks).alias("t")).select("grp", "rep", "t.task", "t.is_left", "shingles"), percent), "links", few(n))
     return first.unionByName(second), [placed]
 
 
@@ -302,10 +302,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     """
     texts = by_id(docs, id_col, text_col)
     sigs = written(signatures(texts, words), "signatures")
+    n = sigs.count()
     some = sigs.where("set_key is not null and doc_id is not null")
-    classes = written(some.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "classes")
-    edges = written(candidate_edges(classes), "candidates")
-    groups = written(components(edges).select(F.col("node").alias("rep"), F.col("component").alias("grp")), "groups")
+    classes = written(some.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "classes", few(n))
+    edges = written(candidate_edges(classes), "candidates", few(n))
+    groups = written(components(edges, n).select(F.col("node").alias("rep"), F.col("component").alias("grp")), "groups", few(n))
 
     def full_sets(batches):
         for batch in batches:
@@ -316,8 +317,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
 
     wanted = texts.withColumnRenamed("doc_id", "rep").join(groups.select("rep"), "rep", "left_semi")
     sets = wanted.mapInArrow(full_sets, "rep long, shingles binary").dropDuplicates(["rep"])
-    links, used = confirmed_edges(groups, sets, percent)
-    found = written(components(links), "components")
+    links, used = confirmed_edges(groups, sets, percent, n)
+    found = written(components(links, n), "components", few(n))
     drop(edges, groups, *used)
     named = some.select("doc_id", "set_key").join(classes.select("set_key", "rep"), "set_key").join(found.withColumnRenamed("node", "rep"), "rep", "left")
     own = named.groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("component_id"))
