@@ -42,21 +42,30 @@ def seen(text: str) -> np.ndarray:
     return out
 
 
+def _curve_inputs(margin, size):
+    """What the score's curve sees: margin and text size, as short texts have noisier margins."""
+    long = np.log1p(np.asarray(size, float)) / 8
+    margin = np.asarray(margin, float)
+    return np.stack([margin, margin * long, long, np.ones_like(long)], -1)
+
+
 @dataclass
 class Model:
-    """``score`` = sigmoid(slope * margin + offset); the margin divides by the length of the scaled indicators."""
+    """``score`` is a logistic curve of the margin and the number of indicators.
+
+    The margin divides by the length of the scaled indicators.
+    """
 
     weight: np.ndarray
     square: np.ndarray
-    slope: float
-    offset: float
+    curve: np.ndarray
 
-    def margin(self, text: str) -> float:
-        at = np.flatnonzero(seen(text))
+    def margin(self, at: np.ndarray) -> float:
         return float(self.weight[at].sum() / np.sqrt(max(self.square[at].sum(), 1e-12))) if len(at) else 0.0
 
     def score(self, text: str) -> float:
-        return float(1 / (1 + np.exp(-(self.slope * self.margin(text) + self.offset))))
+        at = np.flatnonzero(seen(text))
+        return float(1 / (1 + np.exp(-np.clip(_curve_inputs(self.margin(at), len(at)) @ self.curve, -35, 35))))
 
 
 def log_count_ratio(samples: list[np.ndarray], labels: np.ndarray, smooth: float = 1.0) -> np.ndarray:
@@ -90,19 +99,18 @@ def dual_coordinate_descent(samples: list[np.ndarray], labels: np.ndarray, r: np
     return w
 
 
-def _sigmoid_fit(margin: np.ndarray, labels: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of a weighted logistic curve, by Newton's method with a little shrinkage."""
-    x = np.stack([margin, np.ones_like(margin)], 1)
-    beta = np.array([1.0, 0.0])
-    for _ in range(50):
+def _fit_curve(x: np.ndarray, labels: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Weighted logistic regression by Newton's method with a little shrinkage."""
+    beta = np.zeros(x.shape[1])
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -35, 35)))
-        g = x.T @ (weight * (p - labels)) + 1e-3 * beta
-        h = (x * (weight * p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2)
+        g = x.T @ (weight * (p - labels)) + 1e-2 * beta
+        h = (x * (weight * p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(len(beta))
         step = np.linalg.solve(h, g)
         beta -= step
         if abs(step).max() < 1e-9:
             break
-    return float(beta[0]), float(beta[1])
+    return beta
 
 
 def fit(samples: list[np.ndarray], labels: np.ndarray, prior: float) -> Model:
@@ -114,7 +122,7 @@ def fit(samples: list[np.ndarray], labels: np.ndarray, prior: float) -> Model:
     """
     if len(set(labels.tolist())) < 2:
         p = min(max(prior, 1e-3), 1 - 1e-3) if len(labels) else 0.5
-        return Model(np.zeros(PLACES), np.zeros(PLACES), 0.0, float(np.log(p / (1 - p))))
+        return Model(np.zeros(PLACES), np.zeros(PLACES), np.array([0.0, 0.0, 0.0, np.log(p / (1 - p))]))
     half = np.arange(len(labels)) % 2
     margin = np.zeros(len(labels))
     for k in (0, 1):
@@ -130,7 +138,7 @@ def fit(samples: list[np.ndarray], labels: np.ndarray, prior: float) -> Model:
     w = dual_coordinate_descent(samples, labels, r)
     share = labels.mean()
     weight = np.where(labels == 1, prior / share, (1 - prior) / (1 - share))
-    return Model(w * r, r**2, *_sigmoid_fit(margin, labels, weight))
+    return Model(w * r, r**2, _fit_curve(_curve_inputs(margin, [len(x) for x in samples]), labels, weight))
 
 
 def held_out(id_col: str = "doc_id"):
