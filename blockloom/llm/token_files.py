@@ -97,12 +97,11 @@ class TokenFile:
         self.step = self.source.tell() - self.first
 
     def batch(self, k: int) -> pa.RecordBatch | None:
-        self.source.seek(self.first + k * self.step)
-        try:
-            message = ipc.read_message(self.source)
-        except EOFError:
+        at = self.first + k * self.step
+        if at + 8 >= self.source.size():  # the mark that ends a stream
             return None
-        return ipc.read_record_batch(message, self.schema)
+        self.source.seek(at)
+        return ipc.read_record_batch(ipc.read_message(self.source), self.schema)
 
     def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and mask of sequence ``i``; the ids are a view of the file."""

@@ -110,8 +110,8 @@ class Encoder:
 
     def _word(self, word: str, space: str) -> bytes:
         """Ids of letters only: one pre-token, after its space."""
-        if self.lower:
-            word = word.lower()
+        if self.lower and not (word := word.lower()).isalpha():  # a capital may lower to a letter and a mark
+            return self._ids(word)
         if word.isascii():
             return self._pack([t.id for t in self.model.tokenize("Ġ" + word if space else word)])
         return self._token(space + word)
