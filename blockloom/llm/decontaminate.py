@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockloom.llm.common import by_id
+from blockloom.llm.common import by_id, written
 from blockloom.llm.tokens import rows
 
 #: Words of a passage, and from one passage to the next.
@@ -23,6 +23,10 @@ RANK, EXTRA = 64, 16
 COSINE = 0.3
 #: A passage that holds less of any item's squared weight than this is near none of them.
 LEAST_WEIGHT = 0.25
+#: Words in more than this share of passages say little: they keep a hundredth of their weight.
+COMMON = 0.01
+#: Share of an item's words (of a passage's, if that has fewer) that a passage must hold to be compared.
+OVERLAP = 0.35
 #: Share of an item's words in order in a document: a leak; and a leak if its answer is there too.
 LEAK, PARAPHRASE = 0.8, 0.5
 #: Items that are searched for in one pass; more are taken in blocks.
@@ -36,7 +40,7 @@ def words(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().translate(None, _SIGNS).split()
 
 
-def common_subsequence(a_bits: dict[bytes, int], n: int, b: list[bytes]) -> int:
+def common_subsequence(a_bits: dict, n: int, b: list) -> int:
     """Length of the longest common subsequence of an item of ``n`` words and ``b``.
 
     ``a_bits`` has the places of each word as bits; a step over ``b`` is one addition.
@@ -49,8 +53,13 @@ def common_subsequence(a_bits: dict[bytes, int], n: int, b: list[bytes]) -> int:
     return n - free.bit_count()
 
 
-def _bits(seq: list[bytes]) -> dict[bytes, int]:
-    out: dict[bytes, int] = {}
+def _stands_in(part: np.ndarray, whole: np.ndarray) -> bool:
+    """Whether ``part`` stands in ``whole`` without a gap."""
+    return 0 < len(part) <= len(whole) and bool((np.lib.stride_tricks.sliding_window_view(whole, len(part)) == part).all(1).any())
+
+
+def _bits(seq: list) -> dict:
+    out: dict = {}
     for i, w in enumerate(seq):
         out[w] = out.get(w, 0) | 1 << i
     return out
@@ -105,17 +114,10 @@ def _heavy(index: Index, numbers: np.ndarray, stride: int) -> tuple[np.ndarray,
 
 
 def _vectors(index: Index, windows: np.ndarray, matrix: np.ndarray) -> np.ndarray:
-    """TF-IDF of each passage, at unit length, times a matrix over the vocabulary."""
-    w = index.idf[windows]
-    order = np.argsort(windows, axis=1)
-    sorted_w = np.take_along_axis(windows, order, 1)
-    tf = np.zeros(windows.shape)  # norm of the vector: words that repeat add up before they are squared
-    same = np.concatenate([np.zeros((len(windows), 1), bool), sorted_w[:, 1:] == sorted_w[:, :-1]], 1)
-    np.cumsum(~same, axis=1, out=tf)
-    key = tf.astype(np.int64) + np.arange(len(windows))[:, None] * (PASSAGE + 1)
-    sums = np.bincount(key.ravel(), np.take_along_axis(w, order, 1).ravel(), len(windows) * (PASSAGE + 1)).reshape(len(windows), -1)
-    norm = np.sqrt(np.maximum((sums**2).sum(1), 1e-12))
-    return np.einsum("ij,ijk->ik", (w / norm[:, None]).astype(np.float32), matrix[windows])
+    """Weights of each passage's words, scaled by the root of their squares' sum, times a matrix over the vocabulary."""
+    w = index.idf[windows].astype(np.float32)
+    w /= np.maximum(np.sqrt((w**2).sum(1, keepdims=True)), 1e-6)
+    return np.einsum("ij,ijk->ik", w, matrix[windows])
 
 
 def _summed(df: DataFrame, fn, shape: tuple[int, ...], dtype: str) -> np.ndarray:
@@ -138,32 +140,58 @@ def _summed(df: DataFrame, fn, shape: tuple[int, ...], dtype: str) -> np.ndarray
     return sum((np.frombuffer(r["data"], dtype) for r in parts), np.zeros(math.prod(shape), dtype)).reshape(shape)
 
 
-def fit(texts: DataFrame, index: Index) -> Index:
-    """Weights and the latent basis of the items' vocabulary, over all passages of the corpus.
+def numbered(texts: DataFrame, index: Index) -> DataFrame:
+    """``doc_id, numbers, counts``: each text as numbers of the items' words (0: no such word), written once.
 
-    Pass one counts, for every word of the items, the passages that hold it.
-    Pass two is the randomized SVD of the TF-IDF matrix: each task multiplies
-    its passages with the same random directions and back, the products are
-    summed, and the Nystrom form of the sum gives the right singular vectors.
-    Passages without enough of the items' vocabulary are zero rows for the
-    search and are left out of the product.
+    The other passes read these, not the texts.  Each task adds a row of the
+    passages that it saw each word in (``counts``, place 0: all passages).
     """
     for s in index.seqs:
         for w in s:
             index.vocabulary.setdefault(w, len(index.vocabulary) + 1)
     size = len(index.vocabulary) + 1
 
-    def document_frequency(batches):
-        for (text,) in rows(batches, "text"):
-            numbers = index.numbers(words(text))
-            windows = np.sort(_padded(numbers, passages(len(numbers), PASSAGE)), axis=1)
-            first = np.concatenate([np.ones((len(windows), 1), bool), windows[:, 1:] != windows[:, :-1]], 1)
-            out = np.bincount(windows[first], minlength=size)
-            out[0] = len(windows)
-            yield out
-
-    df = _summed(texts, document_frequency, (size,), "int64")
-    index.idf = np.log((1.0 + df[0]) / (1.0 + df)) + 1e-3
+    def read(batches):
+        total = np.zeros(size, np.int64)
+        for batch in batches:
+            ids, numbers = [], []
+            for doc_id, text in rows([batch], "doc_id", "text"):
+                n = index.numbers(words(text))
+                windows = np.sort(_padded(n, passages(len(n), PASSAGE)), axis=1)
+                first = np.concatenate([np.ones((len(windows), 1), bool), windows[:, 1:] != windows[:, :-1]], 1)
+                seen = np.bincount(windows[first], minlength=size)
+                seen[0] = len(windows)
+                total += seen
+                ids.append(doc_id)
+                numbers.append(n.tobytes())
+            yield _numbers_batch(ids, numbers, [None] * len(ids))
+        yield _numbers_batch([None], [None], [total.tobytes()])
+
+    return written(texts.mapInArrow(read, "doc_id long, numbers binary, counts binary"), "numbers")
+
+
+def _numbers_batch(ids: list, numbers: list, counts: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(numbers, pa.binary()), pa.array(counts, pa.binary())], names=["doc_id", "numbers", "counts"])
+
+
+def fit(table: DataFrame, index: Index) -> Index:
+    """Weights and the latent basis of the items' vocabulary, over all passages of the corpus.
+
+    The randomized SVD of the TF-IDF matrix: each task multiplies its passages
+    with the same random directions and back, the products are summed, and the
+    Nystrom form of the sum gives the right singular vectors.  Passages without
+    enough of the items' vocabulary are zero rows for the search and are left
+    out of the product.
+    """
+    size = len(index.vocabulary) + 1
+
+    def counted(batches):
+        for (counts,) in rows(batches, "counts", step=16):
+            yield np.frombuffer(counts, np.int64)
+
+    df = _summed(table.where("counts is not null").select("counts"), counted, (size,), "int64")
+    idf = np.log((1.0 + df[0]) / (1.0 + df)) + 1e-3
+    index.idf = np.maximum(idf - np.log(1 / COMMON), idf / 100) if df[0] > 10 / COMMON else idf
     index.idf[0] = 0.0
     index.floor = index.least()
     width = min(RANK + EXTRA, size)
@@ -171,18 +199,19 @@ def fit(texts: DataFrame, index: Index) -> Index:
     draw[0] = 0
 
     def product(batches):
-        for batch in batches:
-            held = []
-            for (text,) in rows([batch], "text"):
-                _, w = _heavy(index, index.numbers(words(text)), PASSAGE)
-                if len(w):
-                    held.append(w)
-            if held:
-                for block in np.array_split(np.concatenate(held), max(1, sum(map(len, held)) // 2048)):
-                    yield _back(index, block, draw)
+        held, size = [], 0
+        for (numbers,) in rows(batches, "numbers"):
+            _, w = _heavy(index, np.frombuffer(numbers, np.int32), PASSAGE)
+            held.append(w)
+            size += len(w)
+            if size >= 1024:
+                yield _back(index, np.concatenate(held), draw)
+                held, size = [], 0
+        if size:
+            yield _back(index, np.concatenate(held), draw)
 
     own = _padded_items(index)
-    y = _summed(texts, product, (size, width), "float32").astype(float) + _back(index, own, draw)
+    y = _summed(table.where("numbers is not null").select("numbers"), product, (size, width), "float32").astype(float) + _back(index, own, draw)
     core = draw.T.astype(float) @ y
     values, vecs = np.linalg.eigh((core + core.T) / 2)
     keep = values > values.max() * 1e-6
@@ -207,44 +236,54 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 def _back(index: Index, windows: np.ndarray, draw: np.ndarray) -> np.ndarray:
     """Transposed TF-IDF times (TF-IDF times the random directions)."""
-    y = _vectors(index, windows, draw)
-    norm_w = index.idf[windows].astype(np.float32)
-    norm_w /= np.maximum(np.sqrt((norm_w**2).sum(1, keepdims=True)), 1e-6)
-    flat, out = windows.ravel(), np.zeros_like(draw)
+    w = index.idf[windows].astype(np.float32)
+    w /= np.maximum(np.sqrt((w**2).sum(1, keepdims=True)), 1e-6)
+    y = np.einsum("ij,ijk->ik", w, draw[windows])
+    at, out = np.flatnonzero(windows), np.zeros_like(draw)  # words that count
+    flat = windows.ravel()[at]
     order = np.argsort(flat, kind="stable")
-    rows_ = (norm_w.ravel()[:, None] * np.repeat(y, PASSAGE, 0))[order]
-    f = flat[order]
-    starts = np.flatnonzero(np.concatenate([[True], f[1:] != f[:-1]]))
-    out[f[starts]] = np.add.reduceat(rows_, starts, axis=0)
+    f, at = flat[order], at[order]
+    if len(f):
+        starts = np.flatnonzero(np.concatenate([[True], f[1:] != f[:-1]]))
+        out[f[starts]] = np.add.reduceat(w.ravel()[at][:, None] * y[at // PASSAGE], starts, axis=0)
     return out
 
 
 FOUND = "doc_id long, item_id long, cosine double, lcs long, item_words long, ratio double, answer boolean"
 
 
-def search(texts: DataFrame, index: Index) -> DataFrame:
-    """``FOUND``: the items that each document leaks, best passage of each.  A narrow step."""
-    bits = [_bits(s) for s in index.seqs]
-    answers = [b" " + b" ".join(s) + b" " for s in index.answers]
+def search(table: DataFrame, index: Index) -> DataFrame:
+    """``FOUND``: the items that each document leaks, best passage of each.  A narrow step.
+
+    All words of the items have numbers, so numbers do for words.
+    """
+    bits = [_bits(index.numbers(s).tolist()) for s in index.seqs]
+    answers = [index.numbers(s) for s in index.answers]
+    member = np.zeros((len(index.idf), len(index.seqs)), bool)
+    for k, s in enumerate(index.seqs):
+        member[index.numbers(s), k] = True
+    least = np.array([min(len(s), PASSAGE) for s in index.seqs])
     types = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.float64(), pa.bool_())
     names = [x.split()[0] for x in FOUND.split(", ")]
 
-    def check(tokens: list[bytes], start: int, k: int):
+    def check(tokens: np.ndarray, start: int, k: int):
         n = len(index.seqs[k])
         near = tokens[max(0, start - n) : start + PASSAGE + n]
-        lcs = common_subsequence(bits[k], n, near)
-        return lcs, lcs / n, answers[k] in b" " + b" ".join(near) + b" "
+        lcs = common_subsequence(bits[k], n, near.tolist())
+        return lcs, lcs / n, lcs >= PARAPHRASE * n and _stands_in(answers[k], near)
 
     def scan(batches):
         for batch in batches:
             out = []
-            for doc_id, text in rows([batch], "doc_id", "text"):
-                tokens = words(text)
-                starts, windows = _heavy(index, index.numbers(tokens), STRIDE)
+            for doc_id, numbers in rows([batch], "doc_id", "numbers"):
+                tokens = np.frombuffer(numbers, np.int32)
+                starts, windows = _heavy(index, tokens, STRIDE)
                 best: dict[int, tuple] = {}
                 for lo in range(0, len(starts), 1024):
                     cosines = _unit(_vectors(index, windows[lo : lo + 1024], index.basis)) @ index.latent.T
-                    for p, k in zip(*np.nonzero(cosines >= COSINE), strict=True):
+                    ps, ks = np.nonzero(cosines >= COSINE)
+                    held = member[windows[lo + ps], ks[:, None]].sum(1) >= OVERLAP * least[ks]
+                    for p, k in zip(ps[held].tolist(), ks[held].tolist(), strict=True):
                         lcs, ratio, answer = check(tokens, int(starts[lo + p]), k)
                         if ratio >= LEAK or ratio >= PARAPHRASE and answer:
                             row = (ratio, float(cosines[p, k]), lcs, answer)
@@ -253,7 +292,7 @@ def search(texts: DataFrame, index: Index) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
 
-    return texts.mapInArrow(scan, FOUND)
+    return table.where("numbers is not null").select("doc_id", "numbers").mapInArrow(scan, FOUND)
 
 
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[Index]:
@@ -290,7 +329,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     texts = by_id(docs, id_col, text_col)
     found = None
     for index in _blocks(benchmark, item_id, item_text):
-        part = search(texts, fit(texts, index))
+        table = numbered(texts, index)
+        part = search(table, fit(table, index))
         found = part if found is None else found.unionByName(part)
     return docs.sparkSession.createDataFrame([], FOUND) if found is None else found
 

