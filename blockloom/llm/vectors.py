@@ -17,7 +17,7 @@ COSINE = 0.93
 #: Vectors that the codebooks are fitted on (those of least hash), and rounds of the fit.
 SAMPLE, ROUNDS = 8_192, 12
 #: Recall at which a traversal may stop, over the pairs just at the threshold.
-RECALL = 0.99999
+RECALL = 0.999
 #: Vectors of a cell, and visits to it, that one task compares.
 BLOCK, VISITS = 1_024, 4_096
 
@@ -71,12 +71,12 @@ def reach(cosine: float, dim: int, recall: float) -> float:
     return float(np.sqrt(max(2 - 2 * cosine, 0)) / np.sqrt(dim) * NormalDist().inv_cdf(recall))
 
 
-def _unit(raw: list[bytes], dim: int) -> np.ndarray:
-    x = np.frombuffer(b"".join(raw), "<f8").reshape(-1, dim)
+def _unit(raw: list[bytes], dim: int, kind: str) -> np.ndarray:
+    x = np.frombuffer(b"".join(raw), kind).reshape(-1, dim).astype(float)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _link_block(cosine: float, dim: int):
+def _link_block(cosine: float, dim: int, kind: str):
     """Links of one block of a cell with its visits: a count for each visit, and spanning edges."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
@@ -84,7 +84,7 @@ def _link_block(cosine: float, dim: int):
         if not home.any():
             return table.select(["rep"]).slice(0, 0).append_column("n", pa.array([], pa.int64())).append_column("b", pa.array([], pa.int64()))
         ids, mult = table.column("rep").to_numpy(), table.column("mult").to_numpy()
-        x = _unit(table.column("vec").to_pylist(), dim)
+        x = _unit(table.column("vec").to_pylist(), dim, kind)
         visit = np.asarray(table.column("is_visit"))
         q, qi = x[visit], ids[visit]
         m, mi, mm = x[home], ids[home], mult[home]
@@ -115,7 +115,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, recall: float = REC
     centroids and visits cells in order of distance until pairs at the threshold
     are met with probability ``recall`` (closer pairs with more); each meeting is
     verified exactly, so there is no false link.  ``cells`` centroids a half default
-    to the fourth root of the number of classes, 4 to 256, times two.
+    to the fourth root of the number of vectors, 4 to 256.
 
     A cell is cut into blocks of about BLOCK members and VISITS visits, so a hot
     label, cell or vector is spread over tasks.  Blocks return counts and a
@@ -143,30 +143,35 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, recall: float = REC
     sample = [r["v"] for r in classes.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("v").collect()]
     x = np.array(sample)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    k = cells or int(min(max(2 * round(n ** 0.25), 4), 256))
+    k = cells or int(min(max(round(n**0.25), 4), 256))
     cut = dim // 2
     books = [half_codebook(h, k, s) for s, h in enumerate((x[:, :cut], x[:, cut:])) if h.shape[1]]
+    kind = "<f4" if vectors.schema[vector_col].dataType.elementType.typeName() == "float" else "<f8"  # as they came: exact
     far = reach(cosine, dim, recall)
 
     def visits(batches):
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            raw = [np.asarray(r, "<f8") for r in batch.column("v").to_pylist()]
-            u = np.array(raw)
-            u = u / np.linalg.norm(u, axis=1, keepdims=True)
-            sides = [margins(h, c) for h, c in zip((u[:, :cut], u[:, cut:]), books, strict=False)] if cut else [margins(u, books[0])]
-            if len(sides) == 1:
-                sides.append((np.zeros(len(u), int), np.zeros((len(u), 1))))
-            take, cell, home = [], [], []
-            for p in range(len(u)):
-                for i, j in multi_sequence(sides[0][1][p], sides[1][1][p], far):
-                    take.append(p)
-                    cell.append(i * 65_536 + j)
-                    home.append(i == sides[0][0][p] and j == sides[1][0][p])
-            rest = batch.select(["label", "rep", "mult"]).take(pa.array(take))
-            vec = pa.array([raw[p].tobytes() for p in take], pa.binary())
-            yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(cell, pa.int32()), pa.array(home, pa.bool_()), vec], names=["label", "rep", "mult", "cell", "home", "vec"])
+            for at in range(0, batch.num_rows, 256):  # bounds what is held at once
+                yield from visit(batch.slice(at, 256))
+
+    def visit(batch):
+        raw = [np.asarray(r, kind) for r in batch.column("v").to_pylist()]
+        u = np.array(raw, float)
+        u = u / np.linalg.norm(u, axis=1, keepdims=True)
+        sides = [margins(h, c) for h, c in zip((u[:, :cut], u[:, cut:]), books, strict=False)] if cut else [margins(u, books[0])]
+        if len(sides) == 1:
+            sides.append((np.zeros(len(u), int), np.zeros((len(u), 1))))
+        take, cell, home = [], [], []
+        for p in range(len(u)):
+            for i, j in multi_sequence(sides[0][1][p], sides[1][1][p], far):
+                take.append(p)
+                cell.append(i * 65_536 + j)
+                home.append(i == sides[0][0][p] and j == sides[1][0][p])
+        rest = batch.select(["label", "rep", "mult"])
+        for lo in range(0, len(take), 4096):
+            part = take[lo : lo + 4096]
+            vec = pa.array([raw[p].tobytes() for p in part], pa.binary())
+            yield pa.RecordBatch.from_arrays([*rest.take(pa.array(part)).columns, pa.array(cell[lo : lo + 4096], pa.int32()), pa.array(home[lo : lo + 4096], pa.bool_()), vec], names=["label", "rep", "mult", "cell", "home", "vec"])
 
     met = classes.mapInArrow(visits, "label string, rep long, mult long, cell int, home boolean, vec binary")
     met = written(met, "visits")
@@ -180,7 +185,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, recall: float = REC
     ))
     dealt = met.join(load, ["label", "cell"]).withColumn("task", task)
     dealt = dealt.select("label", "cell", "task", "rep", "mult", "vec", (F.col("home") & (F.floor(F.col("task") / 65_536) == own_b)).alias("is_member"), (F.col("task") % 65_536 == own_v).alias("is_visit"))
-    found = written(dealt.groupBy("label", "cell", "task").applyInArrow(_link_block(cosine, dim), "rep long, n long, b long"), "links", few(5 * n))
+    found = written(dealt.groupBy("label", "cell", "task").applyInArrow(_link_block(cosine, dim, kind), "rep long, n long, b long"), "links", few(5 * n))
     named = components(found.where("b <> rep").select(F.col("rep").alias("a"), "b").distinct(), n)
     links = found.groupBy("rep").agg(F.sum("n").alias("others"))
     whole = classes.join(links, "rep", "left").join(named.withColumnRenamed("node", "rep"), "rep", "left").select("label", "v", (F.coalesce("others", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component"))
