@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockloom.llm.common import by_id, drop, few, written
+from blockloom.llm.common import by_id, claim, drop, few, written
 from blockloom.llm.components import components
 from blockloom.llm.tokens import rows
 
@@ -94,6 +94,7 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
     """``doc_id, n_shingles, set_key, sig``; sets without elements have neither key nor signature."""
 
     def scan(batches):
+        claim("shingles", _WORDS.clear)
         for batch in batches:
             out = [], [], [], []
             for doc_id, text in rows([batch], "doc_id", "text"):
@@ -164,7 +165,7 @@ def candidate_edges(classes: DataFrame) -> DataFrame:
     keyed = classes.select("rep", "sig").mapInArrow(keys, "key long, rep long")
     many = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     blocks = F.ceil(F.col("n") / BUCKET_BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
+    own = F.pmod(F.xxhash64("rep"), blocks).cast("long")
     pair = F.transform(F.sequence(F.lit(0), blocks - 1), lambda t: F.least(own, t) * 65_536 + F.greatest(own, t))
     member = keyed.join(many, "key").select("key", "rep", F.explode(pair).alias("block"))
     dealt = member.join(classes.select("rep", "sig"), "rep").repartition("key", "block").sortWithinPartitions("key", "block", "rep")
@@ -274,14 +275,14 @@ def confirmed_edges(groups: DataFrame, sets: DataFrame, percent: int, n: int) ->
     sizes = named.groupBy("grp", "component").agg(F.count(F.lit(1)).alias("n"))
     main = sizes.groupBy("grp").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("n_all"))
     rest = named.join(main.where("n_all > n_main"), "grp").withColumn("is_rest", F.col("component") != F.col("main"))
-    nr = F.ceil((F.col("n_all") - F.col("n_main")) / GROUP_BLOCK).cast("int")
-    nm = F.ceil(F.col("n_main") / GROUP_BLOCK).cast("int")
+    nr = F.ceil((F.col("n_all") - F.col("n_main")) / GROUP_BLOCK).cast("long")
+    nm = F.ceil(F.col("n_main") / GROUP_BLOCK).cast("long")
     h = F.xxhash64("rep", F.lit(2))
-    mine = F.when(F.col("is_rest"), F.pmod(h, nr)).otherwise(nr + F.pmod(h, nm)).cast("int")
+    mine = F.when(F.col("is_rest"), F.pmod(h, nr)).otherwise(nr + F.pmod(h, nm)).cast("long")
     # a task is one block of the rest against one block of any kind; among the rest each pair of blocks once
     as_left = F.transform(F.sequence(mine, nr + nm - 1), lambda t: F.struct((mine * 65_536 + t).alias("task"), F.lit(True).alias("is_left")))
-    as_other = F.transform(F.sequence(F.lit(0), F.least(mine - 1, nr - 1)), lambda t: F.struct((t * 65_536 + mine).alias("task"), F.lit(False).alias("is_left")))
-    no_task = F.expr("cast(array() as array<struct<task:int,is_left:boolean>>)")
+    as_other = F.transform(F.sequence(F.lit(0).cast("long"), F.least(mine - 1, nr - 1)), lambda t: F.struct((t * 65_536 + mine).alias("task"), F.lit(False).alias("is_left")))
+    no_task = F.expr("cast(array() as array<struct<task:bigint,is_left:boolean>>)")
     tasks = F.concat(F.when(F.col("is_rest"), as_left).otherwise(no_task), F.when(mine > 0, as_other).otherwise(no_task))
     second = written(_dealt(rest.select("grp", "rep", "shingles", F.explode(tasks).alias("t")).select("grp", "rep", "t.task", "t.is_left", "shingles"), percent), "links", few(n))
     return first.unionByName(second), [placed]
@@ -309,6 +310,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     groups = written(components(edges, n).select(F.col("node").alias("rep"), F.col("component").alias("grp")), "groups", few(n))
 
     def full_sets(batches):
+        claim("shingles", _WORDS.clear)
         for batch in batches:
             out = [(i, shingles(t, words).tobytes()) for i, t in rows([batch], "rep", "text")]
             if out:
