@@ -18,18 +18,21 @@ def psnr(mse: Column, peak: float = 255.0) -> Column:
 
 
 def quality(original: DataFrame, restored: DataFrame, key: list[str] = PLANE, peak: float = 255.0) -> DataFrame:
-    """MSE, MAE and PSNR of planes of one shape; a pixel that only one of them has is an error."""
+    """MSE, MAE and PSNR of planes of one shape; a pixel that only one of them has is an error.
+
+    ``key`` may name more than the plane (the settings of a sweep): each original
+    pixel then meets one restored pixel a setting, in one join on the place.
+    """
     at = [*PLANE, "r", "c"]
     a = original.select(*at, F.col("v").cast("double").alias("bl_a"))
     b = restored.select(*dict.fromkeys([*key, *at]), F.col("v").cast("double").alias("bl_b"))
-    extra = [c for c in key if c not in PLANE]
-    if extra:
-        a = a.crossJoin(F.broadcast(restored.select(*extra).distinct()))
-        at = [*extra, *at]
-    both = a.join(b, at, "full")
-    d = F.when(F.col("bl_a").isNull() | F.col("bl_b").isNull(), F.raise_error(F.lit("the images differ in shape")).cast("double")).otherwise(F.col("bl_a") - F.col("bl_b"))
-    one = both.select(*key, d.alias("d")).groupBy(*key).agg(F.avg(F.col("d") * F.col("d")).alias("mse"), F.avg(F.abs("d")).alias("mae"))
-    return one.withColumn("psnr", psnr(F.col("mse"), peak))
+    d = F.col("bl_a") - F.col("bl_b")
+    one = b.join(a, at, "left").groupBy(*dict.fromkeys([*key, *PLANE])).agg(F.avg(d * d).alias("mse"), F.avg(F.abs(d)).alias("mae"), F.count(F.lit(1)).alias("bl_n"), F.count("bl_a").alias("bl_m"))
+    sizes = a.groupBy(*PLANE).agg(F.count(F.lit(1)).alias("bl_size"))
+    same = (F.col("bl_n") == F.col("bl_m")) & (F.col("bl_m") == F.col("bl_size"))
+    checked = F.when(same, F.col("mse")).otherwise(F.raise_error(F.lit("the images differ in shape")).cast("double"))
+    out = one.join(sizes, PLANE).withColumn("mse", checked).select(*key, "mse", "mae")
+    return out.withColumn("psnr", psnr(F.col("mse"), peak))
 
 
 def original_bits(h: Column, w: Column, bits_per_pixel: int = BITS_PIXEL) -> Column:
@@ -57,11 +60,15 @@ def reduction_percentage(original: Column, compressed: Column) -> Column:
 
 
 def compression(encoded: DataFrame, key: list[str] = PLANE, column: str = "qf") -> DataFrame:
-    """Ten figures from one pass over encoded blocks: padded blocks against unpadded pixels."""
+    """Ten figures from one pass over encoded blocks: padded blocks against unpadded pixels.
+
+    The plane's sizes come from the same pass, for runs that report them.
+    """
     total, zeros, n = F.sum(F.size(column)), F.sum(zero_count(F.col(column))), F.sum(count_kind())
     one = encoded.groupBy(*key).agg(
         total.cast("long").alias("total_coefficients"), zeros.cast("long").alias("zero_coefficients"), (total - zeros).cast("long").alias("nonzero_coefficients"), (100.0 * zeros / total).alias("zero_percentage"),
         n.cast("long").alias("rle_symbols"), (n / F.count(F.lit(1))).alias("average_rle_symbols_per_block"),
         original_bits(F.max("h"), F.max("w")).alias("original_bits"), F.sum(rle_bits()).cast("long").alias("compressed_bits"),
+        F.max("h").alias("original_height"), F.max("w").alias("original_width"), (F.max("br") + 1).alias("num_blocks_vertical"), (F.max("bc") + 1).alias("num_blocks_horizontal"),
     )
     return one.withColumns({"compression_ratio": compression_ratio(F.col("original_bits"), F.col("compressed_bits")), "reduction_percentage": reduction_percentage(F.col("original_bits"), F.col("compressed_bits"))})

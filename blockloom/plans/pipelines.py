@@ -43,10 +43,9 @@ def run_gray(pixels: DataFrame, tables: dict[str, list[float]], decode: bool = T
     encoded = encode_blocks(quantized_sweep(coefficients(gray), tables), RUN)
     back = decode_blocks(encoded.drop("qf"), RUN) if decode else encoded
     quality = metrics.quality(gray, from_quantized(back, RUN), RUN)
-    sizes = encoded.groupBy(*RUN).agg(F.max("h").alias("original_height"), F.max("w").alias("original_width"), (F.max("br") + 1).alias("num_blocks_vertical"), (F.max("bc") + 1).alias("num_blocks_horizontal"))
     ph, pw = F.col("num_blocks_vertical") * BLOCK, F.col("num_blocks_horizontal") * BLOCK
-    shapes = sizes.withColumns({"padded_height": ph, "padded_width": pw, "pad_height": ph - F.col("original_height"), "pad_width": pw - F.col("original_width")})
-    return shapes.join(quality, RUN).join(metrics.compression(encoded, RUN), RUN)
+    sizes = {"padded_height": ph, "padded_width": pw, "pad_height": ph - F.col("original_height"), "pad_width": pw - F.col("original_width")}
+    return metrics.compression(encoded, RUN).withColumns(sizes).join(quality, RUN)
 
 
 def color_planes(pixels: DataFrame) -> DataFrame:
