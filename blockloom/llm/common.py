@@ -13,6 +13,25 @@ from pyspark.sql import functions as F
 _OWN: dict[str, str] = {}
 
 
+#: What Python workers keep between tasks, by operator, and how to forget it.
+_KEPT: dict[str, Callable[[], None]] = {}
+_USER: list[str] = [""]
+
+
+def claim(user: str, forget: Callable[[], None] | None = None) -> None:
+    """Called in a worker by an operator at work: what other operators left in the worker's memory goes.
+
+    Workers outlive tasks, so caches of one stage would else stand beside those of the next.
+    """
+    if forget:
+        _KEPT[user] = forget
+    if _USER[0] != user:
+        _USER[0] = user
+        for other, clear in _KEPT.items():
+            if other != user:
+                clear()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 

@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockloom.llm.common import by_id, written
+from blockloom.llm.common import by_id, claim, written
 from blockloom.llm.tokens import rows
 
 #: Words of a passage, and from one passage to the next.
@@ -152,6 +152,7 @@ def numbered(texts: DataFrame, index: Index) -> DataFrame:
     size = len(index.vocabulary) + 1
 
     def read(batches):
+        claim("decontaminate")
         total = np.zeros(size, np.int64)
         for batch in batches:
             ids, numbers = [], []

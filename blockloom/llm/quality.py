@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockloom.llm.common import by_id, fresh
+from blockloom.llm.common import by_id, claim, fresh
 from blockloom.llm.tokens import rows
 
 #: Byte n-grams of these lengths, each hashed into a table of 2**BITS places.
@@ -166,6 +166,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     few = docs.sparkSession.createDataFrame(picked, "doc_id long, y int")
 
     def places(batches):
+        claim("quality")
         for batch in batches:
             out = [(i, y, np.flatnonzero(seen(t)).astype("<i4").tobytes()) for i, y, t in rows([batch], "doc_id", "y", "text")]
             if out:
@@ -186,6 +187,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     @F.arrow_udf("double")
     def apply(texts: pa.Array) -> pa.Array:
+        claim("quality")
         m = shared.value
         return pa.array([m.score(t.as_py() or "") for t in texts], pa.float64())
 

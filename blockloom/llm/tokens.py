@@ -10,6 +10,8 @@ from array import array
 import numpy as np
 import regex
 
+from blockloom.llm.common import claim
+
 #: Bytes of text that one call hands to the library.
 CHUNK_BYTES = 1 << 18
 #: Letters, digits and signs below the combining marks, and line feeds: here lower-casing
@@ -161,6 +163,7 @@ _ENCODERS: dict[str, Encoder] = {}
 
 def encoder(path: str) -> Encoder:
     """One encoder a worker process, kept between its tasks."""
+    claim(f"tokens {path}", lambda: _ENCODERS.pop(path, None))
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]
