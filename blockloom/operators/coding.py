@@ -1,11 +1,14 @@
 """Zig-zag order, DC differences, run lengths: symbols of packed blocks and back.
 
-A block's AC symbols are an array in its row, so run-length coding needs no
-window and no shuffle.  Only DC differences look at another row.
+A block's AC symbols are an array in its row, so run lengths need no window and
+no shuffle.  Only DC differences look at another row.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,7 +29,7 @@ def inverse_zigzag(z: Column, order: list[int] | None = None) -> Column:
     order = zigzag_order(BLOCK) if order is None else order
     check_order(order, round(len(order) ** 0.5))
     back = sorted(range(len(order)), key=order.__getitem__)
-    return F.when(F.size(z) == len(order), F.transform(F.array(*map(F.lit, back)), lambda i: z[i])).otherwise(F.raise_error(F.lit("a scanned block has the wrong length")).cast("array<int>"))
+    return F.when(F.size(z) == len(order), F.array(*(z[i] for i in back))).otherwise(F.raise_error(F.lit("a scanned block has the wrong length")).cast("array<int>"))
 
 
 def dc_encode(blocks: DataFrame, key: list[str] = PLANE, dc: str = "dc", target: str = "dc_diff", initial: int = 0) -> DataFrame:
@@ -54,31 +57,45 @@ def _symbol(kind: str, run: Column | None = None, amp: Column | None = None) ->
     return F.struct(F.lit(kind).alias("kind"), (F.lit(None) if run is None else run).cast("int").alias("run"), (F.lit(None) if amp is None else amp).cast("int").alias("amp"))
 
 
-def rle_encode(ac: Column) -> Column:
-    """``(zeros before, value)`` of each nonzero, and one EOB if zeros trail.  Runs have no cap."""
-    placed = F.filter(F.transform(ac, lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda s: s["x"] != 0)
-    pairs = F.transform(placed, lambda s, k: _symbol(AC, s["i"] - F.when(k > 0, F.get(placed, k - 1)["i"]).otherwise(-1) - 1, s["x"]))
-    trailing = F.coalesce(F.get(ac, F.size(ac) - 1) == 0, F.lit(True))
-    return F.when(trailing, F.concat(pairs, F.array(_symbol(EOB)))).otherwise(pairs)
+def rle_encode(ac: Column, length: int = BLOCK * BLOCK - 1) -> Column:
+    """``(zeros before, value)`` of each nonzero, and one EOB if zeros trail.  Runs have no cap.
+
+    The places of nonzeros are zipped with the same places one later, so a block
+    costs its length.
+    """
+    at = F.filter(F.sequence(F.lit(0), F.lit(length - 1)), lambda i: ac[i] != 0)
+    before = F.slice(F.concat(F.array(F.lit(-1)), at), F.lit(1), F.size(at))
+    pairs = F.zip_with(at, before, lambda i, p: _symbol(AC, i - p - 1, ac[i]))
+    return F.when(ac[length - 1] == 0, F.concat(pairs, F.array(_symbol(EOB)))).otherwise(pairs)
 
 
 def rle_decode(symbols: Column, length: int = BLOCK * BLOCK - 1) -> Column:
     """Values from symbols: what follows the first EOB is ignored, a missing tail is zero.
 
-    A pair with a negative run, or one past the end, is an error.
+    A pair with a negative run, or one past the end, is an error.  All blocks of
+    an Arrow batch are placed at once, by a running sum over their runs.
     """
-    stop = F.array_position(F.transform(symbols, lambda s: s["kind"]), EOB)
-    pairs = F.when(stop > 0, F.slice(symbols, F.lit(1), stop.cast("int") - 1)).otherwise(symbols)
-    start = F.struct(F.lit(-1).alias("at"), F.lit(True).alias("ok"), F.expr("cast(array() as array<struct<at:int,x:int>>)").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        at = (acc["at"] + s["run"] + 1).cast("int")
-        return F.struct(at.alias("at"), (acc["ok"] & (s["run"] >= 0) & (at < length)).alias("ok"), F.concat(acc["out"], F.array(F.struct(at.alias("at"), s["amp"].alias("x")))).alias("out"))
 
-    walked = F.aggregate(pairs, start, step)
-    values = F.map_from_entries(walked["out"])
-    dense = F.transform(F.sequence(F.lit(0), F.lit(length - 1)), lambda i: F.coalesce(F.element_at(values, i), F.lit(0)))
-    return F.when(walked["ok"], dense).otherwise(F.raise_error(F.lit("run lengths pass the end of the block")).cast("array<int>"))
+    @F.arrow_udf("array<int>")
+    def place(blocks: pa.Array) -> pa.Array:
+        sizes = np.diff(blocks.offsets.to_numpy())
+        flat = blocks.flatten()
+        is_end = np.asarray(pc.equal(flat.field("kind"), EOB))
+        run, amp = (np.asarray(pc.fill_null(flat.field(k), 0)).astype(np.int64) for k in ("run", "amp"))
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        ended = np.cumsum(is_end)
+        first = np.concatenate([[0], ended])[np.cumsum(sizes) - sizes]
+        pair = ended == first[owner]  # before the block's own first EOB
+        step = np.where(pair, run + 1, 0)
+        total = np.cumsum(step)
+        at = total - np.concatenate([[0], total])[np.cumsum(sizes) - sizes][owner] - 1
+        if (pair & ((run < 0) | (at >= length))).any():
+            raise ValueError("run lengths pass the end of the block")
+        out = np.zeros((len(sizes), length), np.int32)
+        out[owner[pair], at[pair]] = amp[pair]
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * length), pa.array(out.reshape(-1)))
+
+    return place(symbols)
 
 
 def encode_blocks(blocks: DataFrame, key: list[str] = PLANE, column: str = "qf", initial: int = 0) -> DataFrame:
@@ -89,8 +106,9 @@ def encode_blocks(blocks: DataFrame, key: list[str] = PLANE, column: str = "qf",
 
 def decode_blocks(encoded: DataFrame, key: list[str] = PLANE, target: str = "qf", initial: int = 0) -> DataFrame:
     """Adds the quantized block back from ``dc_diff`` and ``ac_symbols``."""
-    d = dc_decode(encoded, key, "dc_diff", "bl_dc", initial)
-    return d.withColumn(target, inverse_zigzag(F.concat(F.array("bl_dc"), rle_decode(F.col("ac_symbols"))))).drop("bl_dc")
+    d = dc_decode(encoded.withColumn("bl_ac", rle_decode(F.col("ac_symbols"))), key, "dc_diff", "bl_dc", initial)
+    whole = d.withColumn("bl_z", F.concat(F.array("bl_dc"), F.col("bl_ac")))
+    return whole.withColumn(target, inverse_zigzag(F.col("bl_z"))).drop("bl_dc", "bl_ac", "bl_z")
 
 
 def count_kind(kind: str | None = None) -> Column:
