@@ -10,6 +10,7 @@ LENGTH rounds the blocks of the interleave are the repeated strings.
 
 from __future__ import annotations
 
+import zlib
 from collections import defaultdict
 
 import numpy as np
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockloom.llm.common import few, hash_pair, written
+from blockloom.llm.common import claim, few, hash_pair, written
 from blockloom.llm.tokens import rows
 
 LENGTH, GRAM = 50, 20
@@ -25,7 +26,7 @@ _WINDOWS = LENGTH - GRAM + 1
 #: Text that a task takes together; symbols of a shard; text for one bucket of minimizers.
 _BATCH, SHARD, BUCKET_BYTES = 1 << 18, 1 << 17, 8 << 20
 #: Copies of whole texts up to which their ids are broadcast.
-BROADCAST_COPIES = 1_000_000
+BROADCAST_COPIES = 200_000
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03), np.uint64(0x2545F4914F6CDD1D)
 
 
@@ -109,6 +110,7 @@ def shared_minimizers(texts: DataFrame, buckets: int) -> DataFrame:
     """
 
     def emit(batches):
+        claim("suffixes")
         for batch in batches:
             keys, docs = [], []
             for held in _groups(batch, ("doc_id", "text")):
@@ -131,7 +133,9 @@ def shared_minimizers(texts: DataFrame, buckets: int) -> DataFrame:
             k, d = k[live], d[live]
             order = np.argsort(d, kind="stable")
             k, d = k[order], d[order]
-            cut = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]])) if len(d) else []
+            if not len(d):
+                return
+            cut = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]]))
             for lo, hi in zip(cut, [*cut[1:], len(d)], strict=True):
                 yield int(d[lo]), np.unique(k[lo:hi]).tobytes()
 
@@ -154,19 +158,21 @@ def shared_minimizers(texts: DataFrame, buckets: int) -> DataFrame:
 
 
 def _suffix_order(x: np.ndarray) -> np.ndarray:
-    """Rotations of a shard, sorted on LENGTH symbols or more."""
-    n = len(x)
-    rank, width = x.astype(np.int64), 1
+    """Rotations of a shard of 8-bit symbols, sorted on LENGTH symbols or more."""
+    n, width = len(x), 7
+    key = np.zeros(n, np.int64)
+    for i in range(width):
+        key = key << 8 | np.roll(x, -i)
     while True:
-        key = rank * (int(rank.max()) + 1) + np.roll(rank, -width)
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         k = key[order]
         new = np.cumsum(np.concatenate([[0], k[1:] != k[:-1]]))
+        if width >= LENGTH or new[-1] == n - 1:
+            return order
         rank = np.empty(n, np.int64)
         rank[order] = new
+        key = rank * (int(new[-1]) + 1) + np.roll(rank, -width)
         width *= 2
-        if width >= LENGTH or new[-1] == n - 1:
-            return order
 
 
 def merge_transforms(shards: list[np.ndarray], depth: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
@@ -181,14 +187,14 @@ def merge_transforms(shards: list[np.ndarray], depth: int = LENGTH) -> tuple[np.
     orders = [_suffix_order(s) for s in shards]
     transform = np.concatenate([s[o - 1] for s, o in zip(shards, orders, strict=True)])
     base = np.cumsum([0, *(len(s) for s in shards[:-1])])
-    z = np.repeat(np.arange(len(shards), dtype=np.uint16), [len(s) for s in shards])
+    z = np.repeat(np.arange(len(shards), dtype=np.uint8 if len(shards) <= 256 else np.uint16), [len(s) for s in shards])
     start = np.zeros(len(z), bool)
     start[0] = True
     for _ in range(depth):
         symbols = np.empty_like(transform)
         symbols[np.argsort(z, kind="stable")] = transform
         moved = np.argsort(symbols, kind="stable")
-        block = np.cumsum(start)[moved]
+        block = np.cumsum(start, dtype=np.int32)[moved]
         s = symbols[moved]
         start[1:] = (s[1:] != s[:-1]) | (block[1:] != block[:-1])
         z = z[moved]
@@ -207,12 +213,12 @@ def least_documents(stretches: list[bytes], docs: np.ndarray) -> tuple[np.ndarra
     sizes = np.array([len(s) for s in stretches])
     strings = sizes - LENGTH + 1
     begin = np.concatenate([[0], np.cumsum(strings)])
-    joined = np.zeros(int((sizes + 1).sum()), np.uint16)  # symbol 0 ends a stretch
+    joined = np.zeros(int((sizes + 1).sum()), np.uint8)  # symbol 0 ends a stretch; no byte of UTF-8 is above 244
     ends = np.cumsum(sizes + 1)
     at = ends - sizes - 1
     inside = np.ones(len(joined), bool)
     inside[ends - 1] = False
-    joined[inside] = np.frombuffer(b"".join(stretches), np.uint8).astype(np.uint16) + 1
+    joined[inside] = np.frombuffer(b"".join(stretches), np.uint8) + np.uint8(1)
     cuts = [0]
     for e in ends.tolist():
         if e - cuts[-1] >= SHARD:
@@ -233,9 +239,9 @@ def least_documents(stretches: list[bytes], docs: np.ndarray) -> tuple[np.ndarra
 
 
 def repeated_spans(marked: DataFrame, buckets: int) -> DataFrame:
-    """``doc_id, spans``: byte ranges of a document that also start in an earlier one, as pairs of 32-bit numbers.
+    """``doc_id, tag, spans``: byte ranges of a document that also start in an earlier one, as pairs of 32-bit numbers.
 
-    ``marked(doc_id, text, live)``.  Stretches around live minimizers are sent
+    ``marked(doc_id, text, live)``; ``tag``, the text's crc32, tells rows of one id apart.  Stretches around live minimizers are sent
     by minimizer, equal ones of a batch once.  A minimizer whose stretches are all
     equal needs no comparison; the others of a bucket are merged.
     """
@@ -254,7 +260,7 @@ def repeated_spans(marked: DataFrame, buckets: int) -> DataFrame:
                     known = np.concatenate([np.frombuffer(x, np.uint64) for x in r[2]])
                     live[a:b] = np.isin(m[a:b], known)
                 data = raw.tobytes()
-                ids = [r[0] for r, _ in held]
+                ids = [(r[0], zlib.crc32(t)) for r, t in held]
                 for o, p, n, key in zip(owner[live].tolist(), first[live].tolist(), count[live].tolist(), m[live].tolist(), strict=True):
                     found[key % buckets].setdefault((key, data[p : p + n + LENGTH - 1]), []).append((ids[o], p - int(starts[o])))
             out = []
@@ -265,18 +271,19 @@ def repeated_spans(marked: DataFrame, buckets: int) -> DataFrame:
                     np.array([len(s) for _, s in stretches], np.uint32).tobytes(),
                     b"".join(s for _, s in stretches),
                     np.array([len(v) for v in stretches.values()], np.uint32).tobytes(),
-                    np.array([d for v in stretches.values() for d, _ in v], np.int64).tobytes(),
+                    np.array([d for v in stretches.values() for (d, _), _ in v], np.int64).tobytes(),
+                    np.array([c for v in stretches.values() for (_, c), _ in v], np.uint32).tobytes(),
                     np.array([p for v in stretches.values() for _, p in v], np.uint32).tobytes(),
                 ))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i == 0 else pa.binary()) for i, c in enumerate(zip(*out, strict=True))], names=names)
 
-    names = ["bucket", "keys", "sizes", "data", "counts", "docs", "places"]
+    names = ["bucket", "keys", "sizes", "data", "counts", "docs", "tags", "places"]
 
     def close(held):
         index: dict[tuple, int] = {}
-        of, docs, places = [], [], []
-        for keys, sizes, data, counts, d, p in held:
+        of, docs, tags, places = [], [], [], []
+        for keys, sizes, data, counts, d, c, p in held:
             at = 0
             numbers = []
             for k, n in zip(np.frombuffer(keys, np.uint64).tolist(), np.frombuffer(sizes, np.uint32).tolist(), strict=True):
@@ -284,8 +291,9 @@ def repeated_spans(marked: DataFrame, buckets: int) -> DataFrame:
                 at += n
             of.append(np.repeat(np.array(numbers, np.int64), np.frombuffer(counts, np.uint32)))
             docs.append(np.frombuffer(d, np.int64))
+            tags.append(np.frombuffer(c, np.uint32).astype(np.int64))
             places.append(np.frombuffer(p, np.uint32).astype(np.int64))
-        of, docs, places = map(np.concatenate, (of, docs, places))
+        of, docs, tags, places = map(np.concatenate, (of, docs, tags, places))
         least = np.full(len(index), np.iinfo(np.int64).max)
         np.minimum.at(least, of, docs)
         stretches = [s for _, s in index]
@@ -296,7 +304,7 @@ def repeated_spans(marked: DataFrame, buckets: int) -> DataFrame:
         alone = ~several[of]
         hit = alone & (least[of] < docs)
         lengths = np.array([len(s) for s in stretches])
-        out = [(docs[hit], places[hit], places[hit] + lengths[of[hit]])]
+        out = [(docs[hit], tags[hit], places[hit], places[hit] + lengths[of[hit]])]
         some = np.flatnonzero(several)
         if len(some):
             best, begin = least_documents([stretches[i] for i in some], least[some])
@@ -311,16 +319,18 @@ def repeated_spans(marked: DataFrame, buckets: int) -> DataFrame:
             edge = np.concatenate([[True], (where[1:] != where[:-1] + 1) | (step[1:] == 0)]) if len(n) else np.empty(0, bool)
             open_ = np.flatnonzero(cover & (edge | ~np.concatenate([[False], cover[:-1]])))
             shut = np.flatnonzero(cover & ~np.concatenate([cover[1:] & ~edge[1:], [False]]))
-            out.append((np.repeat(docs[mine], n)[open_], where[open_], where[shut] + LENGTH))
-        d, a, b = (np.concatenate(x) for x in zip(*out, strict=True))
-        order = np.lexsort((a, d))
-        d, pairs = d[order], np.stack([a, b], 1)[order].astype(np.uint32)
-        cut = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]])) if len(d) else []
-        return [(int(d[lo]), pairs[lo:hi].tobytes()) for lo, hi in zip(cut, [*cut[1:], len(d)], strict=True)]
+            out.append((np.repeat(docs[mine], n)[open_], np.repeat(tags[mine], n)[open_], where[open_], where[shut] + LENGTH))
+        d, c, a, b = (np.concatenate(x) for x in zip(*out, strict=True))
+        order = np.lexsort((a, c, d))
+        d, c, pairs = d[order], c[order], np.stack([a, b], 1)[order].astype(np.uint32)
+        if not len(d):
+            return []
+        cut = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (c[1:] != c[:-1])]))
+        return [(int(d[lo]), int(c[lo]), pairs[lo:hi].tobytes()) for lo, hi in zip(cut, [*cut[1:], len(d)], strict=True)]
 
     def merge(batches):
         def batch_of(out):
-            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], names=["doc_id", "spans"])
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], names=["doc_id", "tag", "spans"])
 
         at, held = None, []
         for bucket, *rest in rows(batches, *names, step=64):
@@ -333,9 +343,9 @@ def repeated_spans(marked: DataFrame, buckets: int) -> DataFrame:
         if held and (out := close(held)):
             yield batch_of(out)
 
-    schema = "bucket int, keys binary, sizes binary, data binary, counts binary, docs binary, places binary"
+    schema = "bucket int, keys binary, sizes binary, data binary, counts binary, docs binary, tags binary, places binary"
     dealt = marked.mapInArrow(emit, schema).repartition("bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(merge, "doc_id long, spans binary")
+    return dealt.mapInArrow(merge, "doc_id long, tag long, spans binary")
 
 
 def union_of(spans: np.ndarray) -> list[tuple[int, int]]:
@@ -368,7 +378,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     base = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     named = base.where("doc_id is not null")
     total = named.agg(F.sum(F.octet_length("text")).alias("b"), F.count(F.lit(1)).alias("n")).first()
-    n, buckets = total["n"], int(min(max((total["b"] or 0) // BUCKET_BYTES, 16), 16_384))
+    n, buckets = total["n"], int(min(max((total["b"] or 0) // BUCKET_BYTES, 128), 16_384))
     long_texts = named.where(F.octet_length("text") >= LENGTH)
     hashed = long_texts.select("doc_id", hash_pair(F.col("text")).alias("h"))
     least = hashed.groupBy("h").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -376,9 +386,9 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     gone = copies.select("doc_id").distinct()
     first = long_texts.join(F.broadcast(gone) if copies.count() <= BROADCAST_COPIES else gone, "doc_id", "left_anti")
     live = shared_minimizers(first, buckets).groupBy("doc_id").agg(F.collect_list("live").alias("live"))
-    spans = written(repeated_spans(first.join(live, "doc_id"), buckets), "spans", few(4 * n))
+    spans = written(repeated_spans(first.join(live, "doc_id"), buckets), "spans", few(40 * n))
     whole = copies.select("doc_id", "h", F.lit(True).alias("is_copy"))
-    cut = spans.groupBy("doc_id").agg(F.collect_list("spans").alias("spans"))
+    cut = spans.groupBy("doc_id", "tag").agg(F.collect_list("spans").alias("spans"))
 
     def apply(batches):
         for batch in batches:
@@ -397,5 +407,5 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=[x.split()[0] for x in OUT.split(", ", 5)])
 
     joined = base.withColumn("h", hash_pair(F.col("text"))).join(F.broadcast(whole) if copies.count() <= BROADCAST_COPIES else whole, ["doc_id", "h"], "left").drop("h")
-    return joined.join(cut, "doc_id", "left").mapInArrow(apply, OUT)
+    return joined.withColumn("tag", F.crc32(F.col("text").cast("binary"))).join(cut, ["doc_id", "tag"], "left").mapInArrow(apply, OUT)
 
