@@ -57,16 +57,17 @@ def _symbol(kind: str, run: Column | None = None, amp: Column | None = None) ->
     return F.struct(F.lit(kind).alias("kind"), (F.lit(None) if run is None else run).cast("int").alias("run"), (F.lit(None) if amp is None else amp).cast("int").alias("amp"))
 
 
-def rle_encode(ac: Column, length: int = BLOCK * BLOCK - 1) -> Column:
-    """``(zeros before, value)`` of each nonzero, and one EOB if zeros trail.  Runs have no cap.
+def rle_encode(scan: Column, first: int = 1, length: int = BLOCK * BLOCK) -> Column:
+    """``(zeros before, value)`` of each nonzero from place ``first`` of a scanned block on, and one EOB if zeros trail.
 
-    The places of nonzeros are zipped with the same places one later, so a block
-    costs its length.
+    Runs have no cap.  The places of nonzeros are zipped with the same places one
+    later, so a block costs its length; ``scan`` should be a plain column, as it is
+    looked into once a place.
     """
-    at = F.filter(F.sequence(F.lit(0), F.lit(length - 1)), lambda i: ac[i] != 0)
-    before = F.slice(F.concat(F.array(F.lit(-1)), at), F.lit(1), F.size(at))
-    pairs = F.zip_with(at, before, lambda i, p: _symbol(AC, i - p - 1, ac[i]))
-    return F.when(ac[length - 1] == 0, F.concat(pairs, F.array(_symbol(EOB)))).otherwise(pairs)
+    at = F.filter(F.sequence(F.lit(first), F.lit(length - 1)), lambda i: scan[i] != 0)
+    before = F.slice(F.concat(F.array(F.lit(first - 1)), at), F.lit(1), F.size(at))
+    pairs = F.zip_with(at, before, lambda i, p: _symbol(AC, i - p - 1, scan[i]))
+    return F.when(scan[length - 1] == 0, F.concat(pairs, F.array(_symbol(EOB)))).otherwise(pairs)
 
 
 def rle_decode(symbols: Column, length: int = BLOCK * BLOCK - 1) -> Column:
@@ -101,7 +102,7 @@ def rle_decode(symbols: Column, length: int = BLOCK * BLOCK - 1) -> Column:
 def encode_blocks(blocks: DataFrame, key: list[str] = PLANE, column: str = "qf", initial: int = 0) -> DataFrame:
     """Adds ``dc_diff`` and ``ac_symbols`` to quantized blocks."""
     z = blocks.withColumn("bl_z", zigzag_scan(F.col(column)))
-    return dc_encode(z.withColumn("bl_dc", F.col("bl_z")[0]), key, "bl_dc", "dc_diff", initial).withColumn("ac_symbols", rle_encode(F.slice("bl_z", 2, BLOCK * BLOCK - 1))).drop("bl_z", "bl_dc")
+    return dc_encode(z.withColumn("bl_dc", F.col("bl_z")[0]), key, "bl_dc", "dc_diff", initial).withColumn("ac_symbols", rle_encode(F.col("bl_z"))).drop("bl_z", "bl_dc")
 
 
 def decode_blocks(encoded: DataFrame, key: list[str] = PLANE, target: str = "qf", initial: int = 0) -> DataFrame:

@@ -289,7 +289,8 @@ def dc_prefix(spark, sf_dir):
 
 @add("rle_symbols", chain("SELECT br::BIGINT AS br, bc::BIGINT AS bc, pos, kind, run, amp FROM sym WHERE kind IN ('AC', 'EOB')", "zc", "dc", "ac", "last", "sym", tables=ONE))
 def rle_symbols(spark, sf_dir):
-    return _encoded(spark, sf_dir).select(*long("br", "bc"), F.posexplode("ac_symbols").alias("p", "s")).select("br", "bc", (F.col("p") + 1).alias("pos"), "s.kind", "s.run", "s.amp")
+    stream = coding.symbol_stream(_encoded(spark, sf_dir), pipelines.RUN).where(F.col("kind").isin("AC", "EOB"))
+    return stream.select(*long("br", "bc"), "pos", "kind", "run", "amp")
 
 
 @add("rle_decode", chain("SELECT br::BIGINT AS br, bc::BIGINT AS bc, u::BIGINT AS u, v::BIGINT AS v, qf FROM qc", "qc", tables=ONE))

@@ -22,4 +22,4 @@ def encode_stream(blocks: DataFrame, table: list[float]) -> DataFrame:
     require(len(table) == BLOCK * BLOCK, "the table must have one step a coefficient")
     q = dct2(level_shift(blocks)).withColumn("qf", quantize(F.col("f"), literal_table(table)))
     z = q.withColumn("bl_z", zigzag_scan(F.col("qf")))
-    return z.withColumns({"dc": F.col("bl_z")[0], "ac_symbols": rle_encode(F.slice("bl_z", 2, BLOCK * BLOCK - 1))}).drop("bl_z", "f", "px")
+    return z.withColumns({"dc": F.col("bl_z")[0], "ac_symbols": rle_encode(F.col("bl_z"))}).drop("bl_z", "f", "px")
