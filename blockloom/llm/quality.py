@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -85,12 +86,12 @@ def dual_coordinate_descent(samples: list[np.ndarray], labels: np.ndarray, r: np
     """
     y = np.where(labels == 1, 1.0, -1.0)
     norm = np.array([np.sqrt(max((r[x] ** 2).sum(), 1e-12)) for x in samples])
-    values = [r[x] / n for x, n in zip(samples, norm, strict=True)]
     w, alpha, diag = np.zeros(PLACES), np.zeros(len(y)), 1 / (2 * cost)
     order = np.random.default_rng(0)
     for _ in range(rounds):
         for i in order.permutation(len(y)):
-            x, v = samples[i], values[i]
+            x = samples[i]
+            v = r[x] / norm[i]
             gradient = y[i] * (w[x] @ v) - 1 + diag * alpha[i]
             new = max(alpha[i] - gradient / (1 + diag), 0.0)
             if new != alpha[i]:
@@ -151,7 +152,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     Rows of the held-out fold, without id or without label are left out; of
     rows that label one id differently the lowest label counts.  Only the ids and
     labels are ordered; texts are read for the chosen ids alone and reach the
-    driver as places of indicators.
+    driver as bit maps of indicators, 32 kB each at most.
     """
     known = labels.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{label_col}`").cast("int").alias("y")).where("y in (0, 1) and doc_id is not null").where(~held_out("doc_id"))
     one = known.groupBy("doc_id").agg(F.min("y").alias("y"))
@@ -168,14 +169,15 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def places(batches):
         claim("quality")
         for batch in batches:
-            out = [(i, y, np.flatnonzero(seen(t)).astype("<i4").tobytes()) for i, y, t in rows([batch], "doc_id", "y", "text")]
+            out = [(i, y, zlib.compress(np.packbits(seen(t)).tobytes(), 1)) for i, y, t in rows([batch], "doc_id", "y", "text")]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["doc_id", "y", "places"])
 
     got = by_id(docs, id_col, text_col).join(F.broadcast(few), "doc_id").mapInArrow(places, "doc_id long, y int, places binary").collect()
     got = sorted({(r["doc_id"], r["y"], bytes(r["places"])) for r in got})
     total = sum(shares.values())
-    return fit([np.frombuffer(p, "<i4") for _, _, p in got], np.array([y for _, y, _ in got]), shares.get(1, 0) / total)
+    samples = [np.flatnonzero(np.unpackbits(np.frombuffer(zlib.decompress(p), np.uint8))).astype(np.int32) for _, _, p in got]
+    return fit(samples, np.array([y for _, y, _ in got]), shares.get(1, 0) / total)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", target: str = "score") -> DataFrame:
