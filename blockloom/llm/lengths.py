@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from blockloom.llm.common import by_id
 from blockloom.llm.tokens import encoder, rows
 
-_BUCKET = 1024
+_BUCKET = 64
 
 
 def histogram(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -39,7 +39,7 @@ def suffix_sums(hist: DataFrame) -> DataFrame:
     ``truncated_total`` is the sum of min(length, n_tokens) over all documents;
     between two rows it is linear with slope ``docs_at_least`` of the upper one.
     ``quantile`` is the share of documents no longer than the row.  Sums run in
-    buckets of 1,024 lengths first, so no task orders the whole histogram.
+    buckets of 64 lengths first, so no task orders the whole histogram.
     """
     inner = hist.withColumn("bucket", F.floor(F.col("n_tokens") / _BUCKET))
     tokens = F.col("n_docs") * F.col("n_tokens")
