@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from blockloom.llm.common import by_id
+from blockloom.llm.common import by_id, few, written
 from blockloom.llm.tokens import encoder, rows
 
 _BUCKET = 64
@@ -38,10 +38,11 @@ def suffix_sums(hist: DataFrame) -> DataFrame:
 
     ``truncated_total`` is the sum of min(length, n_tokens) over all documents;
     between two rows it is linear with slope ``docs_at_least`` of the upper one.
-    ``quantile`` is the share of documents no longer than the row.  Sums run in
+    ``quantile`` is the share of documents no longer than the row.  The histogram is
+    read twice, so it is written first (a row a length; texts are encoded once).  Sums run in
     buckets of 64 lengths first, so no task orders the whole histogram.
     """
-    inner = hist.withColumn("bucket", F.floor(F.col("n_tokens") / _BUCKET))
+    inner = written(hist, "lengths", few(0)).withColumn("bucket", F.floor(F.col("n_tokens") / _BUCKET))
     tokens = F.col("n_docs") * F.col("n_tokens")
     per = inner.groupBy("bucket").agg(F.sum("n_docs").alias("docs"), F.sum(tokens).alias("toks"))
     after = Window.orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
