@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from blockloom.llm.common import by_id, written
-from blockloom.llm.tokens import encoder, rows
+from blockloom.llm.tokens import CACHE, encoder, rows
 
 WINDOW = 4096
 #: Windows that a task keeps open.
@@ -98,7 +98,7 @@ def _emitter(dtype: np.dtype, shard: int, first: int):
     return place, ready
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, window: int = WINDOW, most_open: int = OPEN, gap: int = GAP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, window: int = WINDOW, most_open: int = OPEN, gap: int = GAP, id_col: str = "doc_id", text_col: str = "text", cache: int = CACHE) -> DataFrame:
     """Pieces of every document, each placed in one window of at most ``window`` ids.
 
     Each scan task encodes and packs its own rows; no text is shuffled.  A
@@ -106,7 +106,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, window: int = WINDOW,
     fullest window is topped up with its first ids and emitted, so a window is
     padded by ``gap`` ids at most.  What stays open (``most_open`` windows a task)
     is merged over ``MERGE`` tasks at a time; one window of each merge stays
-    short.  Rows carry the ids (little-endian, of the vocabulary's width).
+    short.  ``cache`` bounds what a worker remembers of the
+    vocabulary.  Rows carry the ids (little-endian, of the vocabulary's width).
 
     A null text counts as empty and is the end id alone; null ids stay null;
     repeated rows are packed as often as they stand; an empty table gives no
@@ -115,7 +116,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, window: int = WINDOW,
     """
 
     def first(batches):
-        enc, shard = encoder(tokenizer), TaskContext.get().partitionId()
+        enc, shard = encoder(tokenizer, cache), TaskContext.get().partitionId()
         end, size = np.array([end_id], enc.dtype).tobytes(), enc.dtype.itemsize
         packer = Packer(window, most_open, gap, size)
         place, ready = _emitter(enc.dtype, shard, shard << 32)
@@ -129,7 +130,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, window: int = WINDOW,
         yield from ready(last=True)
 
     def merge(batches):
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, cache)
         packer = Packer(window, 1, 0, enc.dtype.itemsize)
         place = ready = None
         for group, doc_id, start, total, ids in rows(batches, "grp", "doc_id", "start", "doc_tokens", "ids"):

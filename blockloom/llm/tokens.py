@@ -65,7 +65,7 @@ class Encoder:
     the library whole.  ``tests/llm/test_tokens.py`` holds the two ways equal.
     """
 
-    def __init__(self, path: str, cache: int = 700_000):
+    def __init__(self, path: str, cache: int):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -158,15 +158,19 @@ class Encoder:
             return self.whole([text])[0]
 
 
-_ENCODERS: dict[str, Encoder] = {}
+#: Pieces of text that a worker's encoder remembers.
+CACHE = 700_000
 
+_ENCODERS: dict[tuple[str, int], Encoder] = {}
 
-def encoder(path: str) -> Encoder:
+
+def encoder(path: str, cache: int = CACHE) -> Encoder:
     """One encoder a worker process, kept between its tasks."""
-    claim(f"tokens {path}", lambda: _ENCODERS.pop(path, None))
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    key = path, cache
+    claim(f"tokens {key}", lambda: _ENCODERS.pop(key, None))
+    if key not in _ENCODERS:
+        _ENCODERS[key] = Encoder(path, cache)
+    return _ENCODERS[key]
 
 
 def rows(batches, *columns: str, step: int = 256):

@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from blockloom.llm import decontaminate, line_dedup, minhash, packing, quality
 from blockloom.llm.common import new_path
 
+#: Pieces of text that a worker remembers while it packs.
+CACHE = 150_000
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -41,8 +44,11 @@ def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of windows of 4,096 ids, with the ids."""
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    """Pieces of windows of 4,096 ids, with the ids.
+
+    Workers still hold memory of the stages before, so they remember fewer pieces.
+    """
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2, cache=CACHE)
 
 
 STAGES: list[tuple[str, Stage]] = [
