@@ -1,4 +1,4 @@
-"""Benchmark decontamination: latent semantic candidates, then subsequence and answer checks."""
+"""Benchmark decontamination: exact candidates by rare words, subsequence and answer checks, latent cosines."""
 
 from __future__ import annotations
 
@@ -19,19 +19,15 @@ from blockloom.llm.tokens import rows
 PASSAGE, STRIDE = 32, 16
 #: Latent dimensions, and random directions beyond them.
 RANK, EXTRA = 64, 16
-#: Cosine from which an item is a candidate for a passage.
-COSINE = 0.3
-#: A passage that holds less of any item's squared weight than this is near none of them.
+#: A passage that holds less of any item's squared weight than this is left out of the basis.
 LEAST_WEIGHT = 0.25
-#: Words in more than this share of passages say little: they keep a hundredth of their weight.
-COMMON = 0.01
-#: Share of an item's words (of a passage's, if that has fewer) that a passage must hold to be compared.
-OVERLAP = 0.35
 #: Share of an item's words in order in a document: a leak; and a leak if its answer is there too.
 LEAK, PARAPHRASE = 0.8, 0.5
 #: Items that are searched for in one pass; more are taken in blocks.
 ITEMS = 2_000
 _PARTS = 4
+#: Words of documents that are searched together, and words that are looked up at once.
+_TOGETHER, _AT_ONCE = 1 << 16, 1 << 20
 _SIGNS = b".,;:!?\"'()[]{}<>|*"
 
 
@@ -81,6 +77,7 @@ class Index:
     seqs: list[list[bytes]]
     answers: list[list[bytes]]
     vocabulary: dict[bytes, int] = field(default_factory=dict)
+    seen: np.ndarray | None = None
     idf: np.ndarray | None = None
     floor: float = 0.0
     basis: np.ndarray | None = None
@@ -136,7 +133,7 @@ def _summed(df: DataFrame, fn, shape: tuple[int, ...], dtype: str) -> np.ndarray
         if sums:
             yield pa.RecordBatch.from_pydict({"part": pa.array(list(sums), pa.int32()), "data": pa.array([x.astype(dtype).tobytes() for x in sums.values()], pa.binary())})
 
-    parts = df.mapInArrow(each, "part int, data binary").repartitionByRange(_PARTS, "part").mapInArrow(fold, "part int, data binary").collect()
+    parts = df.mapInArrow(each, "part int, data binary").repartition(_PARTS, "part").mapInArrow(fold, "part int, data binary").collect()
     return sum((np.frombuffer(r["data"], dtype) for r in parts), np.zeros(math.prod(shape), dtype)).reshape(shape)
 
 
@@ -191,8 +188,8 @@ def fit(table: DataFrame, index: Index) -> Index:
             yield np.frombuffer(counts, np.int64)
 
     df = _summed(table.where("counts is not null").select("counts"), counted, (size,), "int64")
-    idf = np.log((1.0 + df[0]) / (1.0 + df)) + 1e-3
-    index.idf = np.maximum(idf - np.log(1 / COMMON), idf / 100) if df[0] > 10 / COMMON else idf
+    index.seen = df
+    index.idf = np.log((1.0 + df[0]) / (1.0 + df)) + 1e-3
     index.idf[0] = 0.0
     index.floor = index.least()
     width = min(RANK + EXTRA, size)
@@ -253,6 +250,106 @@ def _back(index: Index, windows: np.ndarray, draw: np.ndarray) -> np.ndarray:
 FOUND = "doc_id long, item_id long, cosine double, lcs long, item_words long, ratio double, answer boolean"
 
 
+def _least(n: int, share: float) -> int:
+    """The fewest of ``n`` words that are ``share`` of them."""
+    return next(c for c in range(n + 1) if c / n >= share)
+
+
+def _ragged(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of the ranges ``lo`` to ``hi``, and the range of each."""
+    size = np.maximum(hi - lo, 0)
+    of = np.repeat(np.arange(len(lo)), size)
+    return np.arange(len(of)) + np.repeat(lo - (np.cumsum(size) - size), size), of
+
+
+def _cuts(sizes: np.ndarray) -> Iterator[slice]:
+    """Slices of about _AT_ONCE in all, one entry at least."""
+    total, lo = np.cumsum(sizes), 0
+    while lo < len(sizes):
+        hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + _AT_ONCE, "right")))
+        yield slice(lo, hi)
+        lo = hi
+
+
+class Candidates:
+    """Passages that can leak an item, from rare words: a superset of those that do.
+
+    If LEAK of an item's words stand near a passage, one of any few that are more
+    than the rest does too: the rarest ones are looked up.  An item whose answer
+    stands there has the answer's rarest word there, at its place in the answer.
+    What is left must hold enough of the item's words, in any order.
+    """
+
+    def __init__(self, index: Index):
+        seqs, answers = [index.numbers(s) for s in index.seqs], [index.numbers(a) for a in index.answers]
+        self.size = np.array([len(s) for s in seqs])
+        member = np.zeros((len(index.seen), len(seqs)), bool)
+        looked_up = []  # word, item, words needed, place in the answer or -1
+        for k, (seq, answer) in enumerate(zip(seqs, answers, strict=True)):
+            member[seq, k] = True
+            need = _least(len(seq), LEAK)
+            rarest = seq[np.argsort(index.seen[seq], kind="stable")][: len(seq) - need + 1]
+            looked_up += [(w, k, need, -1) for w in set(rarest.tolist())]
+            at = int(np.argmin(index.seen[answer]))
+            looked_up.append((int(answer[at]), k, _least(len(seq), PARAPHRASE), at))
+        self.member = np.packbits(member, axis=1, bitorder="little")
+        word, self.item, self.need, self.place = np.array(sorted(looked_up), np.int64).T
+        self.count = np.bincount(word, minlength=len(index.seen))
+        self.first = np.cumsum(self.count) - self.count
+        self.answer_size = np.array([len(a) for a in answers])
+        self.answer_first = np.cumsum(self.answer_size) - self.answer_size
+        self.answers = np.concatenate(answers)
+
+    def _held(self, tokens: np.ndarray, lo: np.ndarray, hi: np.ndarray, ks: np.ndarray) -> np.ndarray:
+        """Words between ``lo`` and ``hi`` that are in the item."""
+        out = np.zeros(len(lo), np.int64)
+        for c in _cuts(hi - lo):
+            at, of = _ragged(lo[c], hi[c])
+            k = ks[c][of]
+            out[c] = np.bincount(of, self.member[tokens[at], k >> 3] >> (k & 7).astype(np.uint8) & 1, len(lo[c]))
+        return out
+
+    def _answered(self, tokens: np.ndarray, at: np.ndarray, lo: np.ndarray, hi: np.ndarray, ks: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Whether the answer stands around its looked up word; true for the other words."""
+        begin, size = at - place, self.answer_size[ks]
+        good = (place < 0) | (begin >= lo) & (begin + size <= hi)
+        rest = np.flatnonzero(good & (place >= 0))
+        step = 0
+        while len(rest := rest[size[rest] > step]):
+            same = tokens[begin[rest] + step] == self.answers[self.answer_first[ks[rest]] + step]
+            good[rest[~same]] = False
+            rest, step = rest[same], step + 1
+        return good
+
+    def find(self, tokens: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        """Of documents one after the other: passage's first word, document, item, and what to compare from and to."""
+        found = np.flatnonzero(self.count[tokens])
+        for c in _cuts(self.count[tokens[found]] * 16):
+            first = self.first[tokens[found[c]]]
+            j, of = _ragged(first, first + self.count[tokens[found[c]]])
+            at, k, need, place = found[c][of], self.item[j], self.need[j], self.place[j]
+            doc = np.searchsorted(ends, at, "right")
+            hi, lo = ends[doc], np.concatenate([[0], ends[:-1]])[doc]
+            good = self._answered(tokens, at, lo, hi, k, place)
+            at, k, need, doc, lo, hi = (x[good] for x in (at, k, need, doc, lo, hi))
+            n = self.size[k]
+            good = self._held(tokens, np.maximum(lo, at - 2 * n - PASSAGE + 1), np.minimum(hi, at + 2 * n + PASSAGE), k) >= need
+            at, k, need, doc, lo, hi, n = (x[good] for x in (at, k, need, doc, lo, hi, n))
+            # all passages that are compared with this word
+            least = np.maximum(-((PASSAGE - 1 + n - at + lo) // STRIDE), 0)
+            most = np.minimum((at - lo + n) // STRIDE, -(-np.maximum(hi - lo - PASSAGE, 0) // STRIDE))
+            for part in _cuts(most + 1 - least):
+                p, of = _ragged(least[part], most[part] + 1)
+                start, of = lo[part][of] + p * STRIDE, of + part.start
+                key = start * len(self.size) + k[of]
+                order = np.lexsort((need[of], key))
+                order = order[np.concatenate([[True], np.diff(key[order]) != 0])] if len(order) else order
+                start, of = start[order], of[order]
+                begin, end = np.maximum(lo[of], start - n[of]), np.minimum(hi[of], start + PASSAGE + n[of])
+                good = self._held(tokens, begin, end, k[of]) >= need[of]
+                yield start[good], doc[of][good], k[of][good], begin[good], end[good]
+
+
 def search(table: DataFrame, index: Index) -> DataFrame:
     """``FOUND``: the items that each document leaks, best passage of each.  A narrow step.
 
@@ -260,37 +357,52 @@ def search(table: DataFrame, index: Index) -> DataFrame:
     """
     bits = [_bits(index.numbers(s).tolist()) for s in index.seqs]
     answers = [index.numbers(s) for s in index.answers]
-    member = np.zeros((len(index.idf), len(index.seqs)), bool)
-    for k, s in enumerate(index.seqs):
-        member[index.numbers(s), k] = True
-    least = np.array([min(len(s), PASSAGE) for s in index.seqs])
+    candidates = Candidates(index)
+    basis, latent, idf, sizes = index.basis, index.latent, index.idf, candidates.size.tolist()
+    light = Index(index.ids, [], [], idf=idf)
     types = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.float64(), pa.bool_())
     names = [x.split()[0] for x in FOUND.split(", ")]
 
-    def check(tokens: np.ndarray, start: int, k: int):
-        n = len(index.seqs[k])
-        near = tokens[max(0, start - n) : start + PASSAGE + n]
+    def check(near: np.ndarray, k: int):
+        n = sizes[k]
         lcs = common_subsequence(bits[k], n, near.tolist())
         return lcs, lcs / n, lcs >= PARAPHRASE * n and _stands_in(answers[k], near)
 
+    def leaked(docs: list[tuple]) -> list[tuple]:
+        tokens = np.concatenate([t for _, t in docs])
+        ends = np.cumsum([len(t) for _, t in docs])
+        best: dict[tuple[int, int], tuple] = {}
+        for starts, *others in candidates.find(tokens, ends):
+            hits = []
+            for s, i, k, begin, end in zip(starts.tolist(), *(x.tolist() for x in others), strict=True):
+                lcs, ratio, answer = check(tokens[begin:end], k)
+                if ratio >= LEAK or ratio >= PARAPHRASE and answer:
+                    hits.append((s, i, k, lcs, ratio, bool(answer)))
+            for lo in range(0, len(hits), 1024):
+                some = hits[lo : lo + 1024]
+                s, i, k = (np.array(x) for x in list(zip(*some, strict=True))[:3])
+                at = s[:, None] + np.arange(PASSAGE)
+                windows = np.where(at < ends[i][:, None], tokens[np.minimum(at, len(tokens) - 1)], 0)
+                cosines = (_unit(_vectors(light, windows, basis)) * latent[k]).sum(1)
+                for (_, i, k, lcs, ratio, answer), c in zip(some, cosines.tolist(), strict=True):
+                    row = (ratio, c, lcs, answer)
+                    best[i, k] = max(best.get((i, k), row), row)
+        return [(docs[i][0], light.ids[k], c, lcs, sizes[k], ratio, answer) for (i, k), (ratio, c, lcs, answer) in sorted(best.items())]
+
+    def together(batches):
+        held, size = [], 0
+        for doc_id, numbers in rows(batches, "doc_id", "numbers"):
+            held.append((doc_id, np.frombuffer(numbers, np.int32)))
+            size += len(held[-1][1])
+            if size >= _TOGETHER:
+                yield held
+                held, size = [], 0
+        if size:
+            yield held
+
     def scan(batches):
-        for batch in batches:
-            out = []
-            for doc_id, numbers in rows([batch], "doc_id", "numbers"):
-                tokens = np.frombuffer(numbers, np.int32)
-                starts, windows = _heavy(index, tokens, STRIDE)
-                best: dict[int, tuple] = {}
-                for lo in range(0, len(starts), 1024):
-                    cosines = _unit(_vectors(index, windows[lo : lo + 1024], index.basis)) @ index.latent.T
-                    ps, ks = np.nonzero(cosines >= COSINE)
-                    held = member[windows[lo + ps], ks[:, None]].sum(1) >= OVERLAP * least[ks]
-                    for p, k in zip(ps[held].tolist(), ks[held].tolist(), strict=True):
-                        lcs, ratio, answer = check(tokens, int(starts[lo + p]), k)
-                        if ratio >= LEAK or ratio >= PARAPHRASE and answer:
-                            row = (ratio, float(cosines[p, k]), lcs, answer)
-                            best[k] = max(best.get(k, row), row)
-                out += [(doc_id, index.ids[k], c, lcs, len(index.seqs[k]), ratio, bool(answer)) for k, (ratio, c, lcs, answer) in sorted(best.items())]
-            if out:
+        for docs in together(batches):
+            if out := leaked(docs):
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
 
     return table.where("numbers is not null").select("doc_id", "numbers").mapInArrow(scan, FOUND)
@@ -318,8 +430,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
     An item leaks into a document if LEAK of its words stand there in order
     close to one of its passages, or PARAPHRASE of them and its answer (the last
-    sentence) word for word.  Passages are looked at if their latent cosine with the item is
-    COSINE or more.  The benchmark is the stated query set: it is taken in blocks
+    sentence) word for word.  All passages that can be are compared: the search is exact.  The
+    latent cosine of the best one is a figure and decides nothing.  The benchmark is the stated query set: it is taken in blocks
     of ITEMS, each of which is sent to all tasks.
 
     Null texts and items count as empty; those without words match nothing.

@@ -72,3 +72,19 @@ def test_basis_holds_most_of_what_the_best_one_does(spark):
     k = index.basis.shape[1]
     assert np.allclose(index.basis.T @ index.basis, np.eye(k), atol=1e-3)
     assert ((dense @ index.basis) ** 2).sum() > 0.7 * (s[:k] ** 2).sum()
+
+
+def test_item_in_a_third_of_many_passages(spark):
+    """More than a thousand passages, and rare words of other items on both sides of the item."""
+    leaked = " ".join(f"a{j}" for j in range(20))
+    others = [" ".join(f"b{k}_{j}" for j in range(20)) for k in range(120)]
+    rows = []
+    for i in range(1200):
+        w = prose(i, 32).split()
+        if i % 3 == 0:
+            beside = others[i // 3 % 120].split()
+            w = [*beside[:6], *leaked.split(), *beside[6:12]]
+        rows.append((i, " ".join(w)))
+    bench = spark.createDataFrame([(1, leaked), *enumerate(others, 2)], "item_id long, text string")
+    got = d.leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()
+    assert sorted((r.doc_id, r.item_id, r.ratio) for r in got) == [(i, 1, 1.0) for i in range(0, 1200, 3)]
