@@ -8,7 +8,6 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -124,16 +123,16 @@ def _summed(df: DataFrame, fn, shape: tuple[int, ...], dtype: str) -> np.ndarray
         out = np.zeros(shape, dtype)
         for x in fn(batches):
             out += x
-        yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId() % _PARTS], pa.int32()), "data": pa.array([out.tobytes()], pa.binary())})
+        yield pa.RecordBatch.from_pydict({"data": pa.array([out.tobytes()], pa.binary())})
 
     def fold(batches):
-        sums: dict[int, np.ndarray] = {}
-        for part, data in rows(batches, "part", "data", step=1):
-            sums[part] = sums.get(part, 0) + np.frombuffer(data, dtype)
-        if sums:
-            yield pa.RecordBatch.from_pydict({"part": pa.array(list(sums), pa.int32()), "data": pa.array([x.astype(dtype).tobytes() for x in sums.values()], pa.binary())})
+        out = None
+        for (data,) in rows(batches, "data", step=1):
+            out = (0 if out is None else out) + np.frombuffer(data, dtype)
+        if out is not None:
+            yield pa.RecordBatch.from_pydict({"data": pa.array([out.tobytes()], pa.binary())})
 
-    parts = df.mapInArrow(each, "part int, data binary").repartition(_PARTS, "part").mapInArrow(fold, "part int, data binary").collect()
+    parts = df.mapInArrow(each, "data binary").repartition(_PARTS).mapInArrow(fold, "data binary").collect()
     return sum((np.frombuffer(r["data"], dtype) for r in parts), np.zeros(math.prod(shape), dtype)).reshape(shape)
 
 

@@ -88,3 +88,34 @@ def test_item_in_a_third_of_many_passages(spark):
     bench = spark.createDataFrame([(1, leaked), *enumerate(others, 2)], "item_id long, text string")
     got = d.leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()
     assert sorted((r.doc_id, r.item_id, r.ratio) for r in got) == [(i, 1, 1.0) for i in range(0, 1200, 3)]
+
+
+def test_two_thousand_items_against_brute_force(spark):
+    """Near copies and answers among reworded items, far more items than latent dimensions."""
+    r = random.Random(5)
+    items = [[f"w{int(r.random() ** 2 * 4000)}" for _ in range(r.randrange(15, 22))] for _ in range(2000)]
+    docs = []
+    for i in range(60):
+        w = prose(i, 40).split()
+        n, other, copy = len(items[i]), items[i + 100], []
+        for j, x in enumerate(items[i]):  # verbatim, reworded but for the answer, or words of another item between
+            copy.append(x if i % 3 == 0 or j >= n * 0.7 or j % 2 else f"new{j}")
+            if i % 3 == 2 and j < n * 0.7:
+                copy += [other[(j + m) % 15] for m in (0, 5, 10)[: 2 + j % 2]]
+        w[i % 30 : i % 30] = copy
+        docs.append(w)
+    want = {}
+    for i, w in enumerate(docs):
+        w = [x.encode() for x in w]
+        for k, item in enumerate(items):
+            seq, n = [x.encode() for x in item], len(item)
+            answer, bits = d.answer_words(" ".join(item)), d._bits(seq)
+            for s in d.passages(len(w)).tolist():
+                near = w[max(0, s - n) : s + d.PASSAGE + n]
+                length = d.common_subsequence(bits, n, near)
+                stands = any(near[j : j + len(answer)] == answer for j in range(len(near)))
+                if length / n >= d.LEAK or length / n >= d.PARAPHRASE and stands:
+                    want[i, k] = max(want.get((i, k), 0), length)
+    bench = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")
+    got = d.leaks(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], "doc_id long, text string"), bench).collect()
+    assert len(want) > 40 and {(r.doc_id, r.item_id): r.lcs for r in got} == want and len(got) == len(want)
