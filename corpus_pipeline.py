@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blockloom.llm import decontaminate, line_dedup, minhash, packing, quality
-from blockloom.llm.common import new_path
+from blockloom.storage import new_path, remove
 
 #: Pieces of text that a worker remembers while it packs.
 CACHE = 150_000
@@ -64,10 +64,15 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over ``documents``; each is written to the shared folder and read again as the next one's input."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The stages over ``documents``; each is written to the shared folder and read again as the next one's input.
+
+    A stage's table goes as soon as the next one's is written.
+    """
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         path = new_path(spark, name.replace(" ", "-"))
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        if before:
+            remove(before)
+        docs, before = spark.read.parquet(path), path
     return docs
