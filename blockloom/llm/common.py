@@ -1,18 +1,12 @@
-"""Shared folder, written tables and small column helpers of the training-data operators."""
+"""What workers keep between tasks, and small column helpers of the training-data operators."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_OWN: dict[str, str] = {}
-
-
 #: What Python workers keep between tasks, by operator, and how to forget it.
 _KEPT: dict[str, Callable[[], None]] = {}
 _USER: list[str] = [""]
@@ -32,64 +26,6 @@ def claim(user: str, forget: Callable[[], None] | None = None) -> None:
                 clear()
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    A folder of our own is made only where the setting is missing, which is the
-    case in tests on one machine.
-    """
-    if found := spark.conf.get("spark.checkpoint.dir", None):
-        return found.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        _OWN[app] = "file://" + tempfile.mkdtemp(prefix="blockloom-")
-        atexit.register(_forget, _OWN[app][7:])
-    return _OWN[app]
-
-
-def _forget(path: str) -> None:
-    import shutil
-
-    shutil.rmtree(path, ignore_errors=True)
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/blockloom/{name}-{uuid.uuid4().hex}"
-
-
-def few(rows: int) -> int:
-    """Tasks for a table of so many narrow rows: enough for small clusters, in proportion beyond."""
-    return 6 + rows // 200_000
-
-
-def written(df: DataFrame, name: str, tasks: int | None = None) -> DataFrame:
-    """``df`` written once as Parquet in the shared folder and read back.
-
-    ``tasks`` bounds the files of a small table, which would else be one for each
-    shuffle partition.
-
-    Cuts lineage so that a lost executor costs a re-read, not a re-run of all
-    that came before.  ``drop`` removes the files.
-    """
-    path = new_path(df.sparkSession, name)
-    (df.coalesce(tasks) if tasks else df).write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._blockloom_path = path
-    return out
-
-
-def drop(*tables: DataFrame) -> None:
-    for t in tables:
-        remove(t.sparkSession, t._blockloom_path)
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def fresh(taken: Iterable[str], *wanted: str) -> list[str]:
     """``wanted`` names, lengthened until none equals a taken one in any case."""
     used, out = {c.lower() for c in taken}, []
@@ -110,7 +46,3 @@ def hash_pair(x: Column) -> Column:
     """A 128-bit key of a value as a struct of two 64-bit hashes of different seeds."""
     return F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit("second"), x).alias("b"))
 
-
-def arrow_stage(fn: Callable, schema):
-    """``fn(table iterator) -> batches`` in a form that mapInArrow takes."""
-    return lambda df: df.mapInArrow(fn, schema)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockloom.llm.common import drop, few, written
+from blockloom.storage import drop, few, written
+
 
 
 def components(edges: DataFrame, nodes: int) -> DataFrame:

@@ -11,8 +11,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockloom.llm.common import by_id, claim, written
+from blockloom.llm.common import by_id, claim
 from blockloom.llm.tokens import rows
+from blockloom.storage import written
 
 #: Words of a passage, and from one passage to the next.
 PASSAGE, STRIDE = 32, 16

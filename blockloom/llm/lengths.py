@@ -8,8 +8,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from blockloom.llm.common import by_id, few, written
+from blockloom.llm.common import by_id
 from blockloom.llm.tokens import encoder, rows
+from blockloom.storage import few, written
 
 _BUCKET = 64
 
@@ -19,8 +20,9 @@ def histogram(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col:
 
     Each task counts its rows before the shuffle, so what is shuffled is a few
     thousand pairs however many copies or hot sources there are.  A null text
-    has length 0, as an empty one; repeated rows count as often as they stand;
-    an empty table has no rows.
+    has length 0, as an empty one; a text of any length is encoded whole; rows
+    that repeat, and documents of one length, count as often as they stand;
+    an empty table has no rows.  Only the text is read, so extra columns may have any name.
     """
 
     def count(batches):

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from blockloom.llm.common import drop, fresh, hash_pair, written
+from blockloom.llm.common import fresh, hash_pair
+from blockloom.storage import drop, written
 
 #: A line on more than this share of its host's pages is boilerplate.
 RATIO = 0.1

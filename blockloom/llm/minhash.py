@@ -10,9 +10,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockloom.llm.common import by_id, claim, drop, few, written
+from blockloom.llm.common import by_id, claim
 from blockloom.llm.components import components
 from blockloom.llm.tokens import rows
+from blockloom.storage import drop, few, written
 
 #: A signature is CHUNKS chunks of WIDTH symbols of 16 bits.
 CHUNKS, WIDTH = 12, 4

@@ -11,8 +11,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockloom.llm.common import by_id, written
+from blockloom.llm.common import by_id
 from blockloom.llm.tokens import CACHE, encoder, rows
+from blockloom.storage import written
 
 WINDOW = 4096
 #: Windows that a task keeps open.

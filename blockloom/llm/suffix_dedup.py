@@ -18,8 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockloom.llm.common import claim, few, hash_pair, written
+from blockloom.llm.common import claim, hash_pair
 from blockloom.llm.tokens import rows
+from blockloom.storage import few, written
 
 LENGTH, GRAM = 50, 20
 _WINDOWS = LENGTH - GRAM + 1

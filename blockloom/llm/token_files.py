@@ -12,19 +12,22 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from blockloom.llm.common import by_id, new_path, written
+from blockloom.llm.common import by_id
 from blockloom.llm.tokens import encoder, rows
+from blockloom.storage import new_path, written
 
 SEQ_LEN = 2048
 #: Sequences in a batch of the file.
 BATCH_SEQS = 256
+#: Bytes of text for one file, about.
+FILE_BYTES = 16 << 20
 
 MANIFEST = "shard int, path string, docs_path string, n_docs long, n_sequences long, n_tokens long"
 _DOCS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
 
 
 def _schema(dtype: np.dtype, seq_len: int) -> pa.Schema:
-    return pa.schema([("ids", pa.list_(pa.from_numpy_dtype(dtype), seq_len)), ("mask", pa.list_(pa.bool_(), seq_len))])
+    return pa.schema([("ids", pa.list_(pa.from_numpy_dtype(dtype), seq_len)), ("mask", pa.list_(pa.uint8(), seq_len))])
 
 
 def _files(path: str) -> tuple[fs.FileSystem, str]:
@@ -34,7 +37,7 @@ def _files(path: str) -> tuple[fs.FileSystem, str]:
 class Writer:
     """Cuts a run of ids into rows of ``seq_len`` and writes them in batches of one layout.
 
-    Only the last row of a file is padded (id 0); its mask is false there.
+    Only the last row of a file is padded (id 0); its mask is 0 there, else 1, a byte a place.
     """
 
     def __init__(self, path: str, dtype: np.dtype, seq_len: int = SEQ_LEN, batch_seqs: int = BATCH_SEQS):
@@ -64,8 +67,8 @@ class Writer:
         size = rows_ * self.seq_len
         buf = np.zeros(size, self.dtype)
         buf[:n] = np.frombuffer(ids, self.dtype)
-        mask = np.zeros(size, bool)
-        mask[:n] = True
+        mask = np.zeros(size, np.uint8)
+        mask[:n] = 1
         arrays = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.seq_len) for x in (buf, mask)]
         self.out.write_batch(pa.RecordBatch.from_arrays(arrays, schema=self.schema))
         self.n_sequences += rows_
@@ -104,18 +107,19 @@ class TokenFile:
         return ipc.read_record_batch(ipc.read_message(self.source), self.schema)
 
     def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and mask of sequence ``i``; the ids are a view of the file."""
+        """Ids and mask of sequence ``i``, both views of the file; the mask is boolean."""
         batch = self.batch(i // self.rows_each) if self.rows_each and i >= 0 else None
         if batch is None or i % self.rows_each >= batch.num_rows:
             raise IndexError(i)
-        return tuple(batch.column(c)[i % self.rows_each].values.to_numpy(zero_copy_only=c == 0) for c in (0, 1))
+        ids, mask = (batch.column(c)[i % self.rows_each].values.to_numpy(zero_copy_only=True) for c in (0, 1))
+        return ids, mask.view(bool)
 
     def runs(self):
         """The ids in order, a batch at a time, without the padding."""
         k = 0
         while self.rows_each and (batch := self.batch(k)) is not None:
             ids, mask = (batch.column(c).flatten() for c in (0, 1))
-            n = mask.true_count
+            n = np.count_nonzero(mask.to_numpy())
             yield ids.to_numpy()[:n]
             k += 1
 
@@ -127,17 +131,19 @@ def read_docs(path: str) -> pa.Table:
         return ipc.open_stream(f).read_all()
 
 
-def write_tokens(docs: DataFrame, tokenizer: str, out: str | None = None, end_id: int = 0, seq_len: int = SEQ_LEN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def write_tokens(docs: DataFrame, tokenizer: str, out: str | None = None, end_id: int = 0, seq_len: int = SEQ_LEN, id_col: str = "doc_id", text_col: str = "text", file_bytes: int | None = None) -> DataFrame:
     """Encodes ``docs`` to token files in ascending id order; returns their manifest.
 
-    One shuffle deals documents by range of id; each task sorts its range and
-    streams it to a file of its own.  A file's name holds the task attempt, and
+    One shuffle deals documents by range of id, about ``file_bytes`` (FILE_BYTES) of text to a
+    range (an id that many rows share is dealt by text too); each task sorts its
+    range and streams it to a file of its own.  A file's name holds the task attempt, and
     only files of attempts that succeeded are in the manifest, so a task can
     run twice.  ``out`` defaults to a new folder in ``spark.checkpoint.dir``.
 
     Null texts count as empty and still get ``end_id``; null ids come first; rows
-    that repeat an id follow each other by text.  An empty table gives no files.
-    Only the id and text columns are read.
+    that repeat an id follow each other by a hash of their text, equal ones side by side.  A text
+    of any length is one document.  An empty table gives no files.
+    Only the id and text columns are read, so extra ones may have any name.
     """
     folder = out or new_path(docs.sparkSession, "tokens")
 
@@ -174,7 +180,10 @@ def write_tokens(docs: DataFrame, tokenizer: str, out: str | None = None, end_id
             types = (pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], names=names)
 
-    ordered = by_id(docs, id_col, text_col).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    texts = by_id(docs, id_col, text_col)
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    hashed = texts.withColumn("h", F.xxhash64("text"))
+    ordered = hashed.repartitionByRange(int(size // (file_bytes or FILE_BYTES)) + 1, "doc_id", "h").sortWithinPartitions("doc_id", "h")
     return written(ordered.mapInArrow(encode, MANIFEST), "manifest")
 
 

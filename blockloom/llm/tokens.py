@@ -62,22 +62,28 @@ class Encoder:
     such a cut gives each piece the same ids wherever it stands, so the pieces'
     ids are cached (at most ``cache`` of them) and joined.  Texts with pieces
     that start or end with white space, and tokenizers of another build, go to
-    the library whole.  ``tests/llm/test_tokens.py`` holds the two ways equal.
+    the library whole, and so do texts with the string of a token that the file
+    adds to the vocabulary.  ``tests/llm/test_tokens.py`` holds the two ways equal.
+
+    Such strings become the added token's id, as the library has it by default;
+    ``special_as_text`` reads those of special tokens as ordinary text.
     """
 
-    def __init__(self, path: str, cache: int):
+    def __init__(self, path: str, cache: int, special_as_text: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.library.encode_special_tokens = special_as_text
+        added = [t for t in spec.get("added_tokens") or [] if not (special_as_text and t["special"])]
+        self.added = tuple(t["content"] for t in added)
         self.model = self.library.model
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
         self.letters = _byte_letters()
         self.lower = self.spaced = False
-        self.split = self._pattern(spec)
+        self.split = None if any(t["normalized"] for t in added) else self._pattern(spec)
         self.pieces = _Pieces(self._piece, cache)
         self.heads = _Pieces(self._head, 50_000)
         self.tokens = _Pieces(self._token, 200_000)
@@ -147,7 +153,7 @@ class Encoder:
         return [self._pack(e.ids) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, text: str) -> bytes:
-        if self.split is None:
+        if self.split is None or any(map(text.__contains__, self.added)):
             return self.whole([text])[0]
         if not text:
             return b""
@@ -161,15 +167,15 @@ class Encoder:
 #: Pieces of text that a worker's encoder remembers.
 CACHE = 700_000
 
-_ENCODERS: dict[tuple[str, int], Encoder] = {}
+_ENCODERS: dict[tuple[str, int, bool], Encoder] = {}
 
 
-def encoder(path: str, cache: int = CACHE) -> Encoder:
+def encoder(path: str, cache: int = CACHE, special_as_text: bool = False) -> Encoder:
     """One encoder a worker process, kept between its tasks."""
-    key = path, cache
+    key = path, cache, special_as_text
     claim(f"tokens {key}", lambda: _ENCODERS.pop(key, None))
     if key not in _ENCODERS:
-        _ENCODERS[key] = Encoder(path, cache)
+        _ENCODERS[key] = Encoder(*key)
     return _ENCODERS[key]
 
 

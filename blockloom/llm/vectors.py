@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockloom.llm.common import drop, few, written
 from blockloom.llm.components import components
+from blockloom.storage import drop, few, written
 
 COSINE = 0.93
 #: Vectors that the codebooks are fitted on (those of least hash), and rounds of the fit.

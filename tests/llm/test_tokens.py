@@ -1,3 +1,4 @@
+import json
 import zlib
 
 import numpy as np
@@ -15,32 +16,47 @@ ODD = ["", " ", "  two  spaces ", "a\n\nb", "a \n b", " lead", "trail ", "tab\tx
 
 def expected(name: str, text: str, end: int) -> np.ndarray:
     tk = Tokenizer.from_file(PATHS[name])
-    tk.encode_special_tokens = True
     return np.array([*tk.encode(text or "", add_special_tokens=False).ids, end], "<u4")
 
 
 @pytest.mark.parametrize("name", PATHS)
 def test_encoder_equals_library(name):
-    enc, tk = Encoder(PATHS[name], cache=50), Tokenizer.from_file(PATHS[name])
-    tk.encode_special_tokens = True
-    for text in [*ODD, prose(5, 500), " ".join(ODD), prose(5, 500)]:
-        assert np.frombuffer(enc.encode(text), enc.dtype).tolist() == tk.encode(text, add_special_tokens=False).ids, repr(text)
+    for as_text in (False, True):
+        enc, tk = Encoder(PATHS[name], 50, as_text), Tokenizer.from_file(PATHS[name])
+        tk.encode_special_tokens = as_text
+        for text in [*ODD, prose(5, 500), " ".join(ODD), prose(5, 500)]:
+            assert np.frombuffer(enc.encode(text), enc.dtype).tolist() == tk.encode(text, add_special_tokens=False).ids, repr(text)
 
 
-def test_token_files_round_trip(spark, docs, tmp_path):
-    manifest = token_files.write_tokens(docs, PATHS["byte_bpe_50k.json"], f"file://{tmp_path}", seq_len=64)
+@pytest.mark.parametrize("name", PATHS)
+def test_added_tokens_inside_texts(name):
+    """As the library has it by default: the string of an added token is that token, wherever it stands."""
+    with open(PATHS[name], encoding="utf-8") as f:
+        added = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+    enc = Encoder(PATHS[name], cache=50)
+    for token, i in added.items():
+        for text in (token, f"a {token} b", f"a{token}b", f" {token} ", f"{token}{token}", f"One,{token}. Two", f"{token[:-1]} {token} {token.upper()}"):
+            got = np.frombuffer(enc.encode(text), enc.dtype).tolist()
+            assert got == Tokenizer.from_file(PATHS[name]).encode(text, add_special_tokens=False).ids and i in got, repr(text)
+
+
+def test_token_files_round_trip(spark, docs, clashing, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_files, "FILE_BYTES", 1 << 14)
+    manifest = token_files.write_tokens(clashing, PATHS["byte_bpe_50k.json"], f"file://{tmp_path}", seq_len=64)
     got = sorted(token_files.read_documents(manifest).collect(), key=lambda r: (r.start))
-    rows = sorted(docs.collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.text or ""))
+    assert manifest.count() > 2
+    want = sorted((r.doc_id is not None, r.doc_id or 0, len(ids := expected("byte_bpe_50k.json", r.text, 0)), zlib.crc32(ids.tobytes())) for r in docs.collect())
+    assert sorted((g.doc_id is not None, g.doc_id or 0, g.n_tokens, g.ids_crc32) for g in got) == want
     at = 0
-    for g, r in zip(got, rows, strict=True):
-        ids = expected("byte_bpe_50k.json", r.text, 0)
-        assert (g.doc_id, g.start, g.n_tokens, g.ids_crc32) == (r.doc_id, at, len(ids), zlib.crc32(ids.tobytes()))
-        at += len(ids)
+    for g, w in zip(got, sorted(want, key=lambda w: w[:2]), strict=True):  # ascending ids
+        assert (g.doc_id is not None, g.doc_id or 0) == w[:2] and g.start == at
+        at += g.n_tokens
     shard = max(manifest.collect(), key=lambda r: r.n_tokens)
     f = token_files.TokenFile(shard.path)
     whole = np.concatenate(list(f.runs()))
     for i in {0, 1, shard.n_sequences // 2, shard.n_sequences - 1}:
         ids, mask = f[i]
+        assert mask.dtype == bool and ids.base is not None and mask.base is not None
         assert len(ids) == len(mask) == 64 and ids[mask].tolist() == whole[i * 64 : i * 64 + 64].tolist()
     with pytest.raises(IndexError):
         f[shard.n_sequences]
@@ -55,7 +71,10 @@ def test_random_access_over_batches(tmp_path):
     f = token_files.TokenFile(str(tmp_path / "x.arrow"))
     assert [f[i][0].tolist() for i in range(20)] == run[:160].reshape(20, 8).tolist()
     assert f[20][0].tolist() == [160, 161, 162, 0, 0, 0, 0, 0] and f[20][1].sum() == 3
-    assert f[3][0].base is not None
+    mapped = [np.frombuffer(f.batch(0).column(c).flatten().buffers()[1], np.uint8) for c in (0, 1)]
+    for view, whole in zip(f[3], mapped, strict=True):  # inside the mapped file, not a copy
+        lo, at = whole.__array_interface__["data"][0], view.__array_interface__["data"][0]
+        assert lo <= at < lo + whole.nbytes
 
 
 def test_no_documents(spark, empty):
@@ -94,9 +113,9 @@ def test_packer_is_best_fit():
     assert [[x[3] for x in w] for w in p.add(3, 0, 23, b"d" * 23)] == [[b"d" * 10], [b"d" * 10]]
 
 
-def test_histogram_and_suffix_sums(spark, docs):
+def test_histogram_and_suffix_sums(spark, docs, clashing):
     path = PATHS["byte_bpe_50k.json"]
-    hist = lengths.histogram(docs, path)
+    hist = lengths.histogram(clashing, path)
     n = sorted(len(expected("byte_bpe_50k.json", r.text, 0)) - 1 for r in docs.collect())
     assert sorted((r.n_tokens, r.n_docs) for r in hist.collect()) == sorted((k, n.count(k)) for k in set(n))
     sums = lengths.suffix_sums(hist)
