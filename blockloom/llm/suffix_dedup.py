@@ -6,10 +6,16 @@ minimizers, and what is left is dealt by minimizer: all places of one string mee
 in one task.  There, shards of the distinct stretches get a transform each, and the
 transforms are merged by refining their interleave one symbol at a time; after
 LENGTH rounds the blocks of the interleave are the repeated strings.
+
+Nothing that grows with the corpus meets in one task.  Of what a batch holds more
+than once only the least document travels, as the batch itself knows that the
+others repeat it.  A minimizer of more than HOT documents is split: its strings are
+dealt by their own hash.  The number of buckets has no limit.
 """
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections import defaultdict
 
@@ -20,39 +26,48 @@ from pyspark.sql import functions as F
 
 from blockloom.llm.common import claim, hash_pair
 from blockloom.llm.tokens import rows
-from blockloom.storage import few, written
+from blockloom.storage import drop, few, written
 
 LENGTH, GRAM = 50, 20
 _WINDOWS = LENGTH - GRAM + 1
 #: Text that a task takes together; symbols of a shard; text for one bucket of minimizers.
-_BATCH, SHARD, BUCKET_BYTES = 1 << 18, 1 << 17, 8 << 20
+_BATCH, SHARD, BUCKET_BYTES = 1 << 18, 1 << 17, 1 << 20
+#: Documents of a minimizer beyond which its strings are dealt one by one, and places of the map of such minimizers.
+HOT, SLOTS = 8_192, 1 << 20
 #: Copies of whole texts up to which their ids are broadcast.
 BROADCAST_COPIES = 200_000
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03), np.uint64(0x2545F4914F6CDD1D)
 
 
-def minimizers(x: np.ndarray) -> np.ndarray:
-    """For each LENGTH-byte string of ``x``, its least hash of GRAM bytes."""
-    if len(x) < LENGTH:
+def gram_hashes(x: np.ndarray, n: int) -> np.ndarray:
+    """64-bit hashes of all ``n``-byte strings of ``x``, by doubling."""
+    if len(x) < n:
         return np.empty(0, np.uint64)
     h = x.astype(np.uint64)
     h += np.uint64(1)
     h *= _C
     size, by_size = 1, {}
-    while 2 * size <= GRAM:
+    while 2 * size <= n:
         by_size[size] = h
         h = h[:-size] * _A + h[size:]
         size *= 2
     by_size[size] = h
-    while size < GRAM:
-        part = max(s for s in by_size if s <= GRAM - size)
-        n = len(x) - size - part + 1
-        h = h[:n] * _B + by_size[part][size : size + n]
+    while size < n:
+        part = max(s for s in by_size if s <= n - size)
+        left = len(x) - size - part + 1
+        h = h[:left] * _B + by_size[part][size : size + left]
         size += part
     h ^= h >> np.uint64(32)
     h *= _A
     h ^= h >> np.uint64(29)
-    least, width = h, 1
+    return h
+
+
+def minimizers(x: np.ndarray) -> np.ndarray:
+    """For each LENGTH-byte string of ``x``, its least hash of GRAM bytes."""
+    if len(x) < LENGTH:
+        return np.empty(0, np.uint64)
+    least, width = gram_hashes(x, GRAM), 1
     while 2 * width <= _WINDOWS:
         least = np.minimum(least[:-width], least[width:])
         width *= 2
@@ -75,7 +90,10 @@ def _groups(batch, columns: tuple[str, ...]):
 
 
 def _runs(held: list):
-    """Runs of strings of one document with one minimizer: its document's number, first place, length, hash."""
+    """Runs of strings of one document with one minimizer: its document's number, first place, length, key.
+
+    Keys are minimizers times an odd number: least hashes are small, keys are spread evenly.
+    """
     raw = np.frombuffer(b"".join(t for _, t in held), np.uint8)
     sizes = np.array([len(t) for _, t in held])
     ends = np.cumsum(sizes)
@@ -90,26 +108,50 @@ def _runs(held: list):
     stop = np.flatnonzero(np.concatenate([inside & ~np.concatenate([inside[1:], [False]])])) + 1
     after = np.concatenate([first[1:], [len(m)]])
     end = np.minimum(after, stop[np.searchsorted(stop, first, side="right")]) if len(first) else after[:0]
-    return raw, starts, owner[first], first, end - first, m[first]
+    return raw, starts, owner[first], first, end - first, m[first] * _B
+
+
+def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket of evenly spread keys; it rises with the key."""
+    return ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
+
+def _slot(keys: np.ndarray) -> np.ndarray:
+    return (keys & np.uint64(SLOTS - 1)).astype(np.int64)
+
 
+def _firsts(*columns: np.ndarray) -> np.ndarray:
+    """Where a new run of equal rows starts in sorted columns."""
+    n = len(columns[0])
+    new = np.zeros(n, bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(new)
 
-def _blob_rows(bucket: np.ndarray, *arrays: np.ndarray):
-    """For each bucket: its number and its part of each array as bytes."""
-    order = np.argsort(bucket, kind="stable")
-    b = bucket[order]
-    cut = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]]))
-    parts = [a[order] for a in arrays]
-    for lo, hi in zip(cut, [*cut[1:], len(b)], strict=True):
-        yield (int(b[lo]), *(a[lo:hi].tobytes() for a in parts))
 
+def _cut(first: np.ndarray, n: int):
+    return itertools.pairwise([*first.tolist(), n])
 
-def shared_minimizers(texts: DataFrame, buckets: int) -> DataFrame:
-    """``doc_id, live``: the minimizers of a document that another one has too, as 8-byte hashes.
 
-    Counting runs on (32 bits of the hash, document) in packed rows by bucket of
-    the hash; chance meetings only let a few strings through that are compared later.
+_COUNTED = ("bucket", "keys", "docs", "counts")
+
+
+def shared_minimizers(texts: DataFrame, buckets: int, hot: int) -> DataFrame:
+    """``doc_id, live``: the minimizers of a document that another one has too, as the low 32 bits of their keys.
+
+    Rows without ``doc_id`` have the slots of minimizers of more than ``hot`` documents.
+    A minimizer that several documents of a batch hold is known to be shared
+    there; only the least and the greatest of them are sent to be counted, with how many
+    there are.  Chance meetings of 32 bits only let a few strings through that are compared later.
     """
 
+    def by_document(k, d):
+        order = np.argsort(d, kind="stable")
+        k, d = (k[order] & np.uint64(0xFFFFFFFF)).astype(np.uint32), d[order]
+        for lo, hi in _cut(_firsts(d), len(d)):
+            yield int(d[lo]), np.unique(k[lo:hi]).tobytes()
+
     def emit(batches):
         claim("suffixes")
         for batch in batches:
@@ -119,45 +161,86 @@ def shared_minimizers(texts: DataFrame, buckets: int) -> DataFrame:
                 ids = np.array([r[0] for r, _ in held])
                 keys.append(m)
                 docs.append(ids[owner] if len(owner) else np.empty(0, np.int64))
-            if keys and len(k := np.concatenate(keys)):
-                out = list(zip(*_blob_rows((k % np.uint64(buckets)).astype(np.int64), k, np.concatenate(docs)), strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary())], names=["bucket", "keys", "docs"])
+            if not keys or not len(k := np.concatenate(keys)):
+                continue
+            order = np.argsort(k, kind="stable")
+            k, d = k[order], np.concatenate(docs)[order]
+            first = _firsts(k)
+            n = np.diff(np.concatenate([first, [len(k)]]))
+            least, most = np.minimum.reduceat(d, first), np.maximum.reduceat(d, first)
+            shared = least != most
+            here = np.repeat(shared, n)
+            key = k[first]
+            sent = np.concatenate([key, key[shared]]), np.concatenate([least, most[shared]]), np.concatenate([n, np.zeros(int(shared.sum()), n.dtype)]).astype(np.uint32)
+            order = np.argsort(sent[0], kind="stable")
+            sent = [x[order] for x in sent]
+            bucket = _bucket(sent[0], buckets)
+            out = [(int(bucket[lo]), *(x[lo:hi].tobytes() for x in sent)) for lo, hi in _cut(_firsts(bucket), len(bucket))]
+            if here.any():  # answers that need no count; they go along to any bucket
+                out.append((int(bucket[0]), k[here].tobytes(), d[here].tobytes(), None))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i == 0 else pa.binary()) for i, c in enumerate(zip(*out, strict=True))], names=_COUNTED)
 
     def count(batches):
         def close(held):
-            k, d = (np.concatenate([np.frombuffer(h[i], t) for h in held]) for i, t in ((0, np.uint64), (1, np.int64)))
+            k, d, n = (np.concatenate([np.frombuffer(h[i], t) for h in held]) for i, t in enumerate((np.uint64, np.int64, np.uint32)))
             order = np.lexsort((d, k))
-            k, d = k[order], d[order]
-            first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+            k, d, n = k[order], d[order], n[order]
+            first = _firsts(k)
             size = np.diff(np.concatenate([first, [len(k)]]))
             live = np.repeat(d[first] != d[first + size - 1], size)
-            k, d = k[live], d[live]
-            order = np.argsort(d, kind="stable")
-            k, d = k[order], d[order]
-            if not len(d):
-                return
-            cut = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]]))
-            for lo, hi in zip(cut, [*cut[1:], len(d)], strict=True):
-                yield int(d[lo]), np.unique(k[lo:hi]).tobytes()
+            if (many := np.add.reduceat(n.astype(np.int64), first) > hot).any():
+                yield None, np.unique(_slot(k[first][many])).astype(np.uint32).tobytes()
+            yield from by_document(k[live], d[live])
 
         def batch_of(out):
             return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], names=["doc_id", "live"])
 
         at, held = None, []
-        for bucket, k, d in rows(batches, "bucket", "keys", "docs", step=64):
+        for bucket, k, d, n in rows(batches, *_COUNTED, step=64):
+            if n is None:
+                yield batch_of(list(by_document(np.frombuffer(k, np.uint64), np.frombuffer(d, np.int64))))
+                continue
             if bucket != at and held:
                 if out := list(close(held)):
                     yield batch_of(out)
                 held = []
             at = bucket
-            held.append((k, d))
+            held.append((k, d, n))
         if held and (out := list(close(held))):
             yield batch_of(out)
 
-    dealt = texts.mapInArrow(emit, "bucket int, keys binary, docs binary").repartition("bucket").sortWithinPartitions("bucket")
+    dealt = texts.select("doc_id", "text").mapInArrow(emit, "bucket int, keys binary, docs binary, counts binary").repartition("bucket").sortWithinPartitions("bucket")
     return dealt.mapInArrow(count, "doc_id long, live binary")
 
 
+def hot_slots(live: DataFrame) -> bytes:
+    """The map of hot minimizers, SLOTS bits: a bit for every key of a slot that holds one.
+
+    Joined on the executors first, so a few maps of fixed size reach the driver.
+    Cold minimizers of a hot slot are split too, which costs time and changes nothing.
+    """
+
+    def mark(batches):
+        bits = np.zeros(SLOTS, bool)
+        for (slots,) in rows(batches, "live"):
+            bits[np.frombuffer(slots, np.uint32)] = True
+        if bits.any():
+            yield pa.RecordBatch.from_pydict({"bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
+
+    def join(batches):
+        bits = np.zeros(SLOTS // 8, np.uint8)
+        for (b,) in rows(batches, "bits", step=16):
+            bits |= np.frombuffer(b, np.uint8)
+        if bits.any():
+            yield pa.RecordBatch.from_pydict({"bits": pa.array([bits.tobytes()], pa.binary())})
+
+    found = live.where("doc_id is null").select("live").mapInArrow(mark, "bits binary").repartition(4).mapInArrow(join, "bits binary").collect()
+    bits = np.zeros(SLOTS // 8, np.uint8)
+    for r in found:
+        bits |= np.frombuffer(r["bits"], np.uint8)
+    return bits.tobytes()
+
+
 def _suffix_order(x: np.ndarray) -> np.ndarray:
     """Rotations of a shard of 8-bit symbols, sorted on LENGTH symbols or more."""
     n, width = len(x), 7
@@ -206,7 +289,7 @@ def merge_transforms(shards: list[np.ndarray], depth: int = LENGTH) -> tuple[np.
     return places, start
 
 
-def least_documents(stretches: list[bytes], docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def least_documents(stretches: list[bytes], docs: np.ndarray, shard: int = SHARD) -> tuple[np.ndarray, np.ndarray]:
     """For every LENGTH-byte string of the stretches (in order), the least document that holds it.
 
     ``docs`` has the least document of each stretch.  Also where each stretch's strings begin.
@@ -222,7 +305,7 @@ def least_documents(stretches: list[bytes], docs: np.ndarray) -> tuple[np.ndarra
     joined[inside] = np.frombuffer(b"".join(stretches), np.uint8) + np.uint8(1)
     cuts = [0]
     for e in ends.tolist():
-        if e - cuts[-1] >= SHARD:
+        if e - cuts[-1] >= shard:
             cuts.append(e)
     if cuts[-1] != len(joined):
         cuts.append(len(joined))
@@ -239,43 +322,80 @@ def least_documents(stretches: list[bytes], docs: np.ndarray) -> tuple[np.ndarra
     return out, begin
 
 
-def repeated_spans(marked: DataFrame, buckets: int) -> DataFrame:
+def _joined(docs, tags, starts, stops):
+    """Byte ranges by document: its id, tag, and maximal runs as pairs of 32-bit numbers.
+
+    Ranges of a document end in the order in which they start.
+    """
+    order = np.lexsort((starts, tags, docs))
+    d, c, a, b = (x[order] for x in (docs, tags, starts, stops))
+    if not len(d):
+        return []
+    new = np.concatenate([[True], (d[1:] != d[:-1]) | (c[1:] != c[:-1]) | (a[1:] > b[:-1])])
+    first = np.flatnonzero(new)
+    last = np.concatenate([first[1:], [len(d)]]) - 1
+    d, c, pairs = d[first], c[first], np.stack([a[first], b[last]], 1).astype(np.uint32)
+    return [(int(d[lo]), int(c[lo]), pairs[lo:hi].tobytes()) for lo, hi in _cut(_firsts(d, c), len(d))]
+
+
+def repeated_spans(marked: DataFrame, buckets: int, slots: bytes) -> DataFrame:
     """``doc_id, tag, spans``: byte ranges of a document that also start in an earlier one, as pairs of 32-bit numbers.
 
-    ``marked(doc_id, text, live)``; ``tag``, the text's crc32, tells rows of one id apart.  Stretches around live minimizers are sent
-    by minimizer, equal ones of a batch once.  A minimizer whose stretches are all
+    ``marked(doc_id, text, live)``; ``tag``, the text's crc32, tells rows of one id
+    apart.  Stretches around live minimizers are sent by minimizer, those of hot ones
+    string by string.  Of equal stretches of a batch only the least document's is sent:
+    all of the others' strings are in that one.  A minimizer whose stretches are all
     equal needs no comparison; the others of a bucket are merged.
     """
+    shard = SHARD
+    shared = marked.sparkSession.sparkContext.broadcast(slots)
 
     def emit(batches):
+        hot = np.unpackbits(np.frombuffer(shared.value, np.uint8)).astype(bool)
         for batch in batches:
             found: dict[int, dict] = defaultdict(dict)
             for held in _groups(batch, ("doc_id", "text", "live")):
                 raw, starts, owner, first, count, m = _runs(held)
                 if not len(m):
                     continue
-                live = np.zeros(len(m), bool)
+                live, low = np.zeros(len(m), bool), (m & np.uint64(0xFFFFFFFF)).astype(np.uint32)
                 order = np.searchsorted(owner, np.arange(len(held) + 1))
                 for k, (r, _) in enumerate(held):
                     a, b = order[k], order[k + 1]
-                    known = np.concatenate([np.frombuffer(x, np.uint64) for x in r[2]])
-                    live[a:b] = np.isin(m[a:b], known)
+                    known = np.concatenate([np.frombuffer(x, np.uint32) for x in r[2]])
+                    live[a:b] = np.isin(low[a:b], known)
+                owner, first, count, m = (x[live] for x in (owner, first, count, m))
+                deal = m
+                if (split := hot[_slot(m)]).any():
+                    each = np.where(split, count, 1)
+                    owner, m = np.repeat(owner, each), np.repeat(m, each)
+                    first = np.repeat(first, each) + np.arange(len(owner)) - np.repeat(np.cumsum(each) - each, each)
+                    count = np.where(np.repeat(split, each), 1, np.repeat(count, each))
+                    deal = np.where(np.repeat(split, each), gram_hashes(raw, LENGTH)[first] * _B, m)
                 data = raw.tobytes()
                 ids = [(r[0], zlib.crc32(t)) for r, t in held]
-                for o, p, n, key in zip(owner[live].tolist(), first[live].tolist(), count[live].tolist(), m[live].tolist(), strict=True):
-                    found[key % buckets].setdefault((key, data[p : p + n + LENGTH - 1]), []).append((ids[o], p - int(starts[o])))
-            out = []
+                for bucket, o, p, n, key in zip(_bucket(deal, buckets).tolist(), owner.tolist(), first.tolist(), count.tolist(), m.tolist(), strict=True):
+                    found[bucket].setdefault((key, data[p : p + n + LENGTH - 1]), []).append((*ids[o], p - int(starts[o])))
+            out, known = [], []
             for bucket, stretches in found.items():
+                sent = []
+                for (_, stretch), places in stretches.items():
+                    if len(places) > 1 and (least := min(places)[0]) != max(places)[0]:
+                        known += [(*x, x[2] + len(stretch)) for x in places if x[0] != least]
+                        places = [x for x in places if x[0] == least]
+                    sent.append(places)
                 out.append((
                     bucket,
                     np.array([k for k, _ in stretches], np.uint64).tobytes(),
                     np.array([len(s) for _, s in stretches], np.uint32).tobytes(),
                     b"".join(s for _, s in stretches),
-                    np.array([len(v) for v in stretches.values()], np.uint32).tobytes(),
-                    np.array([d for v in stretches.values() for (d, _), _ in v], np.int64).tobytes(),
-                    np.array([c for v in stretches.values() for (_, c), _ in v], np.uint32).tobytes(),
-                    np.array([p for v in stretches.values() for _, p in v], np.uint32).tobytes(),
+                    np.array([len(v) for v in sent], np.uint32).tobytes(),
+                    *(np.array([x[i] for v in sent for x in v], t).tobytes() for i, t in enumerate((np.int64, np.uint32, np.uint32))),
                 ))
+            if known:  # answers that need no comparison; they go along to any bucket
+                docs, tags, spans = zip(*_joined(*(np.array(x, np.int64) for x in zip(*known, strict=True))), strict=True)
+                sizes = np.array([len(x) // 8 for x in spans], np.uint32)
+                out.append((out[0][0], None, sizes.tobytes(), b"".join(spans), None, np.array(docs, np.int64).tobytes(), np.array(tags, np.uint32).tobytes(), None))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i == 0 else pa.binary()) for i, c in enumerate(zip(*out, strict=True))], names=names)
 
@@ -308,7 +428,7 @@ def repeated_spans(marked: DataFrame, buckets: int) -> DataFrame:
         out = [(docs[hit], tags[hit], places[hit], places[hit] + lengths[of[hit]])]
         some = np.flatnonzero(several)
         if len(some):
-            best, begin = least_documents([stretches[i] for i in some], least[some])
+            best, begin = least_documents([stretches[i] for i in some], least[some], shard)
             new = np.full(len(index), -1)
             new[some] = np.arange(len(some))
             mine = np.flatnonzero(~alone)
@@ -321,13 +441,7 @@ def repeated_spans(marked: DataFrame, buckets: int) -> DataFrame:
             open_ = np.flatnonzero(cover & (edge | ~np.concatenate([[False], cover[:-1]])))
             shut = np.flatnonzero(cover & ~np.concatenate([cover[1:] & ~edge[1:], [False]]))
             out.append((np.repeat(docs[mine], n)[open_], np.repeat(tags[mine], n)[open_], where[open_], where[shut] + LENGTH))
-        d, c, a, b = (np.concatenate(x) for x in zip(*out, strict=True))
-        order = np.lexsort((a, c, d))
-        d, c, pairs = d[order], c[order], np.stack([a, b], 1)[order].astype(np.uint32)
-        if not len(d):
-            return []
-        cut = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (c[1:] != c[:-1])]))
-        return [(int(d[lo]), int(c[lo]), pairs[lo:hi].tobytes()) for lo, hi in zip(cut, [*cut[1:], len(d)], strict=True)]
+        return _joined(*(np.concatenate(x) for x in zip(*out, strict=True)))
 
     def merge(batches):
         def batch_of(out):
@@ -335,6 +449,12 @@ def repeated_spans(marked: DataFrame, buckets: int) -> DataFrame:
 
         at, held = None, []
         for bucket, *rest in rows(batches, *names, step=64):
+            if rest[0] is None:
+                _, sizes, data, _, docs, tags, _ = rest
+                ends = np.cumsum(np.frombuffer(sizes, np.uint32)) * 8
+                parts = [data[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+                yield batch_of(list(zip(np.frombuffer(docs, np.int64).tolist(), np.frombuffer(tags, np.uint32).tolist(), parts, strict=True)))
+                continue
             if bucket != at and held:
                 if out := close(held):
                     yield batch_of(out)
@@ -345,7 +465,7 @@ def repeated_spans(marked: DataFrame, buckets: int) -> DataFrame:
             yield batch_of(out)
 
     schema = "bucket int, keys binary, sizes binary, data binary, counts binary, docs binary, tags binary, places binary"
-    dealt = marked.mapInArrow(emit, schema).repartition("bucket").sortWithinPartitions("bucket")
+    dealt = marked.select("doc_id", "text", "live").mapInArrow(emit, schema).repartition("bucket").sortWithinPartitions("bucket")
     return dealt.mapInArrow(merge, "doc_id long, tag long, spans binary")
 
 
@@ -370,25 +490,27 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     starts in a document of smaller id; strings are judged on the input.  ``kept``
     are the remaining bytes joined (they may part a character).
 
-    A null text counts as empty; texts under LENGTH bytes are left whole.  A row
-    without id loses nothing and takes nothing from others.  Rows that share an
-    id do not remove each other's bytes.  Whole copies are found by a 128-bit hash
-    of the text and go without comparison.  An empty table gives no rows; extra
-    columns are not read.
+    A null text counts as empty; texts under LENGTH bytes are left whole; a text of
+    any length is one document.  A row without id loses nothing and takes nothing from
+    others.  Rows that share an id are judged each by its own text, and do not remove
+    each other's bytes.  Whole copies are found by a 128-bit hash of the text and go
+    without comparison.  An empty table gives no rows; extra columns are not read and
+    may have any name.
     """
     base = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     named = base.where("doc_id is not null")
     total = named.agg(F.sum(F.octet_length("text")).alias("b"), F.count(F.lit(1)).alias("n")).first()
-    n, buckets = total["n"], int(min(max((total["b"] or 0) // BUCKET_BYTES, 128), 16_384))
-    long_texts = named.where(F.octet_length("text") >= LENGTH)
-    hashed = long_texts.select("doc_id", hash_pair(F.col("text")).alias("h"))
+    n, buckets = total["n"], int((total["b"] or 0) // BUCKET_BYTES) + 1
+    hashed = named.where(F.octet_length("text") >= LENGTH).withColumn("h", hash_pair(F.col("text")))
     least = hashed.groupBy("h").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    copies = written(hashed.join(least, "h").where("doc_id > least").select("doc_id", "h").distinct(), "copies", few(n))
-    gone = copies.select("doc_id").distinct()
-    first = long_texts.join(F.broadcast(gone) if copies.count() <= BROADCAST_COPIES else gone, "doc_id", "left_anti")
-    live = shared_minimizers(first, buckets).groupBy("doc_id").agg(F.collect_list("live").alias("live"))
-    spans = written(repeated_spans(first.join(live, "doc_id"), buckets), "spans", few(40 * n))
-    whole = copies.select("doc_id", "h", F.lit(True).alias("is_copy"))
+    copies = written(hashed.select("doc_id", "h").join(least, "h").where("doc_id > least").select("doc_id", "h").distinct(), "copies", few(n))
+    gone = F.broadcast(copies) if copies.count() <= BROADCAST_COPIES else copies
+    first = hashed.join(gone, ["doc_id", "h"], "left_anti").select("doc_id", "text")
+    live = written(shared_minimizers(first, buckets, HOT), "live", few(40 * n))
+    mine = live.where("doc_id is not null").groupBy("doc_id").agg(F.collect_list("live").alias("live"))
+    spans = written(repeated_spans(first.join(mine, "doc_id"), buckets, hot_slots(live)), "spans", few(40 * n))
+    drop(live)
+    whole = gone.select("doc_id", "h", F.lit(True).alias("is_copy"))
     cut = spans.groupBy("doc_id", "tag").agg(F.collect_list("spans").alias("spans"))
 
     def apply(batches):
@@ -407,6 +529,6 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=[x.split()[0] for x in OUT.split(", ", 5)])
 
-    joined = base.withColumn("h", hash_pair(F.col("text"))).join(F.broadcast(whole) if copies.count() <= BROADCAST_COPIES else whole, ["doc_id", "h"], "left").drop("h")
+    joined = base.withColumn("h", hash_pair(F.col("text"))).join(whole, ["doc_id", "h"], "left").drop("h")
     return joined.withColumn("tag", F.crc32(F.col("text").cast("binary"))).join(cut, ["doc_id", "tag"], "left").mapInArrow(apply, OUT)
 

@@ -41,9 +41,20 @@ def test_no_rows(spark, empty):
     assert s.suffix_dedup(empty).count() == 0
 
 
-@pytest.mark.parametrize("shard", [64, 1 << 17])
-def test_overlapping_passages(spark, monkeypatch, shard):
+@pytest.mark.parametrize("copies", [0, 100])
+def test_repeated_ids_with_different_texts(spark, monkeypatch, copies):
+    monkeypatch.setattr(s, "BROADCAST_COPIES", copies)
+    a, b, c = prose(1, 20), prose(2, 12), prose(3, 40)
+    rows = [(1, a), (2, b), (10, a), (10, f"head {b} tail"), (10, a), (10, c), (11, c[30:] + a), (11, c), (11, c), (12, b[3:] + c[:200]), (12, None), (3, b[:70] + "x" * 60)]
+    check(spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOC))
+
+
+@pytest.mark.parametrize(("shard", "hot", "size"), [(64, 2, 300), (1 << 17, 8_192, 1 << 20), (200, 5, 1 << 12)])
+def test_overlapping_passages(spark, monkeypatch, shard, hot, size):
+    """With and without hot minimizers, over many small buckets and one."""
     monkeypatch.setattr(s, "SHARD", shard)
+    monkeypatch.setattr(s, "HOT", hot)
+    monkeypatch.setattr(s, "BUCKET_BYTES", size)
     monkeypatch.setattr(s, "BROADCAST_COPIES", 0)
     r = random.Random(1)
     pool = [prose(i, 30) for i in range(6)] + ["é" * 80, "ab" * 60, "x" * 200]
@@ -59,6 +70,19 @@ def test_overlapping_passages(spark, monkeypatch, shard):
     check(spark.createDataFrame(rows, DOC))
 
 
+def test_a_hot_minimizer_is_split(spark, monkeypatch):
+    """Many documents share a passage with own words on both sides: its strings are dealt to many buckets."""
+    passage = prose(5, 9)[:60]
+    rows = [(i, f"{prose(100 + i, 6)} {passage} {prose(900 + i, 6)}") for i in range(300)]
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOC).repartition(7)
+    live = s.shared_minimizers(df, 50, 20)
+    slots = s.hot_slots(live)
+    assert 0 < np.unpackbits(np.frombuffer(slots, np.uint8)).sum() < 40
+    assert not any(s.hot_slots(s.shared_minimizers(df, 50, 1000)))
+    monkeypatch.setattr(s, "HOT", 20)
+    check(df)
+
+
 def test_merged_transforms_are_the_sorted_suffixes():
     rng = np.random.default_rng(0)
     shards = [rng.integers(1, 3, n).astype(np.uint8) for n in (40, 1, 77, 300)]
