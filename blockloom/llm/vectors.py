@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from blockloom.llm.common import hash_pair
 from blockloom.llm.components import components
 from blockloom.storage import drop, few, written
 
@@ -77,18 +78,21 @@ def _unit(raw: list[bytes], dim: int, kind: str) -> np.ndarray:
 
 
 def _link_block(cosine: float, dim: int, kind: str):
-    """Links of one block of a cell with its visits: a count for each visit, and spanning edges."""
+    """Links of one block of a cell with its visits: a count for each visit, and spanning edges.
+
+    A class is known by its node and its number, as ids that repeat give classes one node.
+    """
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         home = np.asarray(table.column("is_member"))
+        ids, nums, mult = (table.column(c).to_numpy() for c in ("rep", "num", "mult"))
         if not home.any():
-            return table.select(["rep"]).slice(0, 0).append_column("n", pa.array([], pa.int64())).append_column("b", pa.array([], pa.int64()))
-        ids, mult = table.column("rep").to_numpy(), table.column("mult").to_numpy()
+            return pa.table({"rep": ids[:0], "num": nums[:0], "n": mult[:0], "b": ids[:0]})
         x = _unit(table.column("vec").to_pylist(), dim, kind)
         visit = np.asarray(table.column("is_visit"))
-        q, qi = x[visit], ids[visit]
-        m, mi, mm = x[home], ids[home], mult[home]
-        linked = (q @ m.T >= cosine) & (qi[:, None] != mi[None, :])
+        q, qi, qn = x[visit], ids[visit], nums[visit]
+        m, mi, mn, mm = x[home], ids[home], nums[home], mult[home]
+        linked = (q @ m.T >= cosine) & ((qi[:, None] != mi[None, :]) | (qn[:, None] != mn[None, :]))
         counts = linked @ mm
         label_q, label_m = qi.copy(), mi.copy()
         while True:  # least id over links within the block
@@ -99,9 +103,9 @@ def _link_block(cosine: float, dim: int, kind: str):
             label_q, label_m = new_q, new_m
         b = np.concatenate([label_q, label_m])
         n = np.concatenate([counts, np.zeros(len(mi), np.int64)])
-        rep = np.concatenate([qi, mi])
+        rep, num = np.concatenate([qi, mi]), np.concatenate([qn, mn])
         some = (b != rep) | (n > 0)
-        return pa.table({"rep": pa.array(rep[some]), "n": pa.array(n[some].astype(np.int64)), "b": pa.array(b[some])})
+        return pa.table({"rep": rep[some], "num": num[some], "n": n[some].astype(np.int64), "b": b[some]})
 
     return run
 
@@ -115,16 +119,17 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, recall: float = REC
     centroids and visits cells in order of distance until pairs at the threshold
     are met with probability ``recall`` (closer pairs with more); each meeting is
     verified exactly, so there is no false link.  ``cells`` centroids a half default
-    to the fourth root of the number of vectors, 4 to 256.
+    to the fourth root of the number of vectors, 4 at least.
 
     A cell is cut into blocks of about BLOCK members and VISITS visits, so a hot
-    label, cell or vector is spread over tasks.  Blocks return counts and a
-    spanning forest, not pairs.
+    label or cell is spread over tasks.  Blocks return counts and a spanning
+    forest, not pairs.  Rows meet their class by a 128-bit key, without the vector.
 
     Rows link with nothing if the label is null or the vector is null, zero, holds
     a null or a component that isn't finite, or has another length than most.
-    A null id is kept; rows that repeat an id share its component.  Extra
-    columns are not read; an empty table gives no rows.
+    A null id is kept.  Rows that repeat an id count their own vector's links, one row
+    another too, and share a component.  Extra columns are not read and may have any
+    name; an empty table gives no rows.
     """
     spark = vectors.sparkSession
     v = F.col(f"`{vector_col}`").cast("array<double>")
@@ -132,18 +137,21 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, recall: float = REC
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     zero = ~F.exists("v", lambda x: x != 0)
     sound = F.col("label").isNotNull() & F.col("v").isNotNull() & F.col("vec_id").isNotNull() & ~F.coalesce(bad, F.lit(True)) & ~zero
-    keyed = base.select("vec_id", "label", F.when(sound, F.transform("v", lambda x: x + 0.0)).alias("v"))  # one zero, not two
+    clean = base.select("vec_id", "label", F.when(sound, F.transform("v", lambda x: x + 0.0)).alias("v"))  # one zero, not two
+    keyed = clean.withColumn("h", F.when(F.col("v").isNotNull(), hash_pair(F.struct("label", "v"))))
     good = keyed.where("v is not null")
     top = good.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "dim").first()
     if top is None:
         return keyed.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     dim = top["dim"]
     n = top["n"]
-    classes = written(good.where(F.size("v") == dim).groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("mult")), "vectors", few(5 * n))
-    sample = [r["v"] for r in classes.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("v").collect()]
+    # a class is a label and a vector; its node in the graph is its least id, which it may share with other classes if ids repeat
+    own = good.where(F.size("v") == dim).groupBy("h").agg(F.first("label").alias("label"), F.first("v").alias("v"), F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("mult"))
+    classes = written(own.withColumn("num", F.col("h.a")), "vectors", few(5 * n))
+    sample = [r["v"] for r in classes.orderBy("h").limit(SAMPLE).select("v").collect()]
     x = np.array(sample)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    k = cells or int(min(max(round(n**0.25), 4), 256))
+    k = cells or max(round(n**0.25), 4)
     cut = dim // 2
     books = [half_codebook(h, k, s) for s, h in enumerate((x[:, :cut], x[:, cut:])) if h.shape[1]]
     kind = "<f4" if vectors.schema[vector_col].dataType.elementType.typeName() == "float" else "<f8"  # as they came: exact
@@ -167,16 +175,16 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, recall: float = REC
                 take.append(p)
                 cell.append(i * 65_536 + j)
                 home.append(i == sides[0][0][p] and j == sides[1][0][p])
-        rest = batch.select(["label", "rep", "mult"])
+        rest = batch.select(["label", "rep", "num", "mult"])
         for lo in range(0, len(take), 4096):
             part = take[lo : lo + 4096]
             vec = pa.array([raw[p].tobytes() for p in part], pa.binary())
-            yield pa.RecordBatch.from_arrays([*rest.take(pa.array(part)).columns, pa.array(cell[lo : lo + 4096], pa.int32()), pa.array(home[lo : lo + 4096], pa.bool_()), vec], names=["label", "rep", "mult", "cell", "home", "vec"])
+            yield pa.RecordBatch.from_arrays([*rest.take(pa.array(part)).columns, pa.array(cell[lo : lo + 4096], pa.int32()), pa.array(home[lo : lo + 4096], pa.bool_()), vec], names=["label", "rep", "num", "mult", "cell", "home", "vec"])
 
-    met = classes.mapInArrow(visits, "label string, rep long, mult long, cell int, home boolean, vec binary")
+    met = classes.select("label", "rep", "num", "mult", "v").mapInArrow(visits, "label string, rep long, num long, mult long, cell int, home boolean, vec binary")
     met = written(met, "visits")
     load = met.groupBy("label", "cell").agg(F.ceil(F.count_if("home") / BLOCK).cast("int").alias("nb"), F.ceil(F.count(F.lit(1)) / VISITS).cast("int").alias("nv")).where("nb > 0")
-    h = F.xxhash64("rep")
+    h = F.xxhash64("rep", "num")
     own_b, own_v = F.pmod(h, F.col("nb")).cast("int"), F.pmod(h, F.col("nv")).cast("int")
     # block b of the members meets part s of the visits; a row stands once in each task that it has to do with
     task = F.explode(F.array_union(
@@ -184,11 +192,16 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, recall: float = REC
         F.when(F.col("home"), F.transform(F.sequence(F.lit(0), F.col("nv") - 1), lambda s: own_b * 65_536 + s)).otherwise(F.expr("cast(array() as array<int>)")),
     ))
     dealt = met.join(load, ["label", "cell"]).withColumn("task", task)
-    dealt = dealt.select("label", "cell", "task", "rep", "mult", "vec", (F.col("home") & (F.floor(F.col("task") / 65_536) == own_b)).alias("is_member"), (F.col("task") % 65_536 == own_v).alias("is_visit"))
-    found = written(dealt.groupBy("label", "cell", "task").applyInArrow(_link_block(cosine, dim, kind), "rep long, n long, b long"), "links", few(5 * n))
-    named = components(found.where("b <> rep").select(F.col("rep").alias("a"), "b").distinct(), n)
-    links = found.groupBy("rep").agg(F.sum("n").alias("others"))
-    whole = classes.join(links, "rep", "left").join(named.withColumnRenamed("node", "rep"), "rep", "left").select("label", "v", (F.coalesce("others", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component"))
-    out = keyed.join(whole, ["label", "v"], "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
+    dealt = dealt.select("label", "cell", "task", "rep", "num", "mult", "vec", (F.col("home") & (F.floor(F.col("task") / 65_536) == own_b)).alias("is_member"), (F.col("task") % 65_536 == own_v).alias("is_visit"))
+    found = written(dealt.groupBy("label", "cell", "task").applyInArrow(_link_block(cosine, dim, kind), "rep long, num long, n long, b long"), "links", few(5 * n))
     drop(met)
+    nodes = written(keyed.where(F.size("v") == dim).select("vec_id", "h").join(classes.select("h", "rep"), "h").select("vec_id", "rep").distinct(), "nodes", few(n))
+    ends = nodes.groupBy("vec_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a <> z").select("vec_id", "a")
+    by_ids = nodes.join(ends, "vec_id").select("a", F.col("rep").alias("b"))  # an id of several classes links them
+    edges = found.where("b <> rep").select(F.col("rep").alias("a"), "b").unionByName(by_ids).distinct()
+    named = written(components(edges, n), "components", few(n))
+    links = found.groupBy("rep", "num").agg(F.sum("n").alias("others"))
+    whole = classes.select("h", "rep", "num", "mult").join(links, ["rep", "num"], "left").select("h", (F.coalesce("others", F.lit(0)) + F.col("mult") - 1).alias("n_links"))
+    own = nodes.join(named.withColumnRenamed("node", "rep"), "rep", "left").groupBy("vec_id").agg(F.min(F.coalesce("component", "rep")).alias("component"))
+    out = keyed.select("vec_id", "h").join(whole, "h", "left").join(own, "vec_id", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

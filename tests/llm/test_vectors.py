@@ -3,6 +3,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from blockloom.llm import vectors
 from tests.llm.test_minhash import classes
@@ -43,6 +44,33 @@ def test_against_brute_force(spark, monkeypatch, block):
     assert all(r.n_links == 0 and r.kept for r in got if r.vec_id >= 1000)
 
 
+def by_row(rows, cosine):
+    """Links of every row with every other row, and components of ids."""
+    unit = [None if k is None or v is None else np.array(v) / np.linalg.norm(v) for _, k, v in rows]
+    n, links = [0] * len(rows), []
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        if unit[i] is not None and unit[j] is not None and rows[i][1] == rows[j][1] and unit[i] @ unit[j] >= cosine:
+            n[i], n[j] = n[i] + 1, n[j] + 1
+            links.append((rows[i][0], rows[j][0]))
+    return n, classes({r[0] for r in rows}, links)
+
+
+def test_repeated_ids_and_clashing_columns(spark):
+    """An id with several vectors, equal ones and ones that link with each other among them."""
+    rng = np.random.default_rng(4)
+    c = rng.standard_normal((6, 16))
+
+    def near(k):
+        return (c[k] + 0.05 * rng.standard_normal(16)).tolist()
+
+    rows = [(9, 1, near(0)), (9, 1, near(1)), (9, 1, near(0)), (9, 2, near(1))]
+    rows += [(i, 1, near(0)) for i in (1, 2, 3, 4)] + [(20, 1, near(1)), (5, 1, near(2)), (6, 2, near(2)), (5, 2, near(2)), (7, 1, c[3].tolist()), (7, 1, c[3].tolist()), (8, 1, c[3].tolist()), (30, None, near(0)), (31, 1, None), (9, 1, c[4].tolist())]
+    df = spark.createDataFrame(rows, SCHEMA).withColumns({k: F.lit(1) for k in ("v", "h", "rep", "num", "mult", "cell", "n_links", "component")})
+    got = vectors.near_vectors(df).collect()
+    n, comp = by_row(rows, vectors.COSINE)
+    assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in got) == sorted((r[0], k, comp[r[0]], comp[r[0]] == r[0]) for r, k in zip(rows, n, strict=True))
+
+
 def test_no_rows(spark):
     assert vectors.near_vectors(spark.createDataFrame([], SCHEMA)).count() == 0
     assert vectors.near_vectors(spark.createDataFrame([(1, 1, None)], SCHEMA)).collect()[0].n_links == 0
