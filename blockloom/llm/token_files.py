@@ -27,7 +27,7 @@ _DOCS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", p
 
 
 def _schema(dtype: np.dtype, seq_len: int) -> pa.Schema:
-    return pa.schema([("ids", pa.list_(pa.from_numpy_dtype(dtype), seq_len)), ("mask", pa.list_(pa.uint8(), seq_len))])
+    return pa.schema([("ids", pa.list_(pa.from_numpy_dtype(dtype), seq_len)), ("mask", pa.list_(pa.bool_(), seq_len))])
 
 
 def _files(path: str) -> tuple[fs.FileSystem, str]:
@@ -37,7 +37,7 @@ def _files(path: str) -> tuple[fs.FileSystem, str]:
 class Writer:
     """Cuts a run of ids into rows of ``seq_len`` and writes them in batches of one layout.
 
-    Only the last row of a file is padded (id 0); its mask is 0 there, else 1, a byte a place.
+    Only the last row of a file is padded (id 0); its mask is false there.  Masks are bits.
     """
 
     def __init__(self, path: str, dtype: np.dtype, seq_len: int = SEQ_LEN, batch_seqs: int = BATCH_SEQS):
@@ -67,8 +67,8 @@ class Writer:
         size = rows_ * self.seq_len
         buf = np.zeros(size, self.dtype)
         buf[:n] = np.frombuffer(ids, self.dtype)
-        mask = np.zeros(size, np.uint8)
-        mask[:n] = 1
+        mask = np.zeros(size, bool)
+        mask[:n] = True
         arrays = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.seq_len) for x in (buf, mask)]
         self.out.write_batch(pa.RecordBatch.from_arrays(arrays, schema=self.schema))
         self.n_sequences += rows_
@@ -106,20 +106,20 @@ class TokenFile:
         self.source.seek(at)
         return ipc.read_record_batch(ipc.read_message(self.source), self.schema)
 
-    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and mask of sequence ``i``, both views of the file; the mask is boolean."""
+    def __getitem__(self, i: int) -> tuple[np.ndarray, pa.BooleanArray]:
+        """Ids and mask of sequence ``i``, both views of the file: NumPy ids, and Arrow's array of bits."""
         batch = self.batch(i // self.rows_each) if self.rows_each and i >= 0 else None
         if batch is None or i % self.rows_each >= batch.num_rows:
             raise IndexError(i)
-        ids, mask = (batch.column(c)[i % self.rows_each].values.to_numpy(zero_copy_only=True) for c in (0, 1))
-        return ids, mask.view(bool)
+        ids, mask = (batch.column(c)[i % self.rows_each].values for c in (0, 1))
+        return ids.to_numpy(zero_copy_only=True), mask
 
     def runs(self):
         """The ids in order, a batch at a time, without the padding."""
         k = 0
         while self.rows_each and (batch := self.batch(k)) is not None:
             ids, mask = (batch.column(c).flatten() for c in (0, 1))
-            n = np.count_nonzero(mask.to_numpy())
+            n = mask.true_count
             yield ids.to_numpy()[:n]
             k += 1
 
