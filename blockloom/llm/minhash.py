@@ -22,8 +22,8 @@ SYMBOLS = CHUNKS * WIDTH
 #: were every chunk to hold more than one error, there would be 2 * CHUNKS.
 CHUNK_ERRORS = 1
 DISTANCE = (CHUNK_ERRORS + 1) * CHUNKS - 1
-#: Members of a bucket, and sets of a group, that one task compares with as many others.
-BUCKET_BLOCK, GROUP_BLOCK = 16_384, 512
+#: Members of a bucket, and sets of a group, that one task compares with as many others; pivots of a group.
+BUCKET_BLOCK, GROUP_BLOCK, PIVOTS = 16_384, 256, 64
 
 
 def _odd(seed: str, n: int) -> np.ndarray:
@@ -91,6 +91,10 @@ def chunk_keys(sig: np.ndarray) -> np.ndarray:
     return keys.reshape(len(sig), -1)
 
 
+def _set_key(found: bytes) -> bytes | None:
+    return hashlib.blake2b(found, digest_size=16).digest() if found else None
+
+
 def signatures(docs: DataFrame, words: int) -> DataFrame:
     """``doc_id, n_shingles, set_key, sig``; sets without elements have neither key nor signature."""
 
@@ -102,7 +106,7 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
                 s = shingles(text, words)
                 out[0].append(doc_id)
                 out[1].append(len(s))
-                out[2].append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+                out[2].append(_set_key(s.tobytes()))
                 out[3].append(signature(s) if len(s) else None)
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["doc_id", "n_shingles", "set_key", "sig"])
 
@@ -145,10 +149,10 @@ def _bucket_edges(batches):
 
 
 def candidate_edges(classes: DataFrame) -> DataFrame:
-    """``a, b``: edges whose components are those of all pairs within DISTANCE.
+    """``a, b``: edges between the nodes of ``classes(num, rep, sig)`` whose components are those of all pairs within DISTANCE.
 
     Buckets with one member go first, on keys and ids alone (counted before the
-    shuffle); signatures travel only with the rest.  A bucket above BUCKET_BLOCK
+    shuffle); signatures travel only with the rest, by the number of their class.  A bucket above BUCKET_BLOCK
     members is cut into blocks and each pair of blocks is a task of its own.
     Within a bucket the search starts at one member and takes all within reach,
     so a bucket of near copies costs its size, not its square.
@@ -156,20 +160,20 @@ def candidate_edges(classes: DataFrame) -> DataFrame:
 
     def keys(batches):
         for batch in batches:
-            reps = batch.column("rep").to_numpy()
-            if not len(reps):
+            nums = batch.column("num").to_numpy()
+            if not len(nums):
                 continue
             sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), "<u2").reshape(-1, SYMBOLS)
             k = chunk_keys(sig)
-            yield pa.RecordBatch.from_pydict({"key": pa.array(k.reshape(-1)), "rep": pa.array(np.repeat(reps, k.shape[1]))})
+            yield pa.RecordBatch.from_pydict({"key": pa.array(k.reshape(-1)), "num": pa.array(np.repeat(nums, k.shape[1]))})
 
-    keyed = classes.select("rep", "sig").mapInArrow(keys, "key long, rep long")
+    keyed = classes.select("num", "sig").mapInArrow(keys, "key long, num long")
     many = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     blocks = F.ceil(F.col("n") / BUCKET_BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("rep"), blocks).cast("long")
+    own = F.pmod(F.xxhash64("num"), blocks).cast("long")
     pair = F.transform(F.sequence(F.lit(0), blocks - 1), lambda t: F.least(own, t) * 65_536 + F.greatest(own, t))
-    member = keyed.join(many, "key").select("key", "rep", F.explode(pair).alias("block"))
-    dealt = member.join(classes.select("rep", "sig"), "rep").repartition("key", "block").sortWithinPartitions("key", "block", "rep")
+    member = keyed.join(many, "key").select("key", "num", F.explode(pair).alias("block"))
+    dealt = member.join(classes.select("num", "rep", "sig"), "num").repartition("key", "block").sortWithinPartitions("key", "block", "rep")
     return dealt.mapInArrow(_bucket_edges, "a long, b long").distinct()
 
 
@@ -254,39 +258,42 @@ def _dealt(tasks: DataFrame, percent: int) -> DataFrame:
     return ready.mapInArrow(_compare(percent), "a long, b long").distinct()
 
 
-def confirmed_edges(groups: DataFrame, sets: DataFrame, percent: int, n: int) -> tuple[DataFrame, list[DataFrame]]:
-    """Edges whose components are those of all links within ``groups(rep, grp)``.
+def confirmed_edges(members: DataFrame, sets: DataFrame, percent: int, n: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Edges whose components are those of all links within the groups of ``members(cls, rep, grp)``.
 
-    First the block of pivots of each group (its GROUP_BLOCK least hashes or so)
-    meets every block: linear in the group, and complete for groups of one
+    First the pivots of each group (PIVOTS of them or so, by hash) meet every
+    block of as many: linear in the group, and complete for groups of one
     block.  Then only sets that are not yet in their group's main component
     meet the blocks of all others.  No pair is skipped unless both ends are
-    already connected.  Tasks hold two blocks at most.
+    already connected.  Tasks hold two blocks at most.  All this is dealt on ids;
+    ``sets(cls, shingles)`` join their task last.
     """
-    sized = groups.join(groups.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / GROUP_BLOCK).cast("int").alias("nb")), "grp")
-    placed = written(sized.withColumn("blk", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int")).join(sets, "rep"), "placed", few(5 * n))
+    size = F.count(F.lit(1))
+    sized = members.join(members.groupBy("grp").agg(F.ceil(size / PIVOTS).cast("int").alias("nb")), "grp")
+    placed = sized.withColumn("blk", F.pmod(F.xxhash64("cls"), F.col("nb")).cast("int"))
     is_pivot = F.col("blk") == 0
     to = F.when(is_pivot, F.sequence(F.lit(0), F.col("nb") - 1)).otherwise(F.array("blk"))
-    first = written(_dealt(placed.select("grp", "rep", is_pivot.alias("is_left"), F.explode(to).alias("task"), "shingles"), percent), "links", few(n))
-    large = placed.where("nb > 1")
+    first = written(_dealt(placed.select("cls", "grp", "rep", is_pivot.alias("is_left"), F.explode(to).alias("task")).join(sets, "cls"), percent), "links", few(n))
+    large = placed.where("nb > 1").select("cls", "grp", "rep")
     if large.limit(1).count() == 0:
-        return first, [placed]
+        return first, [first]
     known = components(first, n)
-    named = large.join(known.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    sizes = named.groupBy("grp", "component").agg(F.count(F.lit(1)).alias("n"))
+    named = written(large.join(known.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep")), "named", few(n))
+    sizes = named.groupBy("grp", "component").agg(size.alias("n"))
     main = sizes.groupBy("grp").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("n_all"))
     rest = named.join(main.where("n_all > n_main"), "grp").withColumn("is_rest", F.col("component") != F.col("main"))
     nr = F.ceil((F.col("n_all") - F.col("n_main")) / GROUP_BLOCK).cast("long")
     nm = F.ceil(F.col("n_main") / GROUP_BLOCK).cast("long")
-    h = F.xxhash64("rep", F.lit(2))
+    h = F.xxhash64("cls", F.lit(2))
     mine = F.when(F.col("is_rest"), F.pmod(h, nr)).otherwise(nr + F.pmod(h, nm)).cast("long")
     # a task is one block of the rest against one block of any kind; among the rest each pair of blocks once
-    as_left = F.transform(F.sequence(mine, nr + nm - 1), lambda t: F.struct((mine * 65_536 + t).alias("task"), F.lit(True).alias("is_left")))
-    as_other = F.transform(F.sequence(F.lit(0).cast("long"), F.least(mine - 1, nr - 1)), lambda t: F.struct((t * 65_536 + mine).alias("task"), F.lit(False).alias("is_left")))
+    as_left = F.transform(F.sequence(mine, nr + nm - 1), lambda t: F.struct((mine * 4_294_967_296 + t).alias("task"), F.lit(True).alias("is_left")))
+    as_other = F.transform(F.sequence(F.lit(0).cast("long"), F.least(mine - 1, nr - 1)), lambda t: F.struct((t * 4_294_967_296 + mine).alias("task"), F.lit(False).alias("is_left")))
     no_task = F.expr("cast(array() as array<struct<task:bigint,is_left:boolean>>)")
     tasks = F.concat(F.when(F.col("is_rest"), as_left).otherwise(no_task), F.when(mine > 0, as_other).otherwise(no_task))
-    second = written(_dealt(rest.select("grp", "rep", "shingles", F.explode(tasks).alias("t")).select("grp", "rep", "t.task", "t.is_left", "shingles"), percent), "links", few(n))
-    return first.unionByName(second), [placed]
+    dealt = rest.select("cls", "grp", "rep", F.explode(tasks).alias("t")).select("cls", "grp", "rep", "t.task", "t.is_left")
+    second = written(_dealt(dealt.join(sets, "cls"), percent), "links", few(n))
+    return first.unionByName(second), [first, second, named]
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -299,31 +306,37 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     0.8 a pair is farther apart with a probability of about 3e-7.
 
     A null or empty text, or one of white space, has an empty set and links with
-    nothing.  A null id is kept and links with nothing.  Rows that repeat an id
-    share its component.  An empty table gives no rows.  Extra columns are not read.
+    nothing; a text of any length is taken whole.  A null id is kept and links with
+    nothing.  Rows that repeat an id are one document with several texts: each
+    text's links count, and the rows share a component.  An empty table gives no
+    rows.  Extra columns are not read and may have any name.
     """
     texts = by_id(docs, id_col, text_col)
     sigs = written(signatures(texts, words), "signatures")
     n = sigs.count()
     some = sigs.where("set_key is not null and doc_id is not null")
-    classes = written(some.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "classes", few(n))
+    # a class is a set; its node in the graph is its least id, which it may share with other classes if ids repeat
+    classes = written(some.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")).withColumn("num", F.xxhash64("set_key")), "classes", few(n))
+    named = written(some.select("doc_id", "set_key").join(classes.select("set_key", "rep"), "set_key").select("doc_id", "rep").distinct(), "nodes", few(n))
     edges = written(candidate_edges(classes), "candidates", few(n))
-    groups = written(components(edges, n).select(F.col("node").alias("rep"), F.col("component").alias("grp")), "groups", few(n))
+    groups = components(edges, n).select(F.col("node").alias("rep"), F.col("component").alias("grp"))
+    members = written(classes.select(F.col("set_key").alias("cls"), "rep").join(groups, "rep"), "members", few(n))
 
     def full_sets(batches):
         claim("shingles", _WORDS.clear)
         for batch in batches:
-            out = [(i, shingles(t, words).tobytes()) for i, t in rows([batch], "rep", "text")]
-            if out:
-                ids, sets = zip(*out, strict=True)
-                yield pa.RecordBatch.from_pydict({"rep": pa.array(ids, pa.int64()), "shingles": pa.array(sets, pa.binary())})
-
-    wanted = texts.withColumnRenamed("doc_id", "rep").join(groups.select("rep"), "rep", "left_semi")
-    sets = wanted.mapInArrow(full_sets, "rep long, shingles binary").dropDuplicates(["rep"])
-    links, used = confirmed_edges(groups, sets, percent, n)
-    found = written(components(links, n), "components", few(n))
-    drop(edges, groups, *used)
-    named = some.select("doc_id", "set_key").join(classes.select("set_key", "rep"), "set_key").join(found.withColumnRenamed("node", "rep"), "rep", "left")
-    own = named.groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("component_id"))
+            sets = [shingles(t, words).tobytes() for (t,) in rows([batch], "text")]
+            if sets:
+                yield pa.RecordBatch.from_pydict({"cls": pa.array(map(_set_key, sets), pa.binary()), "shingles": pa.array(sets, pa.binary())})
+
+    wanted = texts.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    sets = written(wanted.mapInArrow(full_sets, "cls binary, shingles binary").dropDuplicates(["cls"]), "sets", few(5 * n))
+    links, used = confirmed_edges(members, sets, percent, n)
+    # an id of several classes links them
+    ends = named.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b").select("doc_id", "a")
+    by_ids = named.join(ends, "doc_id").select("a", F.col("rep").alias("b")).distinct()
+    found = written(components(links.unionByName(by_ids), n), "components", few(n))
+    drop(edges, classes, members, sets, *used)
+    own = named.join(found.withColumnRenamed("node", "rep"), "rep", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("component_id"))
     out = sigs.select("doc_id", "n_shingles").join(own, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

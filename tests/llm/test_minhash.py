@@ -3,6 +3,8 @@ import random
 import re
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from blockloom.llm import minhash
 from blockloom.llm.components import components
@@ -56,6 +58,7 @@ def test_no_rows(spark, empty):
 def test_chains_and_borderline_groups(spark, monkeypatch):
     """Many copies at all distances about the threshold, over several blocks and buckets."""
     monkeypatch.setattr(minhash, "GROUP_BLOCK", 7)
+    monkeypatch.setattr(minhash, "PIVOTS", 3)
     monkeypatch.setattr(minhash, "BUCKET_BLOCK", 5)
     r, rows = random.Random(3), []
     for g in range(3):
@@ -72,6 +75,37 @@ def test_chains_and_borderline_groups(spark, monkeypatch):
     check(spark.createDataFrame(rows, DOC))
 
 
+@pytest.mark.parametrize("pivots", [2, 64])
+def test_repeated_ids_with_different_texts(spark, monkeypatch, pivots):
+    """An id's texts each have their links, and join what they are near to."""
+    monkeypatch.setattr(minhash, "PIVOTS", pivots)
+
+    def changed(seed, k):
+        w = prose(seed, 60).split()
+        w[k] = f"new{k}"
+        return " ".join(w)
+
+    rows = [(1, prose(1, 60)), (2, prose(2, 60)), (5, changed(1, 20)), (5, changed(2, 30)), (7, prose(3, 60)), (8, prose(4, 60)), (9, prose(3, 60)), (9, prose(4, 60)), (9, prose(4, 60)), (6, prose(5, 60)), (6, prose(6, 60)), (6, None), (3, changed(6, 40))]
+    check(spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOC))
+    many = [(5, prose(10 + k, 40)) for k in range(30)] + [(50 + k, prose(10 + k, 40) + " more") for k in range(30)]
+    check(spark.createDataFrame([(i, t, "en", "s", 0) for i, t in many], DOC))
+
+
+def test_one_group_of_many_near_copies(spark):
+    """Twenty thousand near copies of one text, all linked through a few; no task holds more than its blocks."""
+    base = prose(77, 40).split()
+
+    def copy(i):
+        w = list(base)
+        w[i % 40] = f"x{i}"
+        return " ".join(w)
+
+    df = spark.range(20_000).select(F.col("id").alias("doc_id"), F.udf(copy)("id").alias("text"))
+    got = minhash.near_duplicates(df, words=4).groupBy("component_id").count().collect()
+    want = brute([(i, copy(i)) for i in range(400)], 4)
+    assert len(set(want.values())) == len(got) and sum(r["count"] for r in got) == 20_000
+
+
 def test_chunk_keys_meet_within_distance():
     rng = np.random.default_rng(0)
     a = rng.integers(0, 1 << 16, minhash.SYMBOLS).astype("<u2")
