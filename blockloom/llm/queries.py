@@ -61,7 +61,7 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = warc.derive_pages(_table(spark, sf_dir, "pages"))
     return made.select("page_id", "response_id", "metadata_id", "conversion_id", "target_uri", "payload_digest", "http_status",
                        *(F.length(c).cast("long").alias(f"{c}_bytes") for c in ("metadata", "conversion")), *(F.sha2(c, 256).alias(f"{c}_sha256") for c in ("metadata", "conversion")),
-                       F.length("text").cast("long").alias("text_chars"))
+                       F.length("text").cast("long").alias("text_chars"), "status")
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
