@@ -6,15 +6,16 @@ import argparse
 import math
 from pathlib import Path
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blockloom.functions.params import parse_numbers
-from blockloom.operators.coding import decode_blocks, encode_blocks
+from blockloom.functions.params import BLOCK, dct_matrix, parse_numbers
+from blockloom.operators.coding import decode_blocks
 from blockloom.operators.preprocess import rgb_to_gray
 from blockloom.operators.reconstruct import from_quantized
-from blockloom.plans.pipelines import RUN, coefficients, quantized_sweep, run_gray, sweep_tables
-from blockloom.sources.images import read_rgb, save_csv, save_png, to_png
+from blockloom.plans.pipelines import RUN, encoded_sweep, run_blocks, sweep_tables, transformed
+from blockloom.sources.images import png, read_rgb, save_csv, save_png, to_png
 
 #: Result columns in the order of the CSV file.
 RESULT = (
@@ -26,7 +27,7 @@ RESULT = (
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="blockloom", description="Block-transform compression of images on Spark")
-    p.add_argument("--image", required=True, help="an image file")
+    p.add_argument("--image", required=True, help="an image file, or a folder of them")
     p.add_argument("--output-dir", default="results")
     p.add_argument("--scale", type=float, default=1.0, help="scale of the quantization table")
     p.add_argument("--quality", type=int, help="quality from 1 to 100; goes before --scale")
@@ -36,24 +37,29 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
-def run(spark: SparkSession, image: str, output_dir: str, scales: list[float] = (), qualities: list[int] = (), save_images: bool = True) -> DataFrame:
-    """``RESULT``, a row for each setting, all in one plan; restored images are saved beside.
+def run(spark: SparkSession, image: str, output_dir: str, scales: list[float] = (), qualities: list[int] = (), save_images: bool = True, scale: float = 1.0) -> DataFrame:
+    """``RESULT``, a row for each image and setting in the order given; restored images are saved beside.
 
-    A row of a quality has a scale of 1.0, a row of a scale no quality.
+    All settings share one plan and one transform.  A row of a quality records
+    ``scale``, which it doesn't use; a row of a scale has no quality.  For a folder of images, each
+    file's name is part of its restored images' names.
     """
     if not Path(image).exists():
         raise FileNotFoundError(image)
     tables = sweep_tables(scales, qualities)
-    gray = rgb_to_gray(read_rgb(spark, image)).cache()
-    name = F.concat(F.lit("reconstructed_"), F.col("config_id"))
-    if save_images:
-        encoded = encode_blocks(quantized_sweep(coefficients(gray), tables), RUN)
-        save_png(to_png(from_quantized(decode_blocks(encoded.drop("qf"), RUN), RUN), ["config_id"]).withColumn("name", name), str(Path(output_dir).resolve()))
-    settings = [(k, float(k[6:]) if k.startswith("scale_") else 1.0, int(k[8:]) if k.startswith("quality_") else None, i) for i, k in enumerate(tables)]
+    blocks = transformed(rgb_to_gray(read_rgb(spark, image)))
+    stem = F.regexp_extract("image_id", "([^/]*?)(?:[.][^./]*)?$", 1)
+    settings = [(k, float(s), None if q is None else int(q), i) for i, (k, s, q) in enumerate(zip(tables, [*scales, *(scale for _ in qualities)], [*(None for _ in scales), *qualities], strict=True))]
     known = spark.createDataFrame(settings, "config_id string, scale double, quality int, place int")
+    name = F.concat(F.lit("reconstructed_"), F.concat(stem, F.lit("_")) if Path(image).is_dir() else F.lit(""), F.col("config_id"))
+    if save_images:
+        encoded = encoded_sweep(blocks, tables)
+        back = from_quantized(decode_blocks(encoded.drop("qf", "px"), RUN), RUN)
+        save_png(to_png(back, ["image_id", "config_id"]).withColumn("name", name), str(Path(output_dir).resolve()))
     out = F.concat(F.lit(f"{output_dir}/"), name, F.lit(".png")) if save_images else F.lit("")
-    rows = run_gray(gray, tables).join(F.broadcast(known), "config_id").withColumns({"image_path": F.lit(str(image)), "output_image_path": out})
-    return rows.orderBy("place").select(*RESULT)
+    path = F.regexp_replace("image_id", "^file:/+", "/") if Path(image).is_dir() else F.lit(str(image))
+    rows = run_blocks(blocks, tables).join(F.broadcast(known), "config_id").withColumns({"image_path": path, "output_image_path": out})
+    return rows.orderBy("place", "image_path").select(*RESULT)
 
 
 def plot_points(results: DataFrame) -> DataFrame:
@@ -125,22 +131,42 @@ def class_text(row: dict) -> str:
     return "\n".join(f"{k:<20}{row[k]} ({row[f'{k}_percentage']:.2f} %)" for k in ("smooth", "edge", "texture"))
 
 
+def save_basis(output_dir: str, zoom: int = 12) -> list[str]:
+    """The basis images in four groups of 4 x 4, one PNG each; values from -0.25 to 0.25 go from black to white."""
+    m = dct_matrix(BLOCK)
+    shown = np.clip(np.einsum("ux,vy->uvxy", m, m), -0.25, 0.25)
+    gray = np.rint((shown + 0.25) * 510).astype(np.uint8).repeat(zoom, 2).repeat(zoom, 3)
+    made, half, size = [], BLOCK // 2, BLOCK * zoom + zoom
+    Path(output_dir).mkdir(parents=True, exist_ok=True)
+    for u in (0, half):
+        for v in (0, half):
+            sheet = np.full((half * size + zoom, half * size + zoom), 255, np.uint8)
+            for i, j in np.ndindex(half, half):
+                sheet[i * size + zoom : (i + 1) * size, j * size + zoom : (j + 1) * size] = gray[u + i, v + j]
+            made.append(f"{output_dir}/dct_bases_{u}_{u + half - 1}_{v}_{v + half - 1}.png")
+            Path(made[-1]).write_bytes(png(sheet))
+    return made
+
+
 def main(argv: list[str] | None = None) -> DataFrame:
     args = parser().parse_args(argv)
-    spark = SparkSession.builder.getOrCreate()
-    scales, qualities, name = [args.scale], [], "results"
-    if args.sweep_scales:
-        scales, name = parse_numbers(args.sweep_scales), "sweep_scales"
-    elif args.sweep_qualities:
-        scales, qualities, name = [], parse_numbers(args.sweep_qualities, int), "sweep_qualities"
+    if not Path(args.image).exists():
+        raise FileNotFoundError(args.image)
+    scales, qualities, name = [args.scale], [], "results_single_run"
+    if args.sweep_scales is not None:
+        scales, name = parse_numbers(args.sweep_scales), "results_sweep_scales"
+    elif args.sweep_qualities is not None:
+        scales, qualities, name = [], parse_numbers(args.sweep_qualities, int), "results_sweep_qualities"
     elif args.quality is not None:
         scales, qualities = [], [args.quality]
-    results = run(spark, args.image, args.output_dir, scales, qualities).cache()
+    spark = SparkSession.builder.getOrCreate()
+    results = run(spark, args.image, args.output_dir, scales, qualities, scale=args.scale if name == "results_single_run" else 1.0).cache()
     save_csv(results, f"{args.output_dir}/{name}.csv")
-    if name != "results" and not args.no_plots:
+    if name != "results_single_run" and not args.no_plots:
         save_plots(results, args.output_dir)
     for row in results.collect():
         print(summary(row.asDict()), end="\n\n")
+    print(f"Results             {args.output_dir}/{name}.csv")
     return results
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from blockloom.functions.params import BLOCK, check_order, zigzag_order
-from blockloom.operators.preprocess import PLANE
+from blockloom.operators.preprocess import PLANE, checked_values
 
 SYMBOL = "struct<kind:string,run:int,amp:int>"
 DC, AC, EOB, BLOCK_END = "DC", "AC", "EOB", "BLOCK_END"
@@ -32,17 +32,22 @@ def inverse_zigzag(z: Column, order: list[int] | None = None) -> Column:
     return F.when(F.size(z) == len(order), F.array(*(z[i] for i in back))).otherwise(F.raise_error(F.lit("a scanned block has the wrong length")).cast("array<int>"))
 
 
-def dc_encode(blocks: DataFrame, key: list[str] = PLANE, dc: str = "dc", target: str = "dc_diff", initial: int = 0) -> DataFrame:
-    """Difference to the block before, in raster order over the whole plane.
+def with_dc_before(blocks: DataFrame, column: str, key: list[str] = PLANE, target: str = "f0_before") -> DataFrame:
+    """Adds the value of the block before in raster order over the whole plane, null for the first.
 
     The window runs within a block row; the first block of a row takes the last
     value of the row above through a join of one row a block row.  So a large
     plane is spread over its rows.
     """
-    last = blocks.groupBy(*key, F.col("br")).agg(F.max_by(dc, "bc").alias("bl_last")).withColumn("br", F.col("br") + 1)
+    last = blocks.groupBy(*key, F.col("br")).agg(F.max_by(column, "bc").alias("bl_last")).withColumn("br", F.col("br") + 1)
     here = Window.partitionBy(*key, "br").orderBy("bc")
-    before = F.coalesce(F.lag(dc).over(here), F.col("bl_last"), F.lit(initial))
-    return blocks.join(last, [*key, "br"], "left").withColumn(target, (F.col(dc) - before).cast("int")).drop("bl_last")
+    return blocks.join(last, [*key, "br"], "left").withColumn(target, F.coalesce(F.lag(column).over(here), F.col("bl_last"))).drop("bl_last")
+
+
+def dc_encode(blocks: DataFrame, key: list[str] = PLANE, dc: str = "dc", target: str = "dc_diff", initial: int = 0) -> DataFrame:
+    """Difference to the block before, in raster order over the whole plane."""
+    before = F.coalesce(F.col("bl_before"), F.lit(initial))
+    return with_dc_before(blocks, dc, key, "bl_before").withColumn(target, (F.col(dc) - before).cast("int")).drop("bl_before")
 
 
 def dc_decode(blocks: DataFrame, key: list[str] = PLANE, diff: str = "dc_diff", target: str = "dc", initial: int = 0) -> DataFrame:
@@ -100,8 +105,8 @@ def rle_decode(symbols: Column, length: int = BLOCK * BLOCK - 1) -> Column:
 
 
 def encode_blocks(blocks: DataFrame, key: list[str] = PLANE, column: str = "qf", initial: int = 0) -> DataFrame:
-    """Adds ``dc_diff`` and ``ac_symbols`` to quantized blocks."""
-    z = blocks.withColumn("bl_z", zigzag_scan(F.col(column)))
+    """Adds ``dc_diff`` and ``ac_symbols`` to quantized blocks; a block of another length is an error."""
+    z = blocks.withColumn("bl_z", zigzag_scan(checked_values(F.col(column))))
     return dc_encode(z.withColumn("bl_dc", F.col("bl_z")[0]), key, "bl_dc", "dc_diff", initial).withColumn("ac_symbols", rle_encode(F.col("bl_z"))).drop("bl_z", "bl_dc")
 
 

@@ -73,6 +73,16 @@ def chroma_info(planes: DataFrame) -> DataFrame:
     return one.select("image_id", "channel", "orig_h", "orig_w", ph.alias("padded_h"), pw.alias("padded_w"), (ph - F.col("orig_h")).alias("pad_h"), (pw - F.col("orig_w")).alias("pad_w"), (ph / 2).cast("int").alias("sub_h"), (pw / 2).cast("int").alias("sub_w"), F.lit(MODE).alias("mode"))
 
 
+def check_same_info(info: DataFrame) -> DataFrame:
+    """Images whose ``chroma_info`` is not the same for both chroma channels, or does not fit itself; empty if all are sound."""
+    fits = (F.col("padded_h") == padded(F.col("orig_h"), 2)) & (F.col("padded_w") == padded(F.col("orig_w"), 2)) & (F.col("sub_h") * 2 == F.col("padded_h")) & (F.col("sub_w") * 2 == F.col("padded_w"))
+    fits &= (F.col("orig_h") > 0) & (F.col("orig_w") > 0) & (F.col("pad_h") == F.col("padded_h") - F.col("orig_h")) & (F.col("pad_w") == F.col("padded_w") - F.col("orig_w")) & (F.col("mode") == MODE)
+    sizes = F.struct(*(c for c in info.columns if c not in ("image_id", "channel")))
+    one = info.groupBy("image_id").agg(F.count(F.lit(1)).alias("rows"), F.array_sort(F.collect_set("channel")).alias("channels"), F.count_distinct(sizes).alias("kinds"), F.bool_and(fits).alias("fits"))
+    sound = (F.col("rows") == 2) & (F.col("channels") == F.array(F.lit("Cb"), F.lit("Cr"))) & (F.col("kinds") == 1) & F.coalesce("fits", F.lit(False))
+    return one.where(~sound)
+
+
 def _taps(at: str, size: str, target: Column) -> Column:
     """Target positions that take from source position ``at``, with their weights."""
     scale = F.col(size) / target

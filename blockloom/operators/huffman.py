@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import heapq
+import itertools
 import math
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -116,25 +119,46 @@ def decode_bits(bits: str, codes: dict[str, tuple]) -> list[tuple]:
     return out
 
 
+#: Blocks on a side of the square that is decoded together.
+_SQUARE = 32
+
+
+def code_table(codes: list[str], symbols: list[tuple]) -> dict[str, tuple]:
+    """Symbols by code.  Codes must be bits, and none may start another."""
+    ordered = sorted(codes)
+    require(bool(codes) and all(c and not c.strip("01") for c in codes), "codes must be made of 0 and 1")
+    require(not any(b.startswith(a) for a, b in itertools.pairwise(ordered)), "a code starts another one")
+    return dict(zip(codes, symbols, strict=True))
+
+
 def decode(bits: DataFrame, book: DataFrame, key: list[str] = PLANE, column: str = "bits") -> DataFrame:
     """Adds ``symbols`` to rows of bits (blocks, or whole bitstreams).
 
-    The book of a plane travels as one array, of the size of its alphabet.
+    Blocks meet their plane's book square by square, so a book is sent once a square and
+    not with every row.  An unsound book, bits that don't end with a whole code, and a plane
+    without a book are errors.
     """
-    books = book.groupBy(*key).agg(F.collect_list(F.struct("code", *NAME)).alias("bl_book"))
-
-    @F.pandas_udf(f"array<{SYMBOL}>")
-    def walk(bit: pd.Series, books: pd.Series) -> pd.Series:
-        made: dict[tuple, dict] = {}
-        out = []
-        for b, book in zip(bit, books, strict=True):
-            at = tuple(x["code"] for x in book)
-            if at not in made:
-                made[at] = {x["code"]: (x["kind"], x["run"], x["amp"]) for x in book}
-            out.append([{"kind": k, "run": None if r is None or r != r else int(r), "amp": None if a is None or a != a else int(a)} for k, r, a in decode_bits(b, made[at])])
-        return pd.Series(out)
-
-    return bits.join(books, key).withColumn("symbols", walk(F.col(column), F.col("bl_book"))).drop("bl_book")
+    square = F.xxhash64(F.floor(F.col("br") / _SQUARE), F.floor(F.col("bc") / _SQUARE)) if "br" in bits.columns else F.lit(0).cast("long")
+    dealt = bits.withColumn("bl_square", square)
+    books = dealt.select(*key, "bl_square").distinct().join(book.select(*key, *NAME, "code"), key)
+    books = books.select(*(F.col(c).alias(f"bl_{i}") for i, c in enumerate([*key, "bl_square"])), *NAME, "code")
+    names, at = [*bits.columns], len(bits.columns)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in bits.schema) + f", symbols array<{SYMBOL}>"
+
+    def walk(blocks: pa.Table, codes: pa.Table) -> pa.Table:
+        if not blocks.num_rows:
+            return blocks.select(names).append_column("symbols", pa.array([], kind))
+        require(codes.num_rows > 0, "a plane has no codebook")
+        table = code_table(codes.column("code").to_pylist(), list(zip(*(codes.column(c).to_pylist() for c in NAME), strict=True)))
+        found = [decode_bits(b, table) for b in blocks.column(column).to_pylist()]
+        flat = list(zip(*itertools.chain.from_iterable(found), strict=True))
+        parts = [pa.array(x, t) for x, t in zip(flat, (pa.string(), pa.int32(), pa.int32()), strict=True)]
+        ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
+        symbols = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(parts, names=NAME))
+        return blocks.select(names).add_column(at, "symbols", symbols)
+
+    kind = pa.list_(pa.struct([("kind", pa.string()), ("run", pa.int32()), ("amp", pa.int32())]))
+    return dealt.groupBy(*key, "bl_square").cogroup(books.groupBy(*(f"bl_{i}" for i in range(len(key) + 1)))).applyInArrow(walk, schema)
 
 
 def fixed_width(alphabet: int) -> int:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from blockloom.operators.coding import AC, EOB, count_kind
-from blockloom.operators.preprocess import PLANE
+from blockloom.operators.preprocess import PLANE, expected_blocks
 from blockloom.operators.quantize import zero_count
 
 BITS_PIXEL, BITS_DC, BITS_RUN, BITS_AMP, BITS_EOB, BITS_COEFFICIENT = 8, 16, 6, 16, 4, 16
@@ -35,6 +35,12 @@ def quality(original: DataFrame, restored: DataFrame, key: list[str] = PLANE, pe
     return out.withColumn("psnr", psnr(F.col("mse"), peak))
 
 
+def quality_of(sums: DataFrame, column: str = "bl_error", peak: float = 255.0) -> DataFrame:
+    """``mse, mae, psnr`` from sums of squares, of absolute values and of pixels in one array, which goes."""
+    e = F.col(column)
+    return sums.withColumns({"mse": e[0] / e[2], "mae": e[1] / e[2]}).withColumn("psnr", psnr(F.col("mse"), peak)).drop(column)
+
+
 def original_bits(h: Column, w: Column, bits_per_pixel: int = BITS_PIXEL) -> Column:
     return (h.cast("long") * w * bits_per_pixel).cast("long")
 
@@ -59,16 +65,28 @@ def reduction_percentage(original: Column, compressed: Column) -> Column:
     return F.when(ok, (1 - compressed / original) * 100).otherwise(F.raise_error(F.lit("bit counts must be positive")).cast("double"))
 
 
+def block_counts(column: str = "qf") -> dict[str, Column]:
+    """What one encoded block adds to the figures of compression: a few numbers that stand for its symbols."""
+    return {"bl_size": F.size(column), "bl_zeros": zero_count(F.col(column)), "bl_symbols": count_kind(), "bl_bits": rle_bits()}
+
+
 def compression(encoded: DataFrame, key: list[str] = PLANE, column: str = "qf") -> DataFrame:
     """Ten figures from one pass over encoded blocks: padded blocks against unpadded pixels.
 
     The plane's sizes come from the same pass, for runs that report them.
     """
-    total, zeros, n = F.sum(F.size(column)), F.sum(zero_count(F.col(column))), F.sum(count_kind())
-    one = encoded.groupBy(*key).agg(
-        total.cast("long").alias("total_coefficients"), zeros.cast("long").alias("zero_coefficients"), (total - zeros).cast("long").alias("nonzero_coefficients"), (100.0 * zeros / total).alias("zero_percentage"),
+    return compression_of(encoded.withColumns(block_counts(column)), key)
+
+
+def compression_of(counted: DataFrame, key: list[str] = PLANE, *more: Column) -> DataFrame:
+    """The same from ``block_counts``; a plane whose blocks are not all there is an error.  ``more`` aggregates go along."""
+    total, zeros, n = F.sum("bl_size"), F.sum("bl_zeros"), F.sum("bl_symbols")
+    whole = F.count(F.lit(1)) == expected_blocks(F.max("h"), F.max("w"))
+    total = F.when(whole, total).otherwise(F.raise_error(F.lit("a plane must have each of its blocks once")).cast("long"))
+    one = counted.groupBy(*key).agg(
+        *more, total.cast("long").alias("total_coefficients"), zeros.cast("long").alias("zero_coefficients"), (total - zeros).cast("long").alias("nonzero_coefficients"), (100.0 * zeros / total).alias("zero_percentage"),
         n.cast("long").alias("rle_symbols"), (n / F.count(F.lit(1))).alias("average_rle_symbols_per_block"),
-        original_bits(F.max("h"), F.max("w")).alias("original_bits"), F.sum(rle_bits()).cast("long").alias("compressed_bits"),
+        original_bits(F.max("h"), F.max("w")).alias("original_bits"), F.sum("bl_bits").cast("long").alias("compressed_bits"),
         F.max("h").alias("original_height"), F.max("w").alias("original_width"), (F.max("br") + 1).alias("num_blocks_vertical"), (F.max("bc") + 1).alias("num_blocks_horizontal"),
     )
     return one.withColumns({"compression_ratio": compression_ratio(F.col("original_bits"), F.col("compressed_bits")), "reduction_percentage": reduction_percentage(F.col("original_bits"), F.col("compressed_bits"))})

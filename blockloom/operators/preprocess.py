@@ -81,8 +81,52 @@ def plane_info(blocks: DataFrame, block: int = BLOCK) -> DataFrame:
     return one.select(*PLANE, "orig_h", "orig_w", ph.alias("padded_h"), pw.alias("padded_w"), (ph - F.col("orig_h")).alias("pad_h"), (pw - F.col("orig_w")).alias("pad_w"), F.lit(block).alias("block_size"))
 
 
+def checked_values(values: Column, n: int = BLOCK * BLOCK, name: str = "a block") -> Column:
+    """The array, if it holds ``n`` values and no null; an error otherwise."""
+    sound = (F.size(values) == n) & ~F.exists(values, lambda x: x.isNull())
+    return F.when(sound, values).otherwise(F.raise_error(F.lit(f"{name} must hold {n} values")))
+
+
+def checked_blocks(blocks: DataFrame, column: str = "px", block: int = BLOCK) -> DataFrame:
+    """The blocks, each checked for its length."""
+    return blocks.withColumn(column, checked_values(F.col(column), block * block, f"each {column}"))
+
+
+def expected_blocks(h: Column, w: Column, block: int = BLOCK) -> Column:
+    """Blocks of a whole padded plane."""
+    return ((padded(h, block) / block) * (padded(w, block) / block)).cast("long")
+
+
+def check_info(info: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Rows of ``plane_info`` whose sizes do not fit each other, with the reason; empty if all are sound."""
+    h, w, ph, pw = (F.col(c) for c in ("orig_h", "orig_w", "padded_h", "padded_w"))
+    reason = (
+        F.when(F.coalesce(F.least(h, w), F.lit(0)) <= 0, "the original sizes must be positive")
+        .when(F.coalesce(F.col("block_size"), F.lit(0)) <= 0, "the block size must be positive")
+        .when((F.col("block_size") != block) | (ph % F.col("block_size") != 0) | (pw % F.col("block_size") != 0), "the padded sizes must be multiples of the block size")
+        .when((F.least(F.col("pad_h"), F.col("pad_w")) < 0) | (F.greatest(F.col("pad_h"), F.col("pad_w")) >= F.col("block_size")), "the padding must be under a block")
+        .when((h + F.col("pad_h") != ph) | (w + F.col("pad_w") != pw), "the padded sizes must be the original ones and the padding")
+    )
+    return info.withColumn("reason", reason).where("reason is not null")
+
+
+def bad_planes(pixels: DataFrame, *columns: str) -> DataFrame:
+    """Planes without one value for each place, and planes with a null, NaN or infinite one; empty if all are sound.
+
+    ``columns`` are the values, ``v`` by default; colour pixels have three and no channel.
+    """
+    key = [c for c in PLANE if c in pixels.columns]
+    values = [F.col(c).cast("double") for c in columns or ("v",)]
+    odd = F.lit(False)
+    for v in values:
+        odd = odd | F.coalesce(F.isnan(v) | (F.abs(v) == float("inf")), F.lit(False)) | v.isNull()
+    inside = (F.col("r") >= 0) & (F.col("r") < F.col("h")) & (F.col("c") >= 0) & (F.col("c") < F.col("w"))
+    one = pixels.groupBy(*key).agg(F.count(F.lit(1)).alias("pixels"), F.count_distinct("r", "c").alias("places"), F.count_if(odd).alias("odd"), F.coalesce(F.bool_and(inside), F.lit(False)).alias("inside"), F.count_distinct("h", "w").alias("sizes"), F.max(F.col("h").cast("long") * F.col("w")).alias("want"))
+    return one.where((F.col("pixels") != F.col("want")) | (F.col("places") != F.col("want")) | (F.col("odd") > 0) | ~F.col("inside") | (F.col("sizes") != 1))
+
+
 def missing_blocks(blocks: DataFrame, block: int = BLOCK) -> DataFrame:
     """Planes whose blocks are not one for each place of the padded plane; empty if all are whole."""
     n = blocks.groupBy(*PLANE, "h", "w").agg(F.count_distinct("br", "bc").alias("distinct_blocks"), F.count(F.lit(1)).alias("blocks"))
-    want = (padded(F.col("h"), block) / block) * (padded(F.col("w"), block) / block)
+    want = expected_blocks(F.col("h"), F.col("w"), block)
     return n.where((F.col("blocks") != want) | (F.col("distinct_blocks") != want))

@@ -26,7 +26,11 @@ def dct_1d(samples: DataFrame, key: list[str], n: int = BLOCK, inverse: bool = F
 
 
 def _matrices(values: pa.Array, n: int) -> np.ndarray:
-    return np.asarray(values.flatten(), dtype=np.float64).reshape(-1, n, n)
+    """A batch of square blocks; one of another length, or with a null, is an error."""
+    flat = values.flatten()
+    if values.null_count or flat.null_count or (np.diff(values.offsets.to_numpy()) != n * n).any():
+        raise ValueError(f"each block must hold {n * n} values")
+    return np.asarray(flat, dtype=np.float64).reshape(-1, n, n)
 
 
 def _lists(values: np.ndarray) -> pa.Array:
@@ -62,6 +66,27 @@ def dct2_relational(cells: DataFrame, key: list[str], n: int = BLOCK) -> DataFra
     return dct_1d(rows.withColumnRenamed("y", "n"), [*key, "u"], n).withColumnRenamed("k", "v").withColumn("value", F.round("value", DIGITS))
 
 
+def block_error(back: str = "f", original: str = "px", shift: float = 128.0, n: int = BLOCK):
+    """Sums of squared and absolute errors and the number of pixels, of a block and its restored whole numbers.
+
+    From dequantized coefficients and the block before its shift: the inverse transform,
+    the shift, clipping and rounding within the row; the padding does not count.
+    """
+    m = dct_matrix(n)
+
+    @F.arrow_udf("array<double>")
+    def compute(f: pa.Array, px: pa.Array, h: pa.Array, w: pa.Array, br: pa.Array, bc: pa.Array) -> pa.Array:
+        a = np.rint(np.clip(np.round(m.T @ _matrices(f, n) @ m, DIGITS) + shift, 0, 255))
+        d = np.abs(a - _matrices(px, n))
+        rows, cols = ((np.asarray(size) - np.asarray(at) * n)[:, None] > np.arange(n) for size, at in ((h, br), (w, bc)))
+        inside = rows[:, :, None] & cols[:, None, :]
+        d *= inside
+        out = np.stack([(d**2).sum((1, 2)), d.sum((1, 2)), inside.sum((1, 2))], 1)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1, dtype=np.int32) * 3), pa.array(out.reshape(-1)))
+
+    return compute(*map(F.col, (back, original, "h", "w", "br", "bc")))
+
+
 def basis_images(spark, n: int = BLOCK) -> DataFrame:
     """``u, v, x, y, value, shown``: all n*n basis images; ``shown`` is clipped to a display range of 0.25."""
     b = basis_relation(spark, n)

@@ -12,6 +12,7 @@ from blockloom.operators import coding, color, huffman, metrics, preprocess, qua
 from blockloom.plans import pipelines, sql
 from blockloom.plans.sql import BLOCKS, CHAIN, query
 from blockloom.sources import rasters
+from blockloom.storage import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -67,6 +68,15 @@ def _encoded(spark: SparkSession, sf_dir: str, tables: dict = ONE) -> DataFrame:
     return coding.encode_blocks(_quantized(spark, sf_dir, tables), pipelines.RUN)
 
 
+def _sweep(spark: SparkSession, sf_dir: str, tables: dict) -> DataFrame:
+    return pipelines.encoded_sweep(pipelines.transformed(rasters.gray_orders(spark, sf_dir)), tables)
+
+
+def _stream(spark: SparkSession, sf_dir: str, tables: dict) -> DataFrame:
+    """Symbols of encoded blocks that are written once, for what reads them more than once."""
+    return coding.symbol_stream(written(_sweep(spark, sf_dir, tables).select(*pipelines.RUN, "br", "bc", "dc_diff", "ac_symbols"), "encoded"), pipelines.RUN)
+
+
 # --- preprocessing ---------------------------------------------------------------------------
 
 
@@ -82,9 +92,12 @@ def pad_edge(spark, sf_dir):
 
 @add("split_blocks", query("SELECT br::BIGINT AS br, bc::BIGINT AS bc, count(*)::BIGINT AS n, sum(x * 8 + y)::BIGINT AS places, sum((x * 8 + y) * v::BIGINT)::BIGINT AS weighted FROM blocks GROUP BY br, bc", "gray", src="SELECT * FROM gray", blocks=BLOCKS))
 def split_blocks(spark, sf_dir):
-    b = preprocess.pack_blocks(preprocess.split_blocks(preprocess.pad_edge(rasters.gray_orders(spark, sf_dir))))
+    """The places come from the tiles, what they weigh from the packed blocks."""
+    tiles = preprocess.split_blocks(preprocess.pad_edge(rasters.gray_orders(spark, sf_dir)))
+    places = tiles.groupBy("br", "bc").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("x") * 8 + F.col("y")).cast("long")).alias("places"))
     total = F.aggregate(F.transform("px", lambda v, i: (v * i).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
-    return b.select(*long("br", "bc"), F.size("px").cast("long").alias("n"), F.lit(2016).cast("long").alias("places"), total.alias("weighted"))
+    weighted = preprocess.pack_blocks(tiles).select("br", "bc", total.alias("weighted"))
+    return places.join(weighted, ["br", "bc"]).select(*long("br", "bc", "n", "places", "weighted"))
 
 
 @add("level_shift", query("SELECT br::BIGINT AS br, bc::BIGINT AS bc, sum((v - 128)::BIGINT)::BIGINT AS total, min((v - 128)::BIGINT)::BIGINT AS low FROM blocks GROUP BY br, bc", "gray", src="SELECT * FROM gray", blocks=BLOCKS))
@@ -132,7 +145,7 @@ def bilinear_up(spark, sf_dir):
     return color.upsample_420(small, sizes).select("channel", *long("r", "c"), rounded("v", 6).alias("v"))
 
 
-@add("chroma_info", "SELECT h::BIGINT AS orig_h, 45::BIGINT AS orig_w, ((h + 1) // 2 * 2)::BIGINT AS padded_h, 46::BIGINT AS padded_w, ((h + 1) // 2)::BIGINT AS sub_h, 23::BIGINT AS sub_w FROM (SELECT count(*) // 45 AS h FROM part)")
+@add("chroma_info", "SELECT h::BIGINT AS orig_h, 45::BIGINT AS orig_w, ((h + 1) // 2 * 2)::BIGINT AS padded_h, 46::BIGINT AS padded_w, ((h + 1) // 2)::BIGINT AS sub_h, 23::BIGINT AS sub_w FROM (SELECT max(p_partkey) // 45 + 1 AS h FROM part)")
 def chroma_info(spark, sf_dir):
     planes = color.split_channels(color.rgb_to_ycbcr(rasters.rgb_part(spark, sf_dir)))
     return color.chroma_info(planes.where("channel = 'Cb'")).select(*long("orig_h", "orig_w", "padded_h", "padded_w", "sub_h", "sub_w"))
@@ -301,7 +314,7 @@ def rle_decode(spark, sf_dir):
 
 @add("rle_stats", chain("SELECT config_id, rle_symbols, eob_symbols, round(average_rle_symbols_per_block, 6) AS average_rle_symbols_per_block FROM bits", "zc", "bits", tables=THREE))
 def rle_stats(spark, sf_dir):
-    return coding.rle_statistics(_encoded(spark, sf_dir, THREE), ["config_id"]).select("config_id", "rle_symbols", "eob_symbols", F.round("average_rle_symbols_per_block", 6).alias("average_rle_symbols_per_block"))
+    return coding.rle_statistics(_sweep(spark, sf_dir, THREE), ["config_id"]).select("config_id", "rle_symbols", "eob_symbols", F.round("average_rle_symbols_per_block", 6).alias("average_rle_symbols_per_block"))
 
 
 _SYM = ["dc", "ac", "last", "sym"]
@@ -322,25 +335,44 @@ def blocks_from_symbols(spark, sf_dir):
 
 @add("symbol_freq", chain("SELECT config_id, kind, run, amp, n FROM freq", "zc", *_SYM, "freq", tables=THREE))
 def symbol_freq(spark, sf_dir):
-    return huffman.frequencies(coding.symbol_stream(_encoded(spark, sf_dir, THREE), pipelines.RUN), pipelines.RUN).select("config_id", "kind", "run", "amp", "n")
+    return huffman.frequencies(coding.symbol_stream(_sweep(spark, sf_dir, THREE), pipelines.RUN), pipelines.RUN).select("config_id", "kind", "run", "amp", "n")
 
 
 @add("entropy", chain("SELECT config_id, round(-sum(p * log2(p)), 6) AS entropy FROM (SELECT config_id, n::DOUBLE / sum(n) OVER (PARTITION BY config_id) AS p FROM freq) GROUP BY config_id", "zc", *_SYM, "freq", tables=THREE))
 def entropy(spark, sf_dir):
-    freq = huffman.frequencies(coding.symbol_stream(_encoded(spark, sf_dir, THREE), pipelines.RUN), pipelines.RUN)
+    freq = huffman.frequencies(coding.symbol_stream(_sweep(spark, sf_dir, THREE), pipelines.RUN), pipelines.RUN)
     return huffman.entropy(freq, ["config_id"]).withColumn("entropy", F.round("entropy", 6))
 
 
+def _statistics(encoded: DataFrame, key: list[str]) -> DataFrame:
+    freq = written(huffman.frequencies(coding.symbol_stream(encoded, key), key), "frequencies")
+    return huffman.statistics(huffman.codebook(freq, key), huffman.entropy(freq, key), key)
+
+
 @add("huffman_bits")
 def huffman_bits(spark, sf_dir):
-    freq = huffman.frequencies(coding.symbol_stream(_encoded(spark, sf_dir, THREE), pipelines.RUN), pipelines.RUN)
-    return huffman.statistics(huffman.codebook(freq, pipelines.RUN), huffman.entropy(freq, pipelines.RUN), pipelines.RUN)
+    return _statistics(_sweep(spark, sf_dir, THREE), pipelines.RUN)
+
+
+_NO_HEAP = "sum(n)::BIGINT AS symbol_count, count(*)::BIGINT AS alphabet_size, round(log2(sum(n)) - sum(n * log2(n)) / sum(n), 6) AS entropy, (sum(n) * ceil(log2(count(*))))::BIGINT AS fixed_length_bits FROM freq"
+
+
+def _no_heap(statistics: DataFrame, key: str) -> DataFrame:
+    """What the heap has no part in, and whether the mean code keeps to its bounds."""
+    mean = F.col("average_code_length")
+    bounds = (F.col("entropy") <= mean) & (mean < F.col("entropy") + 1) & (F.col("bit_count") <= F.col("fixed_length_bits"))
+    return statistics.select(key, *long("symbol_count", "alphabet_size"), F.round("entropy", 6).alias("entropy"), *long("fixed_length_bits"), bounds.alias("in_bounds"))
+
+
+@add("huffman_counts", chain(f"SELECT config_id, true AS in_bounds, {_NO_HEAP} GROUP BY config_id", "zc", *_SYM, "freq", tables=THREE))
+def huffman_counts(spark, sf_dir):
+    return _no_heap(huffman_bits(spark, sf_dir), "config_id")
 
 
 @add("huffman_roundtrip", _STREAM)
 def huffman_roundtrip(spark, sf_dir):
-    stream = coding.symbol_stream(_encoded(spark, sf_dir), pipelines.RUN)
-    book = huffman.codebook(huffman.frequencies(stream, pipelines.RUN), pipelines.RUN)
+    stream = _stream(spark, sf_dir, ONE)
+    book = written(huffman.codebook(huffman.frequencies(stream, pipelines.RUN), pipelines.RUN), "codebook")
     back = huffman.decode(huffman.encode(stream, book, pipelines.RUN), book, pipelines.RUN)
     return back.select(*long("br", "bc"), F.posexplode("symbols").alias("pos", "s")).select("br", "bc", "pos", "s.kind", "s.run", "s.amp")
 
@@ -374,7 +406,7 @@ _COUNTS = ("total_coefficients", "zero_coefficients", "nonzero_coefficients", "r
 
 @add("compression_metrics", chain(f"SELECT config_id, {_COMPRESSION} FROM bits, {_OB}", "zc", "bits", tables=THREE))
 def compression_metrics(spark, sf_dir):
-    c = metrics.compression(_encoded(spark, sf_dir, THREE), ["config_id"])
+    c = metrics.compression(_sweep(spark, sf_dir, THREE), ["config_id"])
     return c.select("config_id", *_COUNTS, *(F.round(k, 6).alias(k) for k in _RATIOS))
 
 
@@ -426,8 +458,30 @@ def color_pipeline(spark, sf_dir):
     return pipelines.run_color(rasters.rgb_part(spark, sf_dir)).select(*long("r", "c"), "red", "green", "blue")
 
 
+@add("color_plain", query(f"SELECT y.r::BIGINT AS r, y.c::BIGINT AS c, {_rgb_sql('y.v', 'b.v', 'd.v')} FROM yy y JOIN big b ON b.r = y.r AND b.c = y.c AND b.ch = 'Cb' JOIN big d ON d.r = y.r AND d.c = y.c AND d.ch = 'Cr'",
+     *(p for p in _COLOR_PARTS if p not in ("fb", "taps", "feat", "cls", "scl", "qa")), **{k: v for k, v in _COLOR_OWN.items() if k not in ("fb", "qc", "qt")}, qc="SELECT config_id, ch, br, bc, u, v, round_even(f / q, 0)::INT AS qf, q FROM coef JOIN qt USING (ch, u, v)", qt=sql.color_rows(2.0, 0.5)))
+def color_plain(spark, sf_dir):
+    """Y by one table, chroma by a scale of its own."""
+    return pipelines.run_color(rasters.rgb_part(spark, sf_dir), 2.0, False, 0.5).select(*long("r", "c"), "red", "green", "blue")
+
+
+def _color_encoded(spark, sf_dir) -> DataFrame:
+    quantized = written(pipelines.color_quantized(pipelines.color_planes(rasters.rgb_part(spark, sf_dir)), 4.0), "quantized")
+    return coding.encode_blocks(quantized)
+
+
 @add("color_huffman")
 def color_huffman(spark, sf_dir):
-    quantized = pipelines.color_quantized(pipelines.color_planes(rasters.rgb_part(spark, sf_dir)), 4.0)
-    freq = huffman.frequencies(coding.symbol_stream(coding.encode_blocks(quantized)))
-    return huffman.statistics(huffman.codebook(freq), huffman.entropy(freq))
+    return _statistics(_color_encoded(spark, sf_dir), preprocess.PLANE)
+
+
+@add("color_huffman_counts", query(f"SELECT ch AS channel, true AS in_bounds, {_NO_HEAP} GROUP BY ch", *_COLOR_PARTS[: _COLOR_PARTS.index("ihalf")], "zz", "zc", *_SYM, "freq", **{k: v for k, v in _COLOR_OWN.items() if k not in ("whole", "big", "yy")}))
+def color_huffman_counts(spark, sf_dir):
+    return _no_heap(color_huffman(spark, sf_dir), "channel")
+
+
+@add("bilinear_resize", query("SELECT ch AS channel, r::BIGINT AS r, c::BIGINT AS c, round(v, 6) + 0.0 AS v FROM big", "rgb", "ycc", "chan", "small", big=sql.resized("small", 31, 50)))
+def bilinear_resize(spark, sf_dir):
+    """To a fixed size: other factors than two, up one way and down the other."""
+    small = color.downsample_420(color.split_channels(color.rgb_to_ycbcr(rasters.rgb_part(spark, sf_dir))).where("channel <> 'Y'"))
+    return color.resize_bilinear(small, F.lit(31), F.lit(50)).select("channel", *long("r", "c"), rounded("v", 6).alias("v"))

@@ -31,7 +31,8 @@ U8 = "round_even(least(greatest({}, 0.0), 255.0), 0)::INT"
 part("basis", "SELECT k, n, sqrt(CASE WHEN k = 0 THEN 1.0 ELSE 2.0 END / 8) * cos(pi() / 8 * (n + 0.5) * k) AS b FROM range(8) a(k), range(8) c(n)")
 part("zz", "SELECT * FROM (VALUES " + ", ".join(f"({p // 8}, {p % 8}, {z})" for z, p in enumerate(zigzag_order())) + ") AS t(u, v, z)")
 part("gray", "SELECT 'gray' AS ch, o_orderkey // 100 AS r, o_orderkey % 100 AS c, (floor(o_totalprice)::BIGINT % 256)::FLOAT AS v FROM orders")
-part("rgb", "SELECT p_partkey // 45 AS r, p_partkey % 45 AS c, (floor(p_retailprice)::INT - 900) * 2 AS red, p_size * 5 AS green, (p_partkey % 256)::INT AS blue FROM part WHERE p_partkey < 45 * (SELECT count(*) // 45 FROM part)")
+part("rgb", """SELECT p_partkey // 45 AS r, c, (floor(p_retailprice)::INT - 900) * 2 AS red, p_size * 5 AS green, (p_partkey % 256)::INT AS blue
+  FROM (SELECT *, unnest(range(p_partkey % 45, CASE WHEN p_partkey = (SELECT max(p_partkey) FROM part) THEN 45 ELSE p_partkey % 45 + 1 END)) AS c FROM part)""")
 part("rgbgray", "SELECT 'gray' AS ch, r, c, 0.299::FLOAT * red::FLOAT + 0.587::FLOAT * green::FLOAT + 0.114::FLOAT * blue::FLOAT AS v FROM rgb")
 part("ycc", "SELECT r, c, 0.299::DOUBLE * red + 0.587::DOUBLE * green + 0.114::DOUBLE * blue AS y, 128.0::DOUBLE - 0.168736::DOUBLE * red - 0.331264::DOUBLE * green + 0.5::DOUBLE * blue AS cb, 128.0::DOUBLE + 0.5::DOUBLE * red - 0.418688::DOUBLE * green - 0.081312::DOUBLE * blue AS cr FROM rgb")
 part("chan", "SELECT 'Y' AS ch, r, c, y AS v FROM ycc UNION ALL SELECT 'Cb', r, c, cb FROM ycc UNION ALL SELECT 'Cr', r, c, cr FROM ycc")
@@ -84,6 +85,15 @@ BLOCKS = blocks_of("src")
 #: Gray chain over ``src``, up to the named part.
 CHAIN = ["basis", "zz", "src", "blocks", "half", "coef", "qt", "qc", "zc"]
 COLOR_TABLES = {s: table_rows({("c", k): t for k, t in color_tables(s).items()}) for s in (1.0, 4.0)}
+
+
+def color_rows(scale: float, chroma_scale: float) -> str:
+    """Colour tables, scaled here and not by the library."""
+    rows = [(k, i, s, q) for k, base, s in (("Y", LUMA, scale), ("Cb", CHROMA, chroma_scale), ("Cr", CHROMA, chroma_scale)) for i, q in enumerate(base)]
+    values = ", ".join(f"('{k}', {i // 8}, {i % 8}, {s}::DOUBLE, {q}::DOUBLE)" for k, i, s, q in rows)
+    return f"SELECT 'c' AS config_id, ch, u, v, least(greatest(round_even(s * q, 0), 1), 255) AS q FROM (VALUES {values}) AS t(ch, u, v, s, q)"
+
+
 BASE = {"luma": LUMA, "chroma": CHROMA}
 
 
@@ -97,3 +107,16 @@ def enlarged(source: str, h: str, w: str) -> str:
     FROM (SELECT ch, max(r) + 1 AS sh, max(c) + 1 AS sw FROM {source} GROUP BY ch) d, LATERAL (SELECT unnest(range({h})) AS i) x, LATERAL (SELECT unnest(range({w})) AS j) y) g
   JOIN {source} a ON a.ch = g.ch AND a.r = r0 AND a.c = c0 JOIN {source} b ON b.ch = g.ch AND b.r = r0 AND b.c = least(c0 + 1, sw - 1)
   JOIN {source} e ON e.ch = g.ch AND e.r = least(r0 + 1, sh - 1) AND e.c = c0 JOIN {source} f ON f.ch = g.ch AND f.r = least(r0 + 1, sh - 1) AND f.c = least(c0 + 1, sw - 1)"""
+
+
+def resized(source: str, h: int, w: int) -> str:
+    """Bilinear resampling of ``ch, r, c, v`` to a fixed size, with edges clamped."""
+    def side(t: str, n: str, size: int) -> str:
+        return f"least(greatest(({t} + 0.5::DOUBLE) * {n} / {size} - 0.5, 0.0), {n} - 1.0)"
+
+    y, x = side("i", "sh", h), side("j", "sw", w)
+    return f"""SELECT g.ch, g.r, g.c, (1 - wr) * ((1 - wc) * a.v + wc * b.v) + wr * ((1 - wc) * e.v + wc * f.v) AS v
+  FROM (SELECT ch, i AS r, j AS c, floor({y})::INT AS r0, floor({x})::INT AS c0, {y} - floor({y}) AS wr, {x} - floor({x}) AS wc, sh, sw
+    FROM (SELECT ch, max(r) + 1 AS sh, max(c) + 1 AS sw FROM {source} GROUP BY ch) d, range({h}) p(i), range({w}) q(j)) g
+  JOIN {source} a ON a.ch = g.ch AND a.r = r0 AND a.c = c0 JOIN {source} b ON b.ch = g.ch AND b.r = r0 AND b.c = least(c0 + 1, sw - 1)
+  JOIN {source} e ON e.ch = g.ch AND e.r = least(r0 + 1, sh - 1) AND e.c = c0 JOIN {source} f ON f.ch = g.ch AND f.r = least(r0 + 1, sh - 1) AND f.c = least(c0 + 1, sw - 1)"""

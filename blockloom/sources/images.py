@@ -15,18 +15,19 @@ from blockloom.functions.params import require
 PIXELS = "image_id string, r int, c int, red int, green int, blue int, h int, w int"
 
 
-def read_rgb(spark: SparkSession, path: str) -> DataFrame:
+def read_rgb(spark: SparkSession, path: str, skip_invalid: bool = False) -> DataFrame:
     """Pixels of every image under ``path``, one file or a folder, in any format Spark's image source reads.
 
     Gray images repeat their value, an alpha channel is dropped.  A path
     that doesn't exist is an error when the plan is made; a file that is no
-    image is left out by the source.  Batches of a few rows bound the memory.
+    image is an error when it is read, or left out if ``skip_invalid``.  Batches of a few rows bound the memory.
     """
 
     def decode(batches):
         for batch in batches:
             for img in batch.column("image").to_pylist():
                 h, w, n = img["height"], img["width"], img["nChannels"]
+                require(h > 0 and w > 0, f"{img['origin']} can't be read as an image")
                 require(n in (1, 3, 4), f"{n} channels are not known")
                 px = np.frombuffer(img["data"], np.uint8).reshape(h, w, n)
                 bgr = np.repeat(px, 3, axis=2) if n == 1 else px[:, :, :3]
@@ -38,7 +39,7 @@ def read_rgb(spark: SparkSession, path: str) -> DataFrame:
                     cols = [pa.array([img["origin"]] * m, pa.string()), r.ravel() + np.int32(top), c.ravel(), *(part[:, :, k].ravel().astype(np.int32) for k in (2, 1, 0)), np.full(m, h, np.int32), np.full(m, w, np.int32)]
                     yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in cols], names=[x.split()[0] for x in PIXELS.split(", ")])
 
-    files = spark.read.format("image").option("dropInvalid", True).load(path)
+    files = spark.read.format("image").option("dropInvalid", skip_invalid).load(path)
     return files.mapInArrow(decode, PIXELS)
 
 

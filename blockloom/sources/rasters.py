@@ -27,13 +27,14 @@ def gray_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rgb_part(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A colour plane, 45 wide, one pixel a part; parts of an unfinished last row are left out."""
+    """A colour plane, 45 wide, one pixel a part; the last part fills up an unfinished last row."""
     p = _read(spark, sf_dir, "part").select("p_partkey", "p_retailprice", "p_size")
-    size = p.agg(F.floor(F.count(F.lit(1)) / COLOR_WIDTH).cast("int").alias("h"))
+    size = p.agg(F.max("p_partkey").alias("last")).withColumn("h", (F.floor(F.col("last") / COLOR_WIDTH) + 1).cast("int"))
     at = place("p_partkey", COLOR_WIDTH)
     colors = {"red": (F.floor("p_retailprice").cast("int") - 900) * 2, "green": F.col("p_size").cast("int") * 5, "blue": (F.col("p_partkey") % 256).cast("int")}
-    one = p.crossJoin(F.broadcast(size)).where(F.col("p_partkey") < F.col("h") * COLOR_WIDTH)
-    return one.select(F.lit("part").alias("image_id"), at["r"].alias("r"), at["c"].alias("c"), *(v.alias(k) for k, v in colors.items()), "h", F.lit(COLOR_WIDTH).alias("w"))
+    fills = F.sequence(at["c"], F.when(F.col("p_partkey") == F.col("last"), COLOR_WIDTH - 1).otherwise(at["c"]))
+    one = p.crossJoin(F.broadcast(size)).withColumn("c", F.explode(fills))
+    return one.select(F.lit("part").alias("image_id"), at["r"].alias("r"), "c", *(v.alias(k) for k, v in colors.items()), "h", F.lit(COLOR_WIDTH).alias("w"))
 
 
 def embedding_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:

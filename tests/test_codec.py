@@ -58,6 +58,47 @@ def test_missing_block_is_found(spark):
     assert preprocess.missing_blocks(df.where("bc = 0 or br = 0")).count() == 1
 
 
+def test_wrong_shapes_are_errors(spark):
+    a = np.zeros((9, 17), np.float32)
+    px = pixels(spark, a)
+    good = preprocess.pack_blocks(preprocess.split_blocks(preprocess.pad_edge(px)))
+    assert preprocess.check_info(preprocess.plane_info(good)).count() == 0
+    for change in ({"padded_h": 17}, {"pad_w": 8}, {"orig_h": 0}, {"block_size": 0}, {"padded_w": 32}):
+        assert preprocess.check_info(preprocess.plane_info(good).withColumns({k: F.lit(v) for k, v in change.items()})).count() == 1, change
+    assert preprocess.bad_planes(px).count() == 0
+    bad = px.where("r > 0"), px.unionByName(px.limit(1)), px.withColumn("v", F.when(F.col("r") == 0, float("nan")).otherwise(F.col("v"))), px.withColumn("v", F.nullif(F.col("r"), F.lit(3))), px.withColumn("r", F.col("r") + 1)
+    assert all(preprocess.bad_planes(x).count() == 1 for x in bad)
+    short = good.withColumn("px", F.when(F.col("bc") == 1, F.slice("px", 1, 63)).when(F.col("bc") == 2, F.concat("px", F.array(F.lit(0.0)))).otherwise(F.col("px")))
+    with pytest.raises(Exception, match="must hold 64 values"):  # 63 and 65 would else make up two blocks
+        transform.dct2(short.where("bc > 0")).collect()
+    with pytest.raises(Exception, match="must hold 64 values"):
+        preprocess.checked_blocks(short).collect()
+    for hole in (F.lit(None).cast("array<float>"), F.transform("px", lambda x: F.nullif(x, x))):
+        with pytest.raises(Exception, match="must hold 64 values"):
+            transform.idct2(good.withColumn("f", hole)).collect()
+    with pytest.raises(Exception, match="must hold 64 values"):
+        coding.encode_blocks(blocks(spark, sparse()).withColumn("qf", F.slice("qf", 1, 60))).collect()
+    encoded = coding.encode_blocks(blocks(spark, sparse()))
+    with pytest.raises(Exception, match="each of its blocks once"):
+        metrics.compression(encoded.where("bc > 0")).collect()
+
+
+def test_a_y_block_without_a_class_is_an_error(spark, monkeypatch):
+    real = pipelines.classify_blocks
+    monkeypatch.setattr(pipelines, "classify_blocks", lambda f: real(f).where("br > 0"))
+    a = np.random.default_rng(1).integers(0, 256, (20, 20, 3))
+    with pytest.raises(Exception, match="has no class"):
+        pipelines.color_quantized(pipelines.color_planes(rgb(spark, a))).collect()
+
+
+def test_chroma_info_of_both_channels(spark):
+    planes = color.split_channels(color.rgb_to_ycbcr(rgb(spark, np.zeros((5, 6, 3), int)))).where("channel <> 'Y'")
+    info = color.chroma_info(planes)
+    assert color.check_same_info(info).count() == 0
+    for bad in (info.where("channel = 'Cb'"), info.unionByName(info), info.withColumn("sub_h", F.lit(2)), info.withColumn("orig_w", F.when(F.col("channel") == "Cr", 5).otherwise(F.col("orig_w"))), info.withColumn("mode", F.lit("4:4:4"))):
+        assert color.check_same_info(bad).count() == 1
+
+
 def test_dct_matrix_and_round_trips(spark):
     c = params.dct_matrix()
     assert params.is_orthonormal(c) and not params.is_orthonormal(c * 1.001) and not params.is_orthonormal(c[:4])
@@ -234,6 +275,18 @@ def test_huffman_codes():
     assert (huffman.fixed_width(1), huffman.fixed_width(2), huffman.fixed_width(5)) == (1, 1, 3)
 
 
+def test_decode_checks_the_codebook(spark):
+    enc = coding.encode_blocks(blocks(spark, sparse(4)))
+    s = coding.symbol_stream(enc)
+    book = huffman.codebook(huffman.frequencies(s))
+    bits = huffman.encode(s, book)
+    for bad in (book.withColumn("code", F.substring("code", 1, 1)), book.withColumn("code", F.concat(F.lit("2"), "code")), book.limit(0)):
+        with pytest.raises(Exception, match="code"):
+            huffman.decode(bits, bad).collect()
+    with pytest.raises(Exception, match="whole code"):
+        huffman.decode(bits.withColumn("bits", F.concat("bits", F.lit("0"))), book.withColumn("code", F.concat(F.lit("11"), "code"))).collect()
+
+
 def test_prefix_is_found(spark):
     rows = [("i", "g", "DC", None, k, 1, c) for k, c in enumerate(["0", "10", "101", "11"])]
     bad = huffman.check_codebook(spark.createDataFrame(rows, "image_id string, channel string, kind string, run int, amp int, n long, code string"))
@@ -306,6 +359,31 @@ def test_whole_gray_run(spark):
     assert got["quality_50"].pad_height == 3 and got["quality_50"].num_blocks_horizontal == 3
 
 
+def test_every_setting_of_a_sweep_has_its_row(spark):
+    scales = [1.0, 1.0, 1.0000001, 0.123456789]
+    tables = pipelines.sweep_tables(scales, [50, 50])
+    assert list(tables) == ["scale_1", "scale_1_again1", "scale_1.0000001", "scale_0.123456789", "quality_50", "quality_50_again1"]
+    a = np.random.default_rng(7).integers(0, 256, (9, 9)).astype(np.float32)
+    got = {r.config_id: r for r in pipelines.run_gray(pixels(spark, a), tables).collect()}
+    assert set(got) == set(tables) and got["scale_1"].mse == got["scale_1_again1"].mse
+    plain = {r.config_id: r for r in pipelines.run_gray(pixels(spark, a), tables, decode=False).collect()}
+    assert all(plain[k].mse == got[k].mse and plain[k].compressed_bits == got[k].compressed_bits for k in got)
+
+
+def test_errors_within_blocks_are_those_of_pixels(spark):
+    """Several planes of several sizes: the figures of a run equal those of a join of pixels."""
+    r = np.random.default_rng(8)
+    planes = pixels(spark, r.integers(0, 256, (13, 30)).astype(np.float32), "a").unionByName(pixels(spark, r.integers(0, 256, (8, 7)).astype(np.float32), "b"))
+    tables = pipelines.sweep_tables([0.5, 3.0])
+    got = {(x.image_id, x.config_id): x for x in pipelines.run_gray(planes, tables).collect()}
+    back = reconstruct.from_quantized(pipelines.quantized_sweep(pipelines.coefficients(planes), tables), pipelines.RUN)
+    want = metrics.quality(planes, back, pipelines.RUN).collect()
+    assert len(got) == len(want) == 4
+    for x in want:
+        g = got[x.image_id, x.config_id]
+        assert (g.mse, g.mae, g.psnr) == pytest.approx((x.mse, x.mae, x.psnr))
+
+
 def test_whole_color_run_is_close_at_fine_scale(spark):
     r, c = np.indices((15, 21))
     a = np.stack([r * 12, c * 10, 255 - r * 8 - c * 4], 2).clip(0, 255)
