@@ -30,19 +30,37 @@ def _spread(code: np.ndarray, n: int) -> np.ndarray:
     return (code * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)
 
 
-def seen(text: str) -> np.ndarray:
-    """Which places the n-grams of a whole text fill."""
+def grams(text: str) -> np.ndarray:
+    """The place of each n-gram of a whole text, as often as it stands."""
     x = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8).astype(np.uint32)
-    out = np.zeros(PLACES, bool)
-    code = np.zeros(len(x), np.uint32)
+    out, code = [], np.zeros(len(x), np.uint32)
     for k, n in enumerate(GRAMS):
         if len(x) < n:
             break
         code = (code[: len(x) - n + 1] << np.uint32(8)) | x[n - 1 :]
-        out[(k << BITS) + _spread(code, n)] = True
+        out.append(np.uint32(k << BITS) + _spread(code, n))
+    return np.concatenate(out) if out else np.empty(0, np.uint32)
+
+
+def seen(text: str) -> np.ndarray:
+    """Which places the n-grams of a whole text fill."""
+    out = np.zeros(PLACES, bool)
+    out[grams(text)] = True
     return out
 
 
+class Distinct:
+    """Distinct places of a text in time of its length: the last to stamp a place stands for it."""
+
+    def __init__(self):
+        self.stamp = np.empty(PLACES, np.int64)
+
+    def __call__(self, at: np.ndarray) -> np.ndarray:
+        number = np.arange(len(at))
+        self.stamp[at] = number
+        return at[self.stamp[at] == number]
+
+
 def _curve_inputs(margin, size):
     """What the score's curve sees: margin and text size, as short texts have noisier margins."""
     long = np.log1p(np.asarray(size, float)) / 8
@@ -64,9 +82,17 @@ class Model:
     def margin(self, at: np.ndarray) -> float:
         return float(self.weight[at].sum() / np.sqrt(max(self.square[at].sum(), 1e-12))) if len(at) else 0.0
 
+    def scores(self, texts: list[str]) -> np.ndarray:
+        """Scores of a batch of texts; its curve is taken at once."""
+        distinct, margins, sizes = Distinct(), [], []
+        for text in texts:
+            at = distinct(grams(text))
+            margins.append(self.margin(at))
+            sizes.append(len(at))
+        return 1 / (1 + np.exp(-np.clip(_curve_inputs(margins, sizes) @ self.curve, -35, 35)))
+
     def score(self, text: str) -> float:
-        at = np.flatnonzero(seen(text))
-        return float(1 / (1 + np.exp(-np.clip(_curve_inputs(self.margin(at), len(at)) @ self.curve, -35, 35))))
+        return float(self.scores([text])[0])
 
 
 def log_count_ratio(samples: list[np.ndarray], labels: np.ndarray, smooth: float = 1.0) -> np.ndarray:
@@ -78,25 +104,31 @@ def log_count_ratio(samples: list[np.ndarray], labels: np.ndarray, smooth: float
     return np.log(counts[1] / n[1]) - np.log(counts[0] / n[0])
 
 
-def dual_coordinate_descent(samples: list[np.ndarray], labels: np.ndarray, r: np.ndarray, cost: float = 1.0, rounds: int = 12) -> np.ndarray:
-    """Weights of the L2-regularized squared-hinge model on unit vectors of scaled indicators.
+def dual_coordinate_descent(samples: list[np.ndarray], labels: np.ndarray, r: np.ndarray, cost: float = 3.0, rounds: int = 20, tolerance: float = 1e-3) -> np.ndarray:
+    """Weights of the L2-regularized linear hinge-loss model on unit vectors of scaled indicators.
 
-    Each step solves one dual variable exactly and moves the weights by it; the
-    order is a fixed permutation a round.
+    Each step solves one dual variable exactly within 0 and ``cost`` and moves the
+    weights by it; the order is a fixed permutation a round.  Ends when no gradient
+    that a bound doesn't hold back is above ``tolerance``, or after ``rounds``.
     """
     y = np.where(labels == 1, 1.0, -1.0)
-    norm = np.array([np.sqrt(max((r[x] ** 2).sum(), 1e-12)) for x in samples])
-    w, alpha, diag = np.zeros(PLACES), np.zeros(len(y)), 1 / (2 * cost)
+    vectors = [(r[x] / np.sqrt(max((r[x] ** 2).sum(), 1e-12))) for x in samples]
+    diagonal = np.array([max(v @ v, 1e-12) for v in vectors])
+    w, alpha = np.zeros(PLACES), np.zeros(len(y))
     order = np.random.default_rng(0)
     for _ in range(rounds):
+        worst = 0.0
         for i in order.permutation(len(y)):
-            x = samples[i]
-            v = r[x] / norm[i]
-            gradient = y[i] * (w[x] @ v) - 1 + diag * alpha[i]
-            new = max(alpha[i] - gradient / (1 + diag), 0.0)
+            x, v = samples[i], vectors[i]
+            gradient = y[i] * (w[x] @ v) - 1
+            free = min(gradient, 0.0) if alpha[i] <= 0 else max(gradient, 0.0) if alpha[i] >= cost else gradient
+            worst = max(worst, abs(free))
+            new = min(max(alpha[i] - gradient / diagonal[i], 0.0), cost)
             if new != alpha[i]:
                 w[x] += (new - alpha[i]) * y[i] * v
                 alpha[i] = new
+        if worst <= tolerance:
+            break
     return w
 
 
@@ -183,20 +215,25 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", target: str = "score") -> DataFrame:
     """``docs`` with a score of each whole text; a null text is scored as an empty one.
 
-    All rows and columns stay.  The model is a broadcast of fixed size.
+    All rows and columns stay; equal texts have equal scores, whatever else their rows
+    hold, and a text of any length is scored whole.  A column of the name ``target`` is
+    replaced.  An empty table gives no rows.  The model is a broadcast of fixed size.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("double")
     def apply(texts: pa.Array) -> pa.Array:
         claim("quality")
-        m = shared.value
-        return pa.array([m.score(t.as_py() or "") for t in texts], pa.float64())
+        return pa.array(np.concatenate([shared.value.scores([t.as_py() or "" for t in texts.slice(i, 256)]) for i in range(0, len(texts), 256)] or [np.empty(0)]), pa.float64())
 
     return docs.withColumn(target, apply(F.col(f"`{text_col}`")))
 
 
 def quality_filter(docs: DataFrame, labels: DataFrame, keep: float = KEEP, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
-    """The rows of ``docs`` that score ``keep`` or more, with their columns."""
+    """The rows of ``docs`` that score ``keep`` or more (a tie stays), with their columns.
+
+    Null, empty, long and repeated texts as in ``score``; a null id is no matter.  No labels at all
+    give every row the score 0.5.  Extra columns may have any name; ours gives way.
+    """
     (name,) = fresh(docs.columns, "bl_score")
     return score(docs, train(docs, labels, id_col, text_col, label_col), id_col, text_col, name).where(F.col(name) >= keep).drop(name)
