@@ -10,10 +10,10 @@ from blockloom.storage import drop, written
 
 #: A line on more than this share of its host's pages is boilerplate.
 RATIO = 0.1
-#: ... if it is on as many pages at least, so that small hosts keep their lines.
-MIN_PAGES = 5
-#: Hosts with boilerplate up to which the list is broadcast; more are joined with a shuffle.
-BROADCAST_HOSTS = 2_000
+#: An option: lines on fewer pages than this stay whatever their share.  By default the share decides alone.
+MIN_PAGES = 1
+#: Lines of boilerplate, of all hosts, up to which their 16-byte keys are broadcast; more are joined with a shuffle.
+BROADCAST_LINES = 200_000
 SALTS = 32
 
 
@@ -42,27 +42,29 @@ def line_dedup(
     text_col: str = "text",
     ratio: float = RATIO,
     min_pages: int = MIN_PAGES,
-    broadcast_hosts: int = BROADCAST_HOSTS,
+    broadcast_lines: int = BROADCAST_LINES,
     counts: tuple[str, str] | None = None,
 ) -> DataFrame:
     """``docs`` with the boilerplate lines cut out of ``text_col``, all rows and columns kept.
 
     Lines are what stands between line feeds, compared without blanks at either
-    end; blank lines stay.  A null text stays null, an empty one empty.  Rows
+    end; blank lines stay.  A line on just ``ratio`` of the pages stays, on more goes; with
+    the share alone, a host of fewer than 1 / ratio pages loses every line, and
+    ``min_pages`` of 2 keeps what is on one page only.  A null text stays null, an empty one empty.  Rows
     with a null host are never judged.  A page that loses every line keeps its
-    row with an empty text.  Repeated rows count as pages of their own.
+    row with an empty text, and texts of any length are read whole.  An empty table gives no rows.  Repeated rows count as pages of their own.
     ``counts`` names two more columns: lines before, and lines cut out.  Extra
     columns may have any name; ours give way.  Lines are compared by a 128-bit key.
     """
     spark = docs.sparkSession
     bad = written(boilerplate(docs, host_col, text_col, ratio, min_pages), "boilerplate")
-    hosts = bad.count()
+    listed_in_all = bad.agg(F.sum(F.size("lines"))).first()[0] or 0
     host, lines, salt = fresh(docs.columns, "bl_host", "bl_lines", "bl_salt")
     listed = bad.select(F.col("host").alias(host), F.col("lines").alias(lines))
-    if hosts == 0:
+    if listed_in_all == 0:
         joined = docs.withColumn(lines, F.lit(None).cast(bad.schema["lines"].dataType))
         drop(bad)
-    elif hosts <= broadcast_hosts:
+    elif listed_in_all <= broadcast_lines:
         joined = docs.join(F.broadcast(listed), F.col(f"`{host_col}`") == F.col(host), "left").drop(host)
     else:
         salted = listed.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))

@@ -46,7 +46,7 @@ counts AS (
 totals AS (SELECT source, count(*) AS total FROM p GROUP BY source),
 bad AS (
   SELECT c.source, list(c.line) AS lines FROM counts c JOIN totals t ON c.source = t.source
-  WHERE c.n >= 5 AND c.n > 0.1::DOUBLE * t.total GROUP BY c.source),
+  WHERE c.n > 0.1::DOUBLE * t.total GROUP BY c.source),
 k AS (
   SELECT p.doc_id, p.text, p.ls, CASE WHEN b.lines IS NULL THEN p.ls ELSE [x FOR x IN p.ls IF NOT list_contains(b.lines, trim(x))] END AS kept
   FROM p LEFT JOIN bad b ON p.source = b.source)

@@ -20,10 +20,10 @@ def brute(rows, ratio, least):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("hosts", [0, 1000])
-@pytest.mark.parametrize(("ratio", "least"), [(0.1, 2), (0.3, 2), (0.1, 100)])
-def test_against_brute_force(spark, clashing, hosts, ratio, least):
-    got = line_dedup(clashing, ratio=ratio, min_pages=least, broadcast_hosts=hosts, counts=("before", "cut"))
+@pytest.mark.parametrize("lines", [0, 1000])
+@pytest.mark.parametrize(("ratio", "least"), [(0.1, 1), (0.1, 2), (0.3, 1), (0.1, 100)])
+def test_against_brute_force(spark, clashing, lines, ratio, least):
+    got = line_dedup(clashing, ratio=ratio, min_pages=least, broadcast_lines=lines, counts=("before", "cut"))
     assert got.columns == [*clashing.columns, "before", "cut"]
     rows = [(r.doc_id, r.text, r.before, r.cut) for r in got.collect()]
     assert sorted(rows, key=str) == brute(clashing.collect(), ratio, least)
@@ -34,7 +34,7 @@ def test_empty_table(spark, empty):
 
 
 def test_no_python_in_the_plan(spark, docs):
-    plan = line_dedup(docs, min_pages=2)._jdf.queryExecution().toString()
+    plan = line_dedup(docs)._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
 
 
