@@ -1,7 +1,15 @@
-"""Benchmark decontamination: exact candidates by rare words, subsequence and answer checks, latent cosines."""
+"""Benchmark decontamination: latent semantic retrieval, then subsequence and answer checks.
+
+Passages are TF-IDF rows over the items' words, projected on a basis from a
+randomized SVD over the whole corpus; items of a cosine of COSINE or more are
+candidates.  A basis of fixed rank can't tell any number of items apart, so the words
+that a leak can't do without are looked up beside it: together the candidates are a superset
+of all leaks, and the checks decide alone.
+"""
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -11,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockloom.llm.common import by_id, claim
+from blockloom.llm.common import by_id, claim, fresh
 from blockloom.llm.tokens import rows
 from blockloom.storage import written
 
@@ -23,7 +31,9 @@ RANK, EXTRA = 64, 16
 LEAST_WEIGHT = 0.25
 #: Share of an item's words in order in a document: a leak; and a leak if its answer is there too.
 LEAK, PARAPHRASE = 0.8, 0.5
-#: Items that are searched for in one pass; more are taken in blocks.
+#: Latent cosine from which an item is a candidate for a passage.
+COSINE = 0.3
+#: Items whose tables are looked up together; more are taken in blocks, all within one pass over the documents.
 ITEMS = 2_000
 _PARTS = 4
 #: Words of documents that are searched together, and words that are looked up at once.
@@ -71,9 +81,12 @@ def answer_words(text: str) -> list[bytes]:
 
 @dataclass
 class Index:
-    """What a search needs of a block of items; its size is bounded by ITEMS."""
+    """What a search needs of the items; it grows with them, not with the corpus.
+
+    Items go by their place; ``ids`` are reported and may be null or repeat.
+    """
 
-    ids: list[int]
+    ids: list[int | None]
     seqs: list[list[bytes]]
     answers: list[list[bytes]]
     vocabulary: dict[bytes, int] = field(default_factory=dict)
@@ -143,14 +156,12 @@ def numbered(texts: DataFrame, index: Index) -> DataFrame:
     The other passes read these, not the texts.  Each task adds a row of the
     passages that it saw each word in (``counts``, place 0: all passages).
     """
-    for s in index.seqs:
-        for w in s:
-            index.vocabulary.setdefault(w, len(index.vocabulary) + 1)
     size = len(index.vocabulary) + 1
+    shared = texts.sparkSession.sparkContext.broadcast(Index([], [], [], index.vocabulary))
 
     def read(batches):
         claim("decontaminate")
-        total = np.zeros(size, np.int64)
+        index, total = shared.value, np.zeros(size, np.int64)
         for batch in batches:
             ids, numbers = [], []
             for doc_id, text in rows([batch], "doc_id", "text"):
@@ -195,9 +206,10 @@ def fit(table: DataFrame, index: Index) -> Index:
     width = min(RANK + EXTRA, size)
     draw = np.random.default_rng(0).standard_normal((size, width)).astype(np.float32)
     draw[0] = 0
+    shared = table.sparkSession.sparkContext.broadcast((Index([], [], [], idf=index.idf, floor=index.floor), draw))
 
     def product(batches):
-        held, size = [], 0
+        (index, draw), held, size = shared.value, [], 0
         for (numbers,) in rows(batches, "numbers"):
             _, w = _heavy(index, np.frombuffer(numbers, np.int32), PASSAGE)
             held.append(w)
@@ -247,7 +259,7 @@ def _back(index: Index, windows: np.ndarray, draw: np.ndarray) -> np.ndarray:
     return out
 
 
-FOUND = "doc_id long, item_id long, cosine double, lcs long, item_words long, ratio double, answer boolean"
+FOUND = "doc_id long, item_id long, cosine double, retrieved boolean, lcs long, item_words long, ratio double, answer boolean"
 
 
 def _least(n: int, share: float) -> int:
@@ -272,7 +284,7 @@ def _cuts(sizes: np.ndarray) -> Iterator[slice]:
 
 
 class Candidates:
-    """Passages that can leak an item, from rare words: a superset of those that do.
+    """Passages that can leak an item of a block, from rare words: a superset of those that do.
 
     If LEAK of an item's words stand near a passage, one of any few that are more
     than the rest does too: the rarest ones are looked up.  An item whose answer
@@ -280,25 +292,32 @@ class Candidates:
     What is left must hold enough of the item's words, in any order.
     """
 
-    def __init__(self, index: Index):
-        seqs, answers = [index.numbers(s) for s in index.seqs], [index.numbers(a) for a in index.answers]
+    def __init__(self, seqs: list[np.ndarray], answers: list[np.ndarray], seen: np.ndarray):
         self.size = np.array([len(s) for s in seqs])
-        member = np.zeros((len(index.seen), len(seqs)), bool)
+        member = np.zeros((len(seen), len(seqs)), bool)
         looked_up = []  # word, item, words needed, place in the answer or -1
         for k, (seq, answer) in enumerate(zip(seqs, answers, strict=True)):
             member[seq, k] = True
             need = _least(len(seq), LEAK)
-            rarest = seq[np.argsort(index.seen[seq], kind="stable")][: len(seq) - need + 1]
+            rarest = seq[np.argsort(seen[seq], kind="stable")][: len(seq) - need + 1]
             looked_up += [(w, k, need, -1) for w in set(rarest.tolist())]
-            at = int(np.argmin(index.seen[answer]))
+            at = int(np.argmin(seen[answer]))
             looked_up.append((int(answer[at]), k, _least(len(seq), PARAPHRASE), at))
         self.member = np.packbits(member, axis=1, bitorder="little")
         word, self.item, self.need, self.place = np.array(sorted(looked_up), np.int64).T
-        self.count = np.bincount(word, minlength=len(index.seen))
+        self.count = np.bincount(word, minlength=len(seen))
         self.first = np.cumsum(self.count) - self.count
         self.answer_size = np.array([len(a) for a in answers])
         self.answer_first = np.cumsum(self.answer_size) - self.answer_size
         self.answers = np.concatenate(answers)
+        self.some = np.array([_least(n, PARAPHRASE) for n in self.size.tolist()])
+
+    def worth(self, tokens: np.ndarray, ends: np.ndarray, start: np.ndarray, doc: np.ndarray, ks: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Of passages and items, those with words enough around for any leak, as ``find`` gives them."""
+        begin = np.maximum(np.concatenate([[0], ends[:-1]])[doc], start - self.size[ks])
+        end = np.minimum(ends[doc], start + PASSAGE + self.size[ks])
+        good = self._held(tokens, begin, end, ks) >= self.some[ks]
+        return start[good], doc[good], ks[good], begin[good], end[good]
 
     def _held(self, tokens: np.ndarray, lo: np.ndarray, hi: np.ndarray, ks: np.ndarray) -> np.ndarray:
         """Words between ``lo`` and ``hi`` that are in the item."""
@@ -350,45 +369,89 @@ class Candidates:
                 yield start[good], doc[of][good], k[of][good], begin[good], end[good]
 
 
+class Block:
+    """Items ``first`` and after, in numbers of their own words, so that tables grow with the block."""
+
+    def __init__(self, index: Index, first: int):
+        self.first = first
+        seqs, answers = ([index.numbers(x) for x in xs[first : first + ITEMS]] for xs in (index.seqs, index.answers))
+        words_ = np.unique(np.concatenate([[0], *seqs]))
+        self.local = np.zeros(len(index.seen), np.int32)
+        self.local[words_] = np.arange(len(words_))
+        seqs = [self.local[s] for s in seqs]
+        self.answers = [self.local[a] for a in answers]
+        self.bits = [_bits(s.tolist()) for s in seqs]
+        self.candidates = Candidates(seqs, self.answers, index.seen[words_])
+        self.sizes = self.candidates.size.tolist()
+
+    def check(self, near: np.ndarray, k: int) -> tuple[int, float, bool]:
+        n = self.sizes[k]
+        lcs = common_subsequence(self.bits[k], n, near.tolist())
+        return lcs, lcs / n, lcs >= PARAPHRASE * n and _stands_in(self.answers[k], near)
+
+
+def retrieved(light: Index, tokens: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of documents one after the other: first word, document and item of each passage near an item in the latent space."""
+    begins = np.concatenate([[0], ends[:-1]])
+    size = ends - begins
+    p, doc = _ragged(np.zeros(len(ends), np.int64), np.where(size > 0, -(-np.maximum(size - PASSAGE, 0) // STRIDE) + 1, 0))
+    start = begins[doc] + p * STRIDE
+    total = np.concatenate([[0.0], np.cumsum(light.idf[tokens] ** 2)])
+    heavy = total[np.minimum(start + PASSAGE, ends[doc])] - total[start] >= light.floor
+    start, doc = start[heavy], doc[heavy]
+    out = [(start[:0], doc[:0], doc[:0])]
+    for lo in range(0, len(start), 512):
+        s, i = start[lo : lo + 512], doc[lo : lo + 512]
+        at = s[:, None] + np.arange(PASSAGE)
+        windows = np.where(at < ends[i][:, None], tokens[np.minimum(at, len(tokens) - 1)], 0)
+        x = _unit(_vectors(light, windows, light.basis))
+        for first in range(0, len(light.latent), ITEMS):
+            row, k = np.nonzero(x @ light.latent[first : first + ITEMS].T >= COSINE)
+            out.append((s[row], i[row], k + first))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def leaked(docs: list[tuple], light: Index, blocks: list[Block]) -> list[tuple]:
+    """Rows of FOUND of some documents, given as ids and word numbers."""
+    tokens = np.concatenate([t for _, t in docs])
+    ends = np.cumsum([len(t) for _, t in docs])
+    starts, owners, near = retrieved(light, tokens, ends)
+    latent = set(zip(owners.tolist(), near.tolist(), strict=True))
+    best: dict[tuple[int, int], tuple] = {}
+    for block in blocks:
+        local, hits, done = block.local[tokens], [], set()
+        mine = (near >= block.first) & (near < block.first + len(block.sizes))
+        first = block.candidates.worth(local, ends, starts[mine], owners[mine], near[mine] - block.first)
+        for part in itertools.chain([first], block.candidates.find(local, ends)):
+            for s, i, k, begin, end in zip(*(x.tolist() for x in part), strict=True):
+                if (s, k) in done:
+                    continue
+                done.add((s, k))
+                lcs, ratio, answer = block.check(local[begin:end], k)
+                if ratio >= LEAK or ratio >= PARAPHRASE and answer:
+                    hits.append((s, i, k, lcs, ratio, bool(answer)))
+        for lo in range(0, len(hits), 1024):
+            some = hits[lo : lo + 1024]
+            s, i, k = (np.array(x) for x in list(zip(*some, strict=True))[:3])
+            at = s[:, None] + np.arange(PASSAGE)
+            windows = np.where(at < ends[i][:, None], tokens[np.minimum(at, len(tokens) - 1)], 0)
+            cosines = (_unit(_vectors(light, windows, light.basis)) * light.latent[k + block.first]).sum(1)
+            for (_, i, k, lcs, ratio, answer), c in zip(some, cosines.tolist(), strict=True):
+                row = (ratio, c, lcs, block.sizes[k], answer)
+                best[i, k + block.first] = max(best.get((i, k + block.first), row), row)
+    return [(docs[i][0], light.ids[k], c, (i, k) in latent, lcs, n, ratio, answer) for (i, k), (ratio, c, lcs, n, answer) in sorted(best.items())]
+
+
 def search(table: DataFrame, index: Index) -> DataFrame:
     """``FOUND``: the items that each document leaks, best passage of each.  A narrow step.
 
     All words of the items have numbers, so numbers do for words.
     """
-    bits = [_bits(index.numbers(s).tolist()) for s in index.seqs]
-    answers = [index.numbers(s) for s in index.answers]
-    candidates = Candidates(index)
-    basis, latent, idf, sizes = index.basis, index.latent, index.idf, candidates.size.tolist()
-    light = Index(index.ids, [], [], idf=idf)
-    types = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.float64(), pa.bool_())
+    light = Index(index.ids, [], [], idf=index.idf, floor=index.floor, basis=index.basis, latent=index.latent)
+    shared = table.sparkSession.sparkContext.broadcast((light, [Block(index, k) for k in range(0, len(index.ids), ITEMS)]))
+    types = (pa.int64(), pa.int64(), pa.float64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.bool_())
     names = [x.split()[0] for x in FOUND.split(", ")]
 
-    def check(near: np.ndarray, k: int):
-        n = sizes[k]
-        lcs = common_subsequence(bits[k], n, near.tolist())
-        return lcs, lcs / n, lcs >= PARAPHRASE * n and _stands_in(answers[k], near)
-
-    def leaked(docs: list[tuple]) -> list[tuple]:
-        tokens = np.concatenate([t for _, t in docs])
-        ends = np.cumsum([len(t) for _, t in docs])
-        best: dict[tuple[int, int], tuple] = {}
-        for starts, *others in candidates.find(tokens, ends):
-            hits = []
-            for s, i, k, begin, end in zip(starts.tolist(), *(x.tolist() for x in others), strict=True):
-                lcs, ratio, answer = check(tokens[begin:end], k)
-                if ratio >= LEAK or ratio >= PARAPHRASE and answer:
-                    hits.append((s, i, k, lcs, ratio, bool(answer)))
-            for lo in range(0, len(hits), 1024):
-                some = hits[lo : lo + 1024]
-                s, i, k = (np.array(x) for x in list(zip(*some, strict=True))[:3])
-                at = s[:, None] + np.arange(PASSAGE)
-                windows = np.where(at < ends[i][:, None], tokens[np.minimum(at, len(tokens) - 1)], 0)
-                cosines = (_unit(_vectors(light, windows, basis)) * latent[k]).sum(1)
-                for (_, i, k, lcs, ratio, answer), c in zip(some, cosines.tolist(), strict=True):
-                    row = (ratio, c, lcs, answer)
-                    best[i, k] = max(best.get((i, k), row), row)
-        return [(docs[i][0], light.ids[k], c, lcs, sizes[k], ratio, answer) for (i, k), (ratio, c, lcs, answer) in sorted(best.items())]
-
     def together(batches):
         held, size = [], 0
         for doc_id, numbers in rows(batches, "doc_id", "numbers"):
@@ -401,28 +464,25 @@ def search(table: DataFrame, index: Index) -> DataFrame:
             yield held
 
     def scan(batches):
+        claim("decontaminate")
         for docs in together(batches):
-            if out := leaked(docs):
+            if out := leaked(docs, *shared.value):
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
 
     return table.where("numbers is not null").select("doc_id", "numbers").mapInArrow(scan, FOUND)
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[Index]:
-    held: dict[int, str] = {}
-    for r in by_id(benchmark, id_col, text_col).where("doc_id is not null").orderBy("doc_id", "text").toLocalIterator():
-        if not words(r["text"]) or r["doc_id"] in held:
-            continue
-        held[r["doc_id"]] = r["text"]
-        if len(held) == ITEMS:
-            yield _index(held)
-            held = {}
-    if held:
-        yield _index(held)
-
-
-def _index(held: dict[int, str]) -> Index:
-    return Index(list(held), [words(t) for t in held.values()], [answer_words(t) for t in held.values()])
+def items(benchmark: DataFrame, id_col: str, text_col: str) -> Index:
+    """All items with words, in order of their ids; equal rows are one item."""
+    index = Index([], [], [])
+    for r in by_id(benchmark, id_col, text_col).distinct().orderBy("doc_id", "text").toLocalIterator():
+        if seq := words(r["text"]):
+            index.ids.append(r["doc_id"])
+            index.seqs.append(seq)
+            index.answers.append(answer_words(r["text"]))
+            for w in seq:
+                index.vocabulary.setdefault(w, len(index.vocabulary) + 1)
+    return index
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -430,25 +490,32 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
     An item leaks into a document if LEAK of its words stand there in order
     close to one of its passages, or PARAPHRASE of them and its answer (the last
-    sentence) word for word.  All passages that can be are compared: the search is exact.  The
-    latent cosine of the best one is a figure and decides nothing.  The benchmark is the stated query set: it is taken in blocks
-    of ITEMS, each of which is sent to all tasks.
+    sentence) word for word.  ``cosine`` is that of the best passage, ``retrieved`` whether
+    the latent search had the pair; what only the rare words found is false there.
+    The benchmark is the stated query set: its index is broadcast, and the documents are read
+    as texts once, whatever its size.
 
     Null texts and items count as empty; those without words match nothing.
-    Of items that share an id the first by text counts.  Null document ids stay;
-    repeated rows repeat their leaks; no documents or no items give no rows.
-    Extra columns are not read.
+    Every benchmark row is an item, with a null id or one that others have too (one row
+    of ours each); rows equal in id and text are one.  Null document ids stay, and rows
+    that share an id are searched each by its own text; repeated rows repeat
+    their leaks, and of equally good passages one is reported.  No documents or no items
+    give no rows.  A text of any length is searched whole.  Extra columns are not read and may
+    have any name.
     """
     texts = by_id(docs, id_col, text_col)
-    found = None
-    for index in _blocks(benchmark, item_id, item_text):
-        table = numbered(texts, index)
-        part = search(table, fit(table, index))
-        found = part if found is None else found.unionByName(part)
-    return docs.sparkSession.createDataFrame([], FOUND) if found is None else found
+    index = items(benchmark, item_id, item_text)
+    if not index.ids:
+        return docs.sparkSession.createDataFrame([], FOUND)
+    table = numbered(texts, index)
+    return search(table, fit(table, index))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows whose id leaks an item; columns stay, null ids stay."""
-    bad = leaks(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias("bl_leaked")).distinct()
-    return docs.join(bad, F.col(f"`{id_col}`") == F.col("bl_leaked"), "left_anti")
+    """``docs`` without the rows whose id leaks an item; columns stay, null ids stay.
+
+    Rows that share an id go together.  The rest as in ``leaks``.
+    """
+    (name,) = fresh(docs.columns, "bl_leaked")
+    bad = leaks(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(bad, F.col(f"`{id_col}`").cast("long") == F.col(name), "left_anti")

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from blockloom.llm import decontaminate as d
 from tests.llm.conftest import prose
@@ -52,6 +53,13 @@ def test_odd_rows(spark, clashing, empty):
     bench = spark.createDataFrame([(1, prose(1, 120)[:200]), (1, "other"), (2, None), (3, ""), (None, "x y z")], "item_id long, text string")
     got = d.leaks(clashing, bench).collect()
     assert {r.doc_id for r in got} == {0, 1, 2, None} and {r.item_id for r in got} == {1}
+    # every row of the benchmark is an item: ids that are null, or that another item has
+    own = prose(1, 120).split()
+    many = [(1, " ".join(own[:20])), (1, " ".join(own[40:60])), (None, " ".join(own[20:40])), (None, " ".join(own[80:100])), (7, " ".join(own[100:])), (7, " ".join(own[100:]))]
+    got = d.leaks(clashing.where("doc_id in (0, 1, 2)"), spark.createDataFrame(many, "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id or 0) for r in got) == sorted((i, k) for i in range(3) for k in (1, 1, 0, 0, 7))
+    more = clashing.where("doc_id = 0").unionByName(clashing.where("doc_id = 0")).unionByName(clashing.where("doc_id = 5").withColumn("doc_id", F.lit(0).cast("long")))
+    assert [r.doc_id for r in d.leaks(more, bench).collect()] == [0, 0] and d.decontaminate(more, bench).count() == 0
     assert d.leaks(empty, bench).count() == 0 and d.leaks(clashing, bench.limit(0)).count() == 0
     assert d.decontaminate(clashing, bench).count() == clashing.count() - 3 - 0
 
@@ -59,7 +67,7 @@ def test_odd_rows(spark, clashing, empty):
 def test_basis_holds_most_of_what_the_best_one_does(spark):
     """Against a dense SVD of the same TF-IDF matrix: most of what the best basis of this size holds."""
     docs, bench, _ = planted(spark)
-    index = next(d._blocks(bench, "item_id", "text"))
+    index = d.items(bench, "item_id", "text")
     d.fit(d.numbered(d.by_id(docs, "doc_id", "text"), index), index)
     size = len(index.idf)
     windows = [d._padded_items(index)]
@@ -119,3 +127,35 @@ def test_two_thousand_items_against_brute_force(spark):
     bench = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")
     got = d.leaks(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], "doc_id long, text string"), bench).collect()
     assert len(want) > 40 and {(r.doc_id, r.item_id): r.lcs for r in got} == want and len(got) == len(want)
+    assert np.mean([r.retrieved for r in got]) > 0.5 and all(r.retrieved <= (r.cosine >= 0) for r in got)
+
+
+def test_paraphrases_against_brute_force(spark, monkeypatch):
+    """Items of which half to four fifths of the words are left: the answer decides, over all items and windows."""
+    monkeypatch.setattr(d, "ITEMS", 16)
+    r = random.Random(9)
+    items = [f"{prose(300 + i, r.randrange(12, 30))}. {prose(600 + i, r.randrange(4, 8))}." for i in range(50)]
+    docs = []
+    for i in range(120):
+        w, t = prose(5000 + i, r.randrange(0, 200)).split(), items[i % 50].split()
+        body = len(d.words(items[i % 50])) - len(d.answer_words(items[i % 50]))
+        share, answered = r.uniform(0.2, 0.55), r.random() < 0.6
+        t = [f"syn{j}" if (j < body and r.random() < share) or (j >= body and not answered and j % 2) else x for j, x in enumerate(t)]
+        at = r.randrange(len(w) + 1)
+        w[at:at] = t
+        docs.append((i, " ".join(w)))
+    want = {}
+    for i, text in docs:
+        w = d.words(text)
+        for k, item in enumerate(items):
+            seq, answer = d.words(item), d.answer_words(item)
+            bits = d._bits(seq)
+            for s in d.passages(len(w)).tolist():
+                near = w[max(0, s - len(seq)) : s + d.PASSAGE + len(seq)]
+                share = d.common_subsequence(bits, len(seq), near) / len(seq)
+                if share >= d.LEAK or share >= d.PARAPHRASE and any(near[j : j + len(answer)] == answer for j in range(len(near))):
+                    want[i, k] = max(want.get((i, k), 0), share)
+    assert sum(0.5 <= x < 0.8 for x in want.values()) > 20 and len(want) < 110
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = d.leaks(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()
+    assert {(x.doc_id, x.item_id): x.ratio for x in got} == want and len(got) == len(want)
