@@ -32,6 +32,12 @@ def clip(pixels: DataFrame, low: float = 0.0, high: float = 255.0) -> DataFrame:
     return pixels.withColumn("v", F.least(F.greatest(F.col("v"), F.lit(low)), F.lit(high)))
 
 
+def whole_blocks(blocks: DataFrame, column: str = "qf", table: str = "q") -> DataFrame:
+    """Blocks of whole numbers from quantized ones, the padding with them."""
+    back = idct2(blocks.withColumn("bl_f", dequantize(F.col(column), F.col(table))), "bl_f")
+    return inverse_shift(back.drop("bl_f")).withColumn("px", F.transform("px", to_uint8))
+
+
 def from_blocks(blocks: DataFrame, key: list[str] = PLANE) -> DataFrame:
     """Shifted blocks to whole numbers of the original plane."""
     return crop(merge_blocks(inverse_shift(blocks), key)).withColumn("v", to_uint8(F.col("v")))

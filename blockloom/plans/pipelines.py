@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from blockloom.functions.params import BLOCK, LUMA, color_tables, configs, quality_table, scale_table
 from blockloom.operators import color, metrics
 from blockloom.operators.coding import decode_blocks, encode_blocks, rle_encode, with_dc_before, zigzag_scan
-from blockloom.operators.preprocess import BLOCK_KEY, PLANE, level_shift, pack_blocks, pad_edge, preprocess, rgb_to_gray, split_blocks
+from blockloom.operators.macro import color_blocks, color_pixels
+from blockloom.operators.preprocess import PLANE, level_shift, pack_blocks, pad_edge, preprocess, rgb_to_gray, split_blocks
 from blockloom.operators.quantize import adaptive_table, block_features, classify_blocks, dequantize, quantize, with_scale, with_table
-from blockloom.operators.reconstruct import from_quantized
+from blockloom.operators.reconstruct import whole_blocks
 from blockloom.operators.transform import block_error, dct2
 from blockloom.storage import drop, written
 
@@ -97,18 +98,17 @@ def color_planes(pixels: DataFrame) -> DataFrame:
     return planes.where("channel = 'Y'").unionByName(color.downsample_420(planes.where("channel <> 'Y'")))
 
 
-def color_quantized(planes: DataFrame, scale: float = 1.0, adaptive: bool = True, chroma_scale: float | None = None) -> DataFrame:
-    """Quantized blocks of three channels; Y by block class if ``adaptive``, on unshifted values.
+def color_quantized(blocks: DataFrame, scale: float = 1.0, adaptive: bool = True, chroma_scale: float | None = None) -> DataFrame:
+    """Quantized blocks of three channels, from tiled planes; Y by block class if ``adaptive``, on unshifted values.
 
-    ``q`` is the table that each block was quantized with.  The tiled planes are
-    written once, as features, thresholds and blocks all read them.
+    ``q`` is the table that each block was quantized with.  Thresholds are a row a
+    plane; features, class and table stay in the block's row.
     """
-    blocks = written(pack_blocks(split_blocks(pad_edge(planes))), "blocks")
     raw = with_table(blocks, color_tables(scale, chroma_scale))
     if adaptive:
-        kinds = with_scale(classify_blocks(block_features(blocks.where("channel = 'Y'").select(*BLOCK_KEY, "px")))).select(*BLOCK_KEY, "class", "scale")
+        y = with_scale(classify_blocks(block_features(raw.where("channel = 'Y'"))))
         known = F.when(F.col("scale").isNull(), F.raise_error(F.lit("a Y block has no class")).cast("array<double>")).otherwise(adaptive_table(F.col("q"), F.col("scale")))
-        raw = raw.join(kinds, BLOCK_KEY, "left").withColumn("q", F.when(F.col("channel") != "Y", F.col("q")).otherwise(known))
+        raw = y.withColumn("q", known).select(*raw.columns).unionByName(raw.where("channel <> 'Y'"))
     return dct2(level_shift(raw)).withColumn("qf", quantize(F.col("f"), F.col("q"))).drop("px", "f")
 
 
@@ -124,14 +124,13 @@ def color_restored(planes_back: DataFrame, sizes: DataFrame) -> DataFrame:
 
 
 def run_color(pixels: DataFrame, scale: float = 4.0, adaptive: bool = True, chroma_scale: float | None = None) -> DataFrame:
-    """Encoded, decoded and restored RGB pixels.
+    """Encoded, decoded and restored RGB pixels, by squares of 16 x 16.
 
-    The encoded blocks and the restored planes are written once; each is read by two
+    Tiled planes, quantized and encoded blocks are written once; each is read by two
     branches after it.
     """
-    sizes = pixels.groupBy("image_id").agg(F.max("h").alias("orig_h"), F.max("w").alias("orig_w"))
-    quantized = written(color_quantized(color_planes(pixels), scale, adaptive, chroma_scale), "quantized")
+    blocks = written(color_blocks(pixels), "blocks")
+    quantized = written(color_quantized(blocks, scale, adaptive, chroma_scale), "quantized")
     encoded = written(encode_blocks(quantized, PLANE).drop("qf"), "encoded")
-    back = written(from_quantized(decode_blocks(encoded, PLANE), PLANE), "planes")
-    drop(quantized, encoded)
-    return color_restored(back, sizes)
+    drop(blocks, quantized)
+    return color_pixels(whole_blocks(decode_blocks(encoded, PLANE)))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blockloom.functions import params
-from blockloom.operators import coding, color, huffman, metrics, preprocess, quantize, reconstruct, transform
+from blockloom.operators import coding, color, huffman, macro, metrics, preprocess, quantize, reconstruct, transform
 from blockloom.plans import pipelines, sql
 from blockloom.plans.sql import BLOCKS, CHAIN, query
 from blockloom.sources import rasters
@@ -466,7 +466,8 @@ def color_plain(spark, sf_dir):
 
 
 def _color_encoded(spark, sf_dir) -> DataFrame:
-    quantized = written(pipelines.color_quantized(pipelines.color_planes(rasters.rgb_part(spark, sf_dir)), 4.0), "quantized")
+    blocks = written(macro.color_blocks(rasters.rgb_part(spark, sf_dir)), "blocks")
+    quantized = written(pipelines.color_quantized(blocks, 4.0), "quantized")
     return coding.encode_blocks(quantized)
 
 

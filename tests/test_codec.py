@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from blockloom.functions import params
-from blockloom.operators import coding, color, huffman, metrics, preprocess, quantize, reconstruct, transform
+from blockloom.operators import coding, color, huffman, macro, metrics, preprocess, quantize, reconstruct, transform
 from blockloom.plans import pipelines
 
 PIX = "image_id string, channel string, r int, c int, v float, h int, w int"
@@ -85,10 +85,37 @@ def test_wrong_shapes_are_errors(spark):
 
 def test_a_y_block_without_a_class_is_an_error(spark, monkeypatch):
     real = pipelines.classify_blocks
-    monkeypatch.setattr(pipelines, "classify_blocks", lambda f: real(f).where("br > 0"))
+    monkeypatch.setattr(pipelines, "classify_blocks", lambda f: real(f).withColumn("class", F.when(F.col("br") > 0, F.col("class"))))
     a = np.random.default_rng(1).integers(0, 256, (20, 20, 3))
-    with pytest.raises(Exception, match="has no class"):
-        pipelines.color_quantized(pipelines.color_planes(rgb(spark, a))).collect()
+    with pytest.raises(Exception, match="class"):
+        pipelines.color_quantized(macro.color_blocks(rgb(spark, a))).collect()
+
+
+@pytest.mark.parametrize("shape", [(1, 1), (16, 16), (17, 33), (31, 8), (9, 50)])
+def test_squares_equal_the_pixel_operators(spark, shape):
+    a = np.random.default_rng(sum(shape)).integers(0, 256, (*shape, 3))
+    px = rgb(spark, a).unionByName(rgb(spark, a[:1, :1]).withColumn("image_id", F.lit("j")))
+    planes = pipelines.color_planes(px)
+    want = preprocess.pack_blocks(preprocess.split_blocks(preprocess.pad_edge(planes)))
+
+    def rows(df):
+        return sorted((r.image_id, r.channel, r.br, r.bc, r.h, r.w, tuple(r.px)) for r in df.collect())
+
+    tiled = macro.color_blocks(px)
+    assert rows(tiled) == rows(want)
+    whole = tiled.withColumn("px", F.transform("px", color.to_uint8))
+    back = reconstruct.crop(reconstruct.merge_blocks(whole)).withColumn("v", F.col("v").cast("double"))
+    sizes = px.groupBy("image_id").agg(F.max("h").alias("orig_h"), F.max("w").alias("orig_w"))
+
+    def image(df):
+        return sorted(tuple(r[c] for c in ("image_id", "r", "c", "h", "w", "red", "green", "blue")) for r in df.collect())
+
+    assert image(macro.color_pixels(whole)) == image(pipelines.color_restored(back, sizes))
+    with pytest.raises(Exception, match="differ in shape"):
+        macro.color_pixels(whole.where("not (channel = 'Cr' and br = 0)")).collect()
+    if sum(shape) > 2:
+        with pytest.raises(Exception, match="each of its pixels once"):
+            macro.color_blocks(px.where("not (image_id = 'i' and r = 0 and c = 0)")).collect()
 
 
 def test_chroma_info_of_both_channels(spark):
