@@ -1,10 +1,11 @@
 """Benchmark decontamination: latent semantic retrieval, then subsequence and answer checks.
 
 Passages are TF-IDF rows over the items' words, projected on a basis from a
-randomized SVD over the whole corpus; items of a cosine of COSINE or more are
-candidates.  A basis of fixed rank can't tell any number of items apart, so the words
-that a leak can't do without are looked up beside it: together the candidates are a superset
-of all leaks, and the checks decide alone.
+randomized SVD over the whole corpus; the nearest item of each passage is a
+candidate from a cosine of COSINE on.  A basis of fixed rank can't tell any number of
+items apart, and a passage may hold several, so the words that a leak can't do without
+are looked up beside it: together the candidates are a superset of all leaks, and the
+checks decide alone.
 """
 
 from __future__ import annotations
@@ -31,8 +32,8 @@ RANK, EXTRA = 64, 16
 LEAST_WEIGHT = 0.25
 #: Share of an item's words in order in a document: a leak; and a leak if its answer is there too.
 LEAK, PARAPHRASE = 0.8, 0.5
-#: Latent cosine from which an item is a candidate for a passage.
-COSINE = 0.3
+#: Latent cosine from which the nearest item is a candidate for a passage.
+COSINE = 0.5
 #: Items whose tables are looked up together; more are taken in blocks, all within one pass over the documents.
 ITEMS = 2_000
 _PARTS = 4
@@ -310,13 +311,26 @@ class Candidates:
         self.answer_size = np.array([len(a) for a in answers])
         self.answer_first = np.cumsum(self.answer_size) - self.answer_size
         self.answers = np.concatenate(answers)
-        self.some = np.array([_least(n, PARAPHRASE) for n in self.size.tolist()])
+        self.some, self.full = (np.array([_least(n, share) for n in self.size.tolist()]) for share in (PARAPHRASE, LEAK))
+        self.answer_place = np.array([int(np.argmin(seen[a])) for a in answers])
+        self.answer_word = np.array([int(a[i]) for a, i in zip(answers, self.answer_place.tolist(), strict=True)])
 
     def worth(self, tokens: np.ndarray, ends: np.ndarray, start: np.ndarray, doc: np.ndarray, ks: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Of passages and items, those with words enough around for any leak, as ``find`` gives them."""
+        """Of passages and items, those that can be leaks, as ``find`` gives them: words enough around, or fewer and the answer."""
         begin = np.maximum(np.concatenate([[0], ends[:-1]])[doc], start - self.size[ks])
         end = np.minimum(ends[doc], start + PASSAGE + self.size[ks])
-        good = self._held(tokens, begin, end, ks) >= self.some[ks]
+        held = self._held(tokens, begin, end, ks)
+        good = held >= self.full[ks]
+        rest = np.flatnonzero(~good & (held >= self.some[ks]))
+        if len(rest):
+            order = np.argsort(tokens, kind="stable")
+            keys, k = tokens[order].astype(np.int64) * len(tokens) + order, ks[rest]
+            word = self.answer_word[k] * len(tokens)
+            first, last = np.searchsorted(keys, word + begin[rest]), np.searchsorted(keys, word + end[rest])
+            for c in _cuts(last - first):
+                j, of = _ragged(first[c], last[c])
+                some = rest[c][of]
+                good[some[self._answered(tokens, order[j], begin[some], end[some], ks[some], self.answer_place[ks[some]])]] = True
         return start[good], doc[good], ks[good], begin[good], end[good]
 
     def _held(self, tokens: np.ndarray, lo: np.ndarray, hi: np.ndarray, ks: np.ndarray) -> np.ndarray:
@@ -391,7 +405,7 @@ class Block:
 
 
 def retrieved(light: Index, tokens: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of documents one after the other: first word, document and item of each passage near an item in the latent space."""
+    """Of documents one after the other: first word and document of each passage near an item in the latent space, and its nearest item."""
     begins = np.concatenate([[0], ends[:-1]])
     size = ends - begins
     p, doc = _ragged(np.zeros(len(ends), np.int64), np.where(size > 0, -(-np.maximum(size - PASSAGE, 0) // STRIDE) + 1, 0))
@@ -405,9 +419,15 @@ def retrieved(light: Index, tokens: np.ndarray, ends: np.ndarray) -> tuple[np.nd
         at = s[:, None] + np.arange(PASSAGE)
         windows = np.where(at < ends[i][:, None], tokens[np.minimum(at, len(tokens) - 1)], 0)
         x = _unit(_vectors(light, windows, light.basis))
+        best, item = np.full(len(s), -2.0, np.float32), np.zeros(len(s), np.int64)
         for first in range(0, len(light.latent), ITEMS):
-            row, k = np.nonzero(x @ light.latent[first : first + ITEMS].T >= COSINE)
-            out.append((s[row], i[row], k + first))
+            cosines = x @ light.latent[first : first + ITEMS].T
+            k = cosines.argmax(1)
+            top = cosines[np.arange(len(s)), k]
+            better = top > best
+            best[better], item[better] = top[better], k[better] + first
+        near = best >= COSINE
+        out.append((s[near], i[near], item[near]))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
