@@ -20,8 +20,13 @@ NAME = ["kind", "run", "amp"]
 
 
 def frequencies(symbols: DataFrame, key: list[str] = PLANE) -> DataFrame:
-    """Count of each symbol and where it first stands; counted before the shuffle."""
-    return symbols.groupBy(*key, *NAME).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("br", "bc", "pos")).alias("first"))
+    """Count of each symbol and where it first stands; counted before the shuffle.
+
+    ``first`` is block row, block column (28 bits) and position (7 bits) in one number, so that
+    the aggregate can be hashed.
+    """
+    place = (F.col("br").cast("long") * (1 << 28) + F.col("bc")) * (1 << 7) + F.col("pos")
+    return symbols.groupBy(*key, *NAME).agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first"))
 
 
 def entropy(freq: DataFrame, key: list[str] = PLANE) -> DataFrame:
@@ -59,8 +64,7 @@ def codebook(freq: DataFrame, key: list[str] = PLANE) -> DataFrame:
     schema = ", ".join(f"{c} {fields[c]}" for c in [*key, *NAME, "n"]) + ", code string"
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        order = pdf["first"].map(lambda p: (p["br"], p["bc"], p["pos"]) if isinstance(p, dict) else tuple(p))
-        pdf = pdf.iloc[sorted(range(len(pdf)), key=order.tolist().__getitem__)].copy()
+        pdf = pdf.sort_values("first")
         pdf["code"] = huffman_codes([int(n) for n in pdf["n"]])
         return pdf[[*key, *NAME, "n", "code"]]
 
