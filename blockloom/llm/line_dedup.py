@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from blockloom.llm.common import fresh, hash_pair
-from blockloom.storage import drop, written
+from blockloom.storage import drop, few, written
 
 #: A line on more than this share of its host's pages is boilerplate.
 RATIO = 0.1
@@ -14,6 +14,8 @@ RATIO = 0.1
 MIN_PAGES = 1
 #: Lines of boilerplate, of all hosts, up to which their 16-byte keys are broadcast; more are joined with a shuffle.
 BROADCAST_LINES = 200_000
+#: Hosts up to which their page totals are broadcast.
+BROADCAST_HOSTS = 200_000
 SALTS = 32
 
 
@@ -27,13 +29,19 @@ def boilerplate(pages: DataFrame, host_col: str = "source", text_col: str = "tex
     A page holds a line once however often it repeats there.  At most (mean lines
     a page) / ratio lines of a host can pass, so the array of a host is bounded.
     Counting is a partial aggregate on (host, line key): a hot host is spread by
-    its lines, a hot line is summed before the shuffle.
+    its lines, a hot line is summed before the shuffle.  Totals come to the counts, so only
+    what passes is dealt by host.
     """
     p = pages.select(F.col(f"`{host_col}`").alias("host"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")).where(F.col("host").isNotNull())
     keys = F.array_distinct(F.transform(F.filter(_lines(F.col("text")), lambda x: F.trim(x) != ""), lambda x: hash_pair(F.trim(x))))
     counts = p.select("host", F.explode(keys).alias("key")).groupBy("host", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
-    totals = p.groupBy("host").agg(F.count(F.lit(1)).alias("total"))
-    return counts.join(totals, "host").where(F.col("n") > F.lit(float(ratio)) * F.col("total")).groupBy("host").agg(F.collect_list("key").alias("lines"))
+    totals = written(p.groupBy("host").agg(F.count(F.lit(1)).alias("total")), "totals", few(0))
+    if totals.count() <= BROADCAST_HOSTS:
+        joined = counts.join(F.broadcast(totals), "host")
+    else:  # a hot host's lines are met in SALTS places
+        salted = totals.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = counts.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"])
+    return joined.where(F.col("n") > F.lit(float(ratio)) * F.col("total")).groupBy("host").agg(F.collect_list("key").alias("lines"))
 
 
 def line_dedup(

@@ -22,7 +22,8 @@ def brute(rows, ratio, least):
 
 @pytest.mark.parametrize("lines", [0, 1000])
 @pytest.mark.parametrize(("ratio", "least"), [(0.1, 1), (0.1, 2), (0.3, 1), (0.1, 100)])
-def test_against_brute_force(spark, clashing, lines, ratio, least):
+def test_against_brute_force(spark, clashing, monkeypatch, lines, ratio, least):
+    monkeypatch.setattr("blockloom.llm.line_dedup.BROADCAST_HOSTS", lines)
     got = line_dedup(clashing, ratio=ratio, min_pages=least, broadcast_lines=lines, counts=("before", "cut"))
     assert got.columns == [*clashing.columns, "before", "cut"]
     rows = [(r.doc_id, r.text, r.before, r.cut) for r in got.collect()]
