@@ -3,9 +3,10 @@
 A string of LENGTH bytes can only be in two documents if its minimizer (the least
 hash of the GRAM-byte strings inside) is.  So documents are first filtered on
 minimizers, and what is left is dealt by minimizer: all places of one string meet
-in one task.  There, shards of the distinct stretches get a transform each, and the
-transforms are merged by refining their interleave one symbol at a time; after
-LENGTH rounds the blocks of the interleave are the repeated strings.
+in one task.  There, strings whose hash is met again are kept; shards of the distinct
+stretches of them get a transform each, and the transforms are merged by refining
+their interleave one symbol at a time; after LENGTH rounds the blocks of the
+interleave are the repeated strings.
 
 Nothing that grows with the corpus meets in one task.  Of what a batch holds more
 than once only the least document travels, as the batch itself knows that the
@@ -17,7 +18,6 @@ from __future__ import annotations
 
 import itertools
 import zlib
-from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +31,9 @@ from blockloom.storage import drop, few, written
 LENGTH, GRAM = 50, 20
 _WINDOWS = LENGTH - GRAM + 1
 #: Text that a task takes together; symbols of a shard; text for one bucket of minimizers.
-_BATCH, SHARD, BUCKET_BYTES = 1 << 18, 1 << 17, 1 << 20
+_BATCH, SHARD, BUCKET_BYTES = 1 << 18, 1 << 14, 1 << 20
+#: Bytes of stretches beyond which a task sends what it has of a batch.
+SENT = 1 << 26
 #: Documents of a minimizer beyond which its strings are dealt one by one, and places of the map of such minimizers.
 HOT, SLOTS = 8_192, 1 << 20
 #: Copies of whole texts up to which their ids are broadcast.
@@ -134,6 +136,13 @@ def _cut(first: np.ndarray, n: int):
     return itertools.pairwise([*first.tolist(), n])
 
 
+def _binary(bounds: np.ndarray, values: np.ndarray | bytes) -> pa.Array:
+    """Stretches of ``values``, cut at ``bounds``, as a column of bytes."""
+    width = 1 if isinstance(values, bytes) else values.itemsize
+    values = values if isinstance(values, bytes) else np.ascontiguousarray(values)
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer((bounds * width).astype(np.int32)), pa.py_buffer(values)])
+
+
 _COUNTED = ("bucket", "keys", "docs", "counts")
 
 
@@ -147,10 +156,13 @@ def shared_minimizers(texts: DataFrame, buckets: int, hot: int) -> DataFrame:
     """
 
     def by_document(k, d):
-        order = np.argsort(d, kind="stable")
-        k, d = (k[order] & np.uint64(0xFFFFFFFF)).astype(np.uint32), d[order]
-        for lo, hi in _cut(_firsts(d), len(d)):
-            yield int(d[lo]), np.unique(k[lo:hi]).tobytes()
+        k = k.astype(np.uint32)
+        order = np.lexsort((k, d))
+        k, d = k[order], d[order]
+        first = _firsts(d, k)
+        k, d = k[first], d[first]
+        first = _firsts(d)
+        return pa.RecordBatch.from_arrays([pa.array(d[first], pa.int64()), _binary(np.append(first, len(d)), k)], names=["doc_id", "live"])
 
     def emit(batches):
         claim("suffixes")
@@ -175,10 +187,12 @@ def shared_minimizers(texts: DataFrame, buckets: int, hot: int) -> DataFrame:
             order = np.argsort(sent[0], kind="stable")
             sent = [x[order] for x in sent]
             bucket = _bucket(sent[0], buckets)
-            out = [(int(bucket[lo]), *(x[lo:hi].tobytes() for x in sent)) for lo, hi in _cut(_firsts(bucket), len(bucket))]
+            first = _firsts(bucket)
+            bounds = np.append(first, len(bucket))
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[first], pa.int32()), *(_binary(bounds, x) for x in sent)], names=_COUNTED)
             if here.any():  # answers that need no count; they go along to any bucket
-                out.append((int(bucket[0]), k[here].tobytes(), d[here].tobytes(), None))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i == 0 else pa.binary()) for i, c in enumerate(zip(*out, strict=True))], names=_COUNTED)
+                known = [[int(bucket[0])], [k[here].tobytes()], [d[here].tobytes()], [None]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i == 0 else pa.binary()) for i, c in enumerate(known)], names=_COUNTED)
 
     def count(batches):
         def close(held):
@@ -189,25 +203,23 @@ def shared_minimizers(texts: DataFrame, buckets: int, hot: int) -> DataFrame:
             size = np.diff(np.concatenate([first, [len(k)]]))
             live = np.repeat(d[first] != d[first + size - 1], size)
             if (many := np.add.reduceat(n.astype(np.int64), first) > hot).any():
-                yield None, np.unique(_slot(k[first][many])).astype(np.uint32).tobytes()
-            yield from by_document(k[live], d[live])
-
-        def batch_of(out):
-            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], names=["doc_id", "live"])
+                slots = np.unique(_slot(k[first][many])).astype(np.uint32).tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([slots], pa.binary())], names=["doc_id", "live"])
+            if live.any():
+                yield by_document(k[live], d[live])
 
         at, held = None, []
         for bucket, k, d, n in rows(batches, *_COUNTED, step=64):
             if n is None:
-                yield batch_of(list(by_document(np.frombuffer(k, np.uint64), np.frombuffer(d, np.int64))))
+                yield by_document(np.frombuffer(k, np.uint64), np.frombuffer(d, np.int64))
                 continue
             if bucket != at and held:
-                if out := list(close(held)):
-                    yield batch_of(out)
+                yield from close(held)
                 held = []
             at = bucket
             held.append((k, d, n))
-        if held and (out := list(close(held))):
-            yield batch_of(out)
+        if held:
+            yield from close(held)
 
     dealt = texts.select("doc_id", "text").mapInArrow(emit, "bucket int, keys binary, docs binary, counts binary").repartition("bucket").sortWithinPartitions("bucket")
     return dealt.mapInArrow(count, "doc_id long, live binary")
@@ -293,10 +305,40 @@ def least_documents(stretches: list[bytes], docs: np.ndarray, shard: int = SHARD
     """For every LENGTH-byte string of the stretches (in order), the least document that holds it.
 
     ``docs`` has the least document of each stretch.  Also where each stretch's strings begin.
+    A string whose hash is met once is in its own stretch only; runs of the others
+    are merged, equal runs as one.
     """
     sizes = np.array([len(s) for s in stretches])
     strings = sizes - LENGTH + 1
     begin = np.concatenate([[0], np.cumsum(strings)])
+    owner = np.repeat(np.arange(len(sizes)), strings)
+    at = np.arange(len(owner)) + owner * (LENGTH - 1)
+    data = b"".join(stretches)
+    h = gram_hashes(np.frombuffer(data, np.uint8), LENGTH)[at]
+    order = np.argsort(h)
+    same = np.diff(h[order]) == 0
+    again = np.zeros(len(h), bool)
+    again[order[1:][same]] = True
+    again[order[:-1][same]] = True
+    out = docs[owner]
+    if again.any():
+        edge = np.concatenate([[True], ~again[:-1] | (owner[1:] != owner[:-1])])
+        first = np.flatnonzero(again & edge)
+        last = np.flatnonzero(again & np.concatenate([~again[1:] | (owner[1:] != owner[:-1]), [True]]))
+        index: dict[bytes, int] = {}
+        of = np.array([index.setdefault(data[a:b], len(index)) for a, b in zip(at[first].tolist(), (at[last] + LENGTH).tolist(), strict=True)])
+        least = np.full(len(index), np.iinfo(np.int64).max)
+        np.minimum.at(least, of, docs[owner[first]])
+        best, where = _merged(list(index), least, shard)
+        n = last - first + 1
+        out[again] = best[np.repeat(where[of] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
+    return out, begin
+
+
+def _merged(stretches: list[bytes], docs: np.ndarray, shard: int) -> tuple[np.ndarray, np.ndarray]:
+    """``least_documents`` of stretches that go to the transforms whole."""
+    sizes = np.array([len(s) for s in stretches])
+    begin = np.concatenate([[0], np.cumsum(sizes - LENGTH + 1)])
     joined = np.zeros(int((sizes + 1).sum()), np.uint8)  # symbol 0 ends a stretch; no byte of UTF-8 is above 244
     ends = np.cumsum(sizes + 1)
     at = ends - sizes - 1
@@ -323,19 +365,21 @@ def least_documents(stretches: list[bytes], docs: np.ndarray, shard: int = SHARD
 
 
 def _joined(docs, tags, starts, stops):
-    """Byte ranges by document: its id, tag, and maximal runs as pairs of 32-bit numbers.
+    """Byte ranges by document: ids, tags, where each one's ranges begin, and maximal runs as pairs of 32-bit numbers.
 
     Ranges of a document end in the order in which they start.
     """
     order = np.lexsort((starts, tags, docs))
     d, c, a, b = (x[order] for x in (docs, tags, starts, stops))
-    if not len(d):
-        return []
-    new = np.concatenate([[True], (d[1:] != d[:-1]) | (c[1:] != c[:-1]) | (a[1:] > b[:-1])])
-    first = np.flatnonzero(new)
-    last = np.concatenate([first[1:], [len(d)]]) - 1
+    new = _firsts(d, c)
+    fresh = np.zeros(len(d), bool)
+    fresh[new] = True
+    fresh[1:] |= a[1:] > b[:-1]
+    first = np.flatnonzero(fresh)
+    last = np.append(first, len(d))[1:] - 1
     d, c, pairs = d[first], c[first], np.stack([a[first], b[last]], 1).astype(np.uint32)
-    return [(int(d[lo]), int(c[lo]), pairs[lo:hi].tobytes()) for lo, hi in _cut(_firsts(d, c), len(d))]
+    one = _firsts(d, c)
+    return d[one], c[one], np.append(one, len(d)), pairs
 
 
 def repeated_spans(marked: DataFrame, buckets: int, slots: bytes) -> DataFrame:
@@ -345,25 +389,23 @@ def repeated_spans(marked: DataFrame, buckets: int, slots: bytes) -> DataFrame:
     apart.  Stretches around live minimizers are sent by minimizer, those of hot ones
     string by string.  Of equal stretches of a batch only the least document's is sent:
     all of the others' strings are in that one.  A minimizer whose stretches are all
-    equal needs no comparison; the others of a bucket are merged.
+    equal needs no comparison; of the others, the strings that may repeat are merged.
     """
-    shard = SHARD
+    shard, most = SHARD, SENT
     shared = marked.sparkSession.sparkContext.broadcast(slots)
 
     def emit(batches):
         hot = np.unpackbits(np.frombuffer(shared.value, np.uint8)).astype(bool)
         for batch in batches:
-            found: dict[int, dict] = defaultdict(dict)
+            index, parts, size = {}, [], 0
             for held in _groups(batch, ("doc_id", "text", "live")):
                 raw, starts, owner, first, count, m = _runs(held)
                 if not len(m):
                     continue
-                live, low = np.zeros(len(m), bool), (m & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-                order = np.searchsorted(owner, np.arange(len(held) + 1))
-                for k, (r, _) in enumerate(held):
-                    a, b = order[k], order[k + 1]
-                    known = np.concatenate([np.frombuffer(x, np.uint32) for x in r[2]])
-                    live[a:b] = np.isin(low[a:b], known)
+                known = [b"".join(r[2]) for r, _ in held]
+                of_known = np.repeat(np.arange(len(held), dtype=np.uint64), [len(x) // 4 for x in known])
+                known = of_known << np.uint64(32) | np.frombuffer(b"".join(known), np.uint32)
+                live = np.isin(owner.astype(np.uint64) << np.uint64(32) | m & np.uint64(0xFFFFFFFF), known)
                 owner, first, count, m = (x[live] for x in (owner, first, count, m))
                 deal = m
                 if (split := hot[_slot(m)]).any():
@@ -372,54 +414,67 @@ def repeated_spans(marked: DataFrame, buckets: int, slots: bytes) -> DataFrame:
                     first = np.repeat(first, each) + np.arange(len(owner)) - np.repeat(np.cumsum(each) - each, each)
                     count = np.where(np.repeat(split, each), 1, np.repeat(count, each))
                     deal = np.where(np.repeat(split, each), gram_hashes(raw, LENGTH)[first] * _B, m)
-                data = raw.tobytes()
-                ids = [(r[0], zlib.crc32(t)) for r, t in held]
-                for bucket, o, p, n, key in zip(_bucket(deal, buckets).tolist(), owner.tolist(), first.tolist(), count.tolist(), m.tolist(), strict=True):
-                    found[bucket].setdefault((key, data[p : p + n + LENGTH - 1]), []).append((*ids[o], p - int(starts[o])))
-            out, known = [], []
-            for bucket, stretches in found.items():
-                sent = []
-                for (_, stretch), places in stretches.items():
-                    if len(places) > 1 and (least := min(places)[0]) != max(places)[0]:
-                        known += [(*x, x[2] + len(stretch)) for x in places if x[0] != least]
-                        places = [x for x in places if x[0] == least]
-                    sent.append(places)
-                out.append((
-                    bucket,
-                    np.array([k for k, _ in stretches], np.uint64).tobytes(),
-                    np.array([len(s) for _, s in stretches], np.uint32).tobytes(),
-                    b"".join(s for _, s in stretches),
-                    np.array([len(v) for v in sent], np.uint32).tobytes(),
-                    *(np.array([x[i] for v in sent for x in v], t).tobytes() for i, t in enumerate((np.int64, np.uint32, np.uint32))),
-                ))
-            if known:  # answers that need no comparison; they go along to any bucket
-                docs, tags, spans = zip(*_joined(*(np.array(x, np.int64) for x in zip(*known, strict=True))), strict=True)
-                sizes = np.array([len(x) // 8 for x in spans], np.uint32)
-                out.append((out[0][0], None, sizes.tobytes(), b"".join(spans), None, np.array(docs, np.int64).tobytes(), np.array(tags, np.uint32).tobytes(), None))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i == 0 else pa.binary()) for i, c in enumerate(zip(*out, strict=True))], names=names)
+                data, stop = raw.tobytes(), first + count + (LENGTH - 1)
+                of = np.array([index.setdefault(data[a:b], len(index)) for a, b in zip(first.tolist(), stop.tolist(), strict=True)], np.int64)
+                docs, tags = np.array([r[0] for r, _ in held], np.int64), np.array([zlib.crc32(t) for _, t in held], np.int64)
+                parts.append((of, deal, m, docs[owner], tags[owner], first - starts[owner]))
+                size += int((stop - first).sum())
+                if size >= most:
+                    yield from sent(list(index), parts)
+                    index, parts, size = {}, [], 0
+            if parts:
+                yield from sent(list(index), parts)
+
+    def sent(stretches, parts):
+        of, deal, keys, docs, tags, places = (np.concatenate(x) for x in zip(*parts, strict=True))
+        if not len(of):
+            return
+        least = np.full(len(stretches), np.iinfo(np.int64).max)
+        np.minimum.at(least, of, docs)
+        sizes = np.fromiter(map(len, stretches), np.int64, len(stretches))
+        bucket = _bucket(deal, buckets)
+        known = docs != least[of]
+        answers = _joined(docs[known], tags[known], places[known], places[known] + sizes[of[known]])
+        order = np.flatnonzero(~known)
+        order = order[np.lexsort((of[order], bucket[order]))]
+        of, bucket, keys, docs, tags, places = (x[order] for x in (of, bucket, keys, docs, tags, places))
+        one = _firsts(of)
+        ends = np.append(one, len(of))
+        which, counts = of[one], np.diff(ends).astype(np.uint32)
+        piece = _firsts(bucket[one])
+        bounds = np.append(piece, len(one))
+        at, mine = np.concatenate([[0], np.cumsum(sizes[which])])[bounds], ends[bounds]
+        columns = [
+            _binary(bounds, keys[one]), _binary(bounds, sizes[which].astype(np.uint32)), _binary(at, b"".join([stretches[i] for i in which.tolist()])), _binary(bounds, counts),
+            _binary(mine, docs), _binary(mine, tags.astype(np.uint32)), _binary(mine, places.astype(np.uint32)),
+        ]
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[one][piece], pa.int32()), *columns], names=names)
+        if known.any():  # answers that need no comparison; they go along to any bucket
+            docs, tags, cuts, pairs = answers
+            row = (int(bucket[0]), None, np.diff(cuts).astype(np.uint32).tobytes(), pairs.tobytes(), None, docs.tobytes(), tags.astype(np.uint32).tobytes(), None)
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.int32() if i == 0 else pa.binary()) for i, x in enumerate(row)], names=names)
 
     names = ["bucket", "keys", "sizes", "data", "counts", "docs", "tags", "places"]
 
     def close(held):
-        index: dict[tuple, int] = {}
-        of, docs, tags, places = [], [], [], []
-        for keys, sizes, data, counts, d, c, p in held:
-            at = 0
-            numbers = []
-            for k, n in zip(np.frombuffer(keys, np.uint64).tolist(), np.frombuffer(sizes, np.uint32).tolist(), strict=True):
-                numbers.append(index.setdefault((k, data[at : at + n]), len(index)))
-                at += n
-            of.append(np.repeat(np.array(numbers, np.int64), np.frombuffer(counts, np.uint32)))
+        index: dict[bytes, int] = {}
+        of, keys, docs, tags, places = [], [], [], [], []
+        for k, sizes, data, counts, d, c, p in held:
+            ends = np.cumsum(np.frombuffer(sizes, np.uint32)).tolist()
+            numbers = np.array([index.setdefault(data[a:b], len(index)) for a, b in itertools.pairwise([0, *ends])], np.int64)
+            keys.append((numbers, np.frombuffer(k, np.uint64)))
+            of.append(np.repeat(numbers, np.frombuffer(counts, np.uint32)))
             docs.append(np.frombuffer(d, np.int64))
             tags.append(np.frombuffer(c, np.uint32).astype(np.int64))
             places.append(np.frombuffer(p, np.uint32).astype(np.int64))
         of, docs, tags, places = map(np.concatenate, (of, docs, tags, places))
         least = np.full(len(index), np.iinfo(np.int64).max)
         np.minimum.at(least, of, docs)
-        stretches = [s for _, s in index]
-        keys = np.array([k for k, _ in index], np.uint64)
-        _, number, size = np.unique(keys, return_inverse=True, return_counts=True)
+        stretches = list(index)
+        key = np.empty(len(index), np.uint64)  # a stretch has one minimizer
+        for numbers, k in keys:
+            key[numbers] = k
+        _, number, size = np.unique(key, return_inverse=True, return_counts=True)
         several = size[number] > 1
         # strings of a stretch that is alone with its minimizer have the stretch's own least document
         alone = ~several[of]
@@ -428,7 +483,7 @@ def repeated_spans(marked: DataFrame, buckets: int, slots: bytes) -> DataFrame:
         out = [(docs[hit], tags[hit], places[hit], places[hit] + lengths[of[hit]])]
         some = np.flatnonzero(several)
         if len(some):
-            best, begin = least_documents([stretches[i] for i in some], least[some], shard)
+            best, begin = least_documents([stretches[i] for i in some.tolist()], least[some], shard)
             new = np.full(len(index), -1)
             new[some] = np.arange(len(some))
             mine = np.flatnonzero(~alone)
@@ -444,25 +499,23 @@ def repeated_spans(marked: DataFrame, buckets: int, slots: bytes) -> DataFrame:
         return _joined(*(np.concatenate(x) for x in zip(*out, strict=True)))
 
     def merge(batches):
-        def batch_of(out):
-            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], names=["doc_id", "tag", "spans"])
+        def batch_of(docs, tags, cuts, pairs):
+            return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(tags, pa.int64()), _binary(2 * cuts, pairs)], names=["doc_id", "tag", "spans"])
 
         at, held = None, []
         for bucket, *rest in rows(batches, *names, step=64):
             if rest[0] is None:
                 _, sizes, data, _, docs, tags, _ = rest
-                ends = np.cumsum(np.frombuffer(sizes, np.uint32)) * 8
-                parts = [data[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
-                yield batch_of(list(zip(np.frombuffer(docs, np.int64).tolist(), np.frombuffer(tags, np.uint32).tolist(), parts, strict=True)))
+                cuts = np.concatenate([[0], np.cumsum(np.frombuffer(sizes, np.uint32))])
+                yield batch_of(np.frombuffer(docs, np.int64), np.frombuffer(tags, np.uint32).astype(np.int64), cuts, np.frombuffer(data, np.uint32))
                 continue
             if bucket != at and held:
-                if out := close(held):
-                    yield batch_of(out)
+                yield batch_of(*close(held))
                 held = []
             at = bucket
             held.append(rest)
-        if held and (out := close(held)):
-            yield batch_of(out)
+        if held:
+            yield batch_of(*close(held))
 
     schema = "bucket int, keys binary, sizes binary, data binary, counts binary, docs binary, tags binary, places binary"
     dealt = marked.select("doc_id", "text", "live").mapInArrow(emit, schema).repartition("bucket").sortWithinPartitions("bucket")

@@ -100,6 +100,41 @@ def test_merged_transforms_are_the_sorted_suffixes():
     assert [True, *(a != b for a, b in zip(rows, rows[1:], strict=False))] == start.tolist()
 
 
+def test_only_strings_that_may_repeat_are_merged(monkeypatch):
+    """A phrase too short to repeat, or an end of a passage, does not bring the text around it to the transforms."""
+    merged, merge = [], s.merge_transforms
+
+    def watched(shards, *depth):
+        merged.append(sum(map(len, shards)))
+        return merge(shards, *depth)
+
+    monkeypatch.setattr(s, "merge_transforms", watched)
+    phrase, passage = prose(7, 5)[:20], prose(8, 12)[:90]
+    alone = [f"{prose(10 + i, 3)} {phrase} {prose(500 + i, 3)}".encode() for i in range(200)]
+    best, begin = s.least_documents(alone, np.arange(200))
+    assert not merged and best.tolist() == np.repeat(np.arange(200), np.diff(begin)).tolist()
+
+    ends = [f"{prose(10 + i, 3)} {passage}".encode() for i in range(200)]
+    twice = [b"ab" * 40, b"x" + b"ab" * 30]
+    texts, docs = [*ends, *twice, *alone], np.random.default_rng(0).permutation(402)
+    best, begin = s.least_documents(texts, docs, 64)
+    least = {}
+    for t, d in zip(texts, docs.tolist(), strict=True):
+        for k in range(len(t) - s.LENGTH + 1):
+            least[t[k : k + s.LENGTH]] = min(least.get(t[k : k + s.LENGTH], d), d)
+    assert best.tolist() == [least[t[k : k + s.LENGTH]] for t in texts for k in range(len(t) - s.LENGTH + 1)]
+    assert begin.tolist() == np.cumsum([0, *(len(t) - s.LENGTH + 1 for t in texts)]).tolist()
+    assert 0 < sum(merged) < sum(map(len, texts)) / 3
+
+
+@pytest.mark.parametrize("sent", [1, 4_000])
+def test_a_batch_may_be_sent_in_parts(spark, monkeypatch, sent):
+    monkeypatch.setattr(s, "SENT", sent)
+    monkeypatch.setattr(s, "BUCKET_BYTES", 1 << 12)
+    rows = [(i % 50, f"{prose(i, 20)} {prose(1000 + i % 7, 15)} {prose(i // 2, 9)}", "en", "s", 0) for i in range(70)]
+    check(spark.createDataFrame(rows, DOC).coalesce(2))
+
+
 def test_minimizers_hold_for_equal_strings():
     a, b = (np.frombuffer(x.encode(), np.uint8) for x in (prose(1, 50), "other words " + prose(1, 50)))
     assert s.minimizers(a).tolist() == s.minimizers(b)[12:].tolist() and len(s.minimizers(a)) == len(a) - s.LENGTH + 1
