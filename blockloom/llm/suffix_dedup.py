@@ -554,17 +554,20 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     named = base.where("doc_id is not null")
     total = named.agg(F.sum(F.octet_length("text")).alias("b"), F.count(F.lit(1)).alias("n")).first()
     n, buckets = total["n"], int((total["b"] or 0) // BUCKET_BYTES) + 1
-    hashed = named.where(F.octet_length("text") >= LENGTH).withColumn("h", hash_pair(F.col("text")))
+    hashed = named.where(F.octet_length("text") >= LENGTH).withColumn("h", hash_pair(F.col("text"))).withColumn("tag", F.crc32(F.col("text").cast("binary")))
     least = hashed.groupBy("h").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    copies = written(hashed.select("doc_id", "h").join(least, "h").where("doc_id > least").select("doc_id", "h").distinct(), "copies", few(n))
+    copies = written(hashed.select("doc_id", "h", "tag").join(least, "h").where("doc_id > least").select("doc_id", "h", "tag").distinct(), "copies", few(n))
     gone = F.broadcast(copies) if copies.count() <= BROADCAST_COPIES else copies
-    first = hashed.join(gone, ["doc_id", "h"], "left_anti").select("doc_id", "text")
+    first = hashed.join(gone.select("doc_id", "h"), ["doc_id", "h"], "left_anti").select("doc_id", "text")
     live = written(shared_minimizers(first, buckets, HOT), "live", few(40 * n))
     mine = live.where("doc_id is not null").groupBy("doc_id").agg(F.collect_list("live").alias("live"))
-    spans = written(repeated_spans(first.join(mine, "doc_id"), buckets, hot_slots(live)), "spans", few(40 * n))
+    # texts are dealt by their id once more here, and once at the end: what is known of copies comes with the small tables
+    mine = mine.join(copies.groupBy("doc_id").agg(F.collect_set("h").alias("gone")), "doc_id", "left")
+    marked = hashed.join(mine, "doc_id").where("gone is null or not array_contains(gone, h)")
+    spans = written(repeated_spans(marked, buckets, hot_slots(live)), "spans", few(40 * n))
     drop(live)
-    whole = gone.select("doc_id", "h", F.lit(True).alias("is_copy"))
-    cut = spans.groupBy("doc_id", "tag").agg(F.collect_list("spans").alias("spans"))
+    whole = copies.groupBy("doc_id", "tag").agg(F.collect_set("h").alias("gone"))
+    cut = spans.groupBy("doc_id", "tag").agg(F.collect_list("spans").alias("spans")).join(whole, ["doc_id", "tag"], "full")
 
     def apply(batches):
         for batch in batches:
@@ -582,6 +585,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=[x.split()[0] for x in OUT.split(", ", 5)])
 
-    joined = base.withColumn("h", hash_pair(F.col("text"))).join(whole, ["doc_id", "h"], "left").drop("h")
-    return joined.withColumn("tag", F.crc32(F.col("text").cast("binary"))).join(cut, ["doc_id", "tag"], "left").mapInArrow(apply, OUT)
+    joined = base.withColumn("tag", F.crc32(F.col("text").cast("binary"))).join(cut, ["doc_id", "tag"], "left")
+    copy = F.coalesce(F.array_contains("gone", hash_pair(F.col("text"))), F.lit(False)).alias("is_copy")
+    return joined.select("doc_id", "text", copy, "spans").mapInArrow(apply, OUT)
 
